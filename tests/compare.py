@@ -81,7 +81,7 @@ def main() -> int:
             bad.append(name)
             print(f"{name}: ERROR {str(problem).splitlines()[0][:400]}", flush=True)
             if names:
-                traceback.print_exc()
+                print(traceback.format_exc(limit=-4)[:1500])
     print("failed:", bad)
     return len(bad)
 

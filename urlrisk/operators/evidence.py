@@ -18,7 +18,7 @@ DISPLAY_SUFFIXES = (
 
 def _field(name: str, *paths: str) -> Column:
     """First filled field of an indicator's JSON value."""
-    value = c(f"{name}.value")
+    value = c(f"{name}_value")
     found = [F.get_json_object(value, f"$.{p}") for p in paths]
     return F.coalesce(*[F.when(f != "", f) for f in found])
 
@@ -34,12 +34,12 @@ def _or(lines: list[Column], fallback: Column) -> Column:
 
 
 def _points(name: str, template: str) -> Column:
-    return F.format_string(template, c(f"{name}.score"))
+    return F.format_string(template, c(f"{name}_score"))
 
 
 def _listed(name: str) -> Column:
     """A JSON list value; the text of an empty finding gives null."""
-    return F.when(c(f"{name}.value").startswith("["), F.from_json(c(f"{name}.value"), "array<string>"))
+    return F.when(c(f"{name}_value").startswith("["), F.from_json(c(f"{name}_value"), "array<string>"))
 
 
 def _official() -> Column:
@@ -67,7 +67,7 @@ def _ai() -> Column:
         _line("Calibrated AI-assisted probability: %.2f%%.", _percent("calibrated_phishing_probability_percent")),
         _line("Raw model probability: %.2f%%.", _percent("raw_phishing_probability_percent")),
         _line("URL lexical-evidence probability: %.2f%%.", _percent("feature_ai_probability_percent")),
-        F.format_string("Adjusted AI risk score: %d/100.", c(f"{n}.score")),
+        F.format_string("Adjusted AI risk score: %d/100.", c(f"{n}_score")),
     ], _points(n, "AI-assisted risk points: %d/100."))
 
 
@@ -146,15 +146,16 @@ STATEMENTS = {
 
 def evidence_statements(scored: DataFrame, *keys: str) -> DataFrame:
     """One row per URL, indicator and evidence line."""
-    sets = F.array(*[F.struct(F.lit(n).alias("name"), make().alias("lines")) for n, make in STATEMENTS.items()])
-    return scored.select(*keys, F.inline(sets)).select(
+    made = scored.select(*keys, *[make().alias(n) for n, make in STATEMENTS.items()])
+    sets = F.array(*[F.struct(F.lit(n).alias("name"), c(n).alias("lines")) for n in STATEMENTS])
+    return made.select(*keys, F.inline(sets)).select(
         *keys, "name", F.posexplode("lines").alias("position", "line"))
 
 
 def action_guidance() -> Column:
     """Guidance lines by official match, band and critical flag."""
     entry = _field("officialDomain", "matched_domain", "matched_official")
-    verified = c("is_official") & (c("officialDomain.status") == "safe")
+    verified = c("is_official") & (c("officialDomain_status") == "safe")
     head = F.format_string("Final risk score: %d/100.", c("risk_score"))
     confirm = F.lit("Service access path: confirm the provider domain through an official channel.")
     high = F.array_compact(F.array(

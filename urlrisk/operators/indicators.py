@@ -1,7 +1,8 @@
 """The nine indicators, as columns over rows that carry the matching evidence.
 
-Every indicator is one ``when`` chain (first branch wins) giving
-``struct<score, status, explanation, value>``; ``value`` is JSON text.
+Every indicator is one ``when`` chain (first branch wins) of a score, a status,
+an explanation and a value; the rows carry them as flat columns
+``<name>_score``, ``_status``, ``_explanation`` and ``_value`` (JSON text).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from urlrisk.operators.matching import bad_tld_points, keyword_hits
 from urlrisk.operators.urls import confusable_tld, is_ip_like
 
 c = F.col
+PARTS = ("score", "status", "explanation", "value")
 
 
 def _json(**fields) -> Column:
@@ -289,7 +291,7 @@ def evidence_defaults(rows: DataFrame) -> DataFrame:
 
 
 def add_indicators(rows: DataFrame, modelled: bool = False) -> DataFrame:
-    """Add one struct column per indicator, before the clean-official correction.
+    """Add four columns per indicator, before the clean-official correction.
 
     With ``modelled`` the rows carry ``raw_probability`` and ``confidence`` of a
     trained model; otherwise the lexical estimate stands in for it.
@@ -305,7 +307,7 @@ def add_indicators(rows: DataFrame, modelled: bool = False) -> DataFrame:
     score = F.rint(c("calibrated_probability") * 100).cast("int")
     rows = rows.withColumn("ai_score", F.when(c("is_official"), F.least(score, F.lit(15))).otherwise(score))
     rows = url_structure(rows)
-    return rows.withColumns({
+    rows = rows.withColumns({
         "officialDomain": official_domain(),
         "reputationEvidence": reputation_evidence(),
         "aiModelProbability": ai_probability(modelled),
@@ -315,3 +317,7 @@ def add_indicators(rows: DataFrame, modelled: bool = False) -> DataFrame:
         "httpsUsage": https_usage(),
         "urlLengthComplexity": url_length_complexity(),
     })
+    # Flat columns keep the optimizer from copying whole chains into later steps.
+    return rows.withColumns({
+        f"{name}_{part}": c(name)[part] for name in C.INDICATOR_NAMES for part in PARTS
+    }).drop(*C.INDICATOR_NAMES)

@@ -14,7 +14,7 @@ c = F.col
 
 
 def _score(name: str) -> Column:
-    return c(f"{name}.score")
+    return c(f"{name}_score")
 
 
 def clean_correction(rows: DataFrame) -> DataFrame:
@@ -23,14 +23,12 @@ def clean_correction(rows: DataFrame) -> DataFrame:
     clean = c("is_official")
     for name in others:
         clean = clean & (_score(name) == 0)
-    ai = c("aiModelProbability")
-    fixed = F.struct(F.lit(0).alias("score"), F.lit("safe").alias("status"),
-                     F.lit(M.AI_CLEAN).alias("explanation"), ai["value"].alias("value"))
-    return (
-        rows.withColumn("official_clean", clean)
-        .withColumn("aiModelProbability", F.when(c("official_clean"), fixed).otherwise(ai))
-        .withColumn("ai_score", _score("aiModelProbability"))
-    )
+    rows = rows.withColumn("official_clean", clean)
+    fixed = {"score": F.lit(0), "status": F.lit("safe"), "explanation": F.lit(M.AI_CLEAN)}
+    return rows.withColumns({
+        f"aiModelProbability_{part}": F.when(c("official_clean"), value).otherwise(c(f"aiModelProbability_{part}"))
+        for part, value in fixed.items()
+    }).withColumn("ai_score", _score("aiModelProbability"))
 
 
 def weighted_score(rows: DataFrame) -> DataFrame:
@@ -126,17 +124,20 @@ def recommendations(band_key: Column) -> Column:
     return column
 
 
+def _indicator_fields(order: int, name: str, weight: int) -> dict[str, Column]:
+    score = _score(name)
+    return {
+        "name": F.lit(name), "ord": F.lit(order), "score": score, "risk_points": score,
+        "safety_score": 100 - score, "status": c(f"{name}_status"), "explanation": c(f"{name}_explanation"),
+        "value": c(f"{name}_value"), "weight_percent": F.lit(weight), "contribution": score * weight / 100,
+        "used_in_final_score": F.lit(weight > 0),
+    }
+
+
 def indicator_array() -> Column:
-    items = []
-    for order, (name, weight, _, _) in enumerate(C.INDICATORS):
-        ind, score = c(name), _score(name)
-        items.append(F.struct(
-            F.lit(name).alias("name"), F.lit(order).alias("ord"), score.alias("score"),
-            score.alias("risk_points"), (100 - score).alias("safety_score"), ind["status"].alias("status"),
-            ind["explanation"].alias("explanation"), ind["value"].alias("value"),
-            F.lit(weight).alias("weight_percent"), (score * weight / 100).alias("contribution"),
-            F.lit(weight > 0).alias("used_in_final_score")))
-    return F.array(*items)
+    return F.array(*[
+        F.struct(*[col.alias(field) for field, col in _indicator_fields(i, name, weight).items()])
+        for i, (name, weight, _, _) in enumerate(C.INDICATORS)])
 
 
 def explanations(indicators: Column) -> Column:
@@ -180,7 +181,9 @@ def response(rows: DataFrame, *keys: str) -> DataFrame:
 
 def indicators_long(scored: DataFrame, *keys: str) -> DataFrame:
     """One row per URL and indicator."""
-    return scored.select(*keys, F.inline("indicators"))
+    sets = [_indicator_fields(i, name, weight) for i, (name, weight, _, _) in enumerate(C.INDICATORS)]
+    cells = [col for fields in sets for col in fields.values()]
+    return scored.select(*keys, F.stack(F.lit(len(sets)), *cells).alias(*sets[0]))
 
 
 def scoring_config(spark: SparkSession) -> DataFrame:

@@ -261,12 +261,10 @@ def sld_entropy(spark, sf):
 
 def hashed_ngrams(spark, sf):
     from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.stat import Summarizer
 
     rows = FT.hashed_ngrams(adversarial(spark, sf), char_bits=12, word_bits=10)
-    norms = rows.select("url_id", Summarizer.normL2(c("features")).alias("v")) if False else rows
-    values = vector_to_array(norms["features"])
-    return norms.select("url_id", F.size(values).alias("size"),
+    values = vector_to_array(c("features"))
+    return rows.select("url_id", F.size(values).alias("size"),
                         F.size(F.filter(values, lambda v: v != 0)).alias("non_zero"))
 
 
@@ -315,7 +313,7 @@ def confusable_tld_flag(spark, sf):
 
 
 def verified_official_filter(spark, sf):
-    return scored(spark, sf).filter((c("officialDomain.status") == "safe") & c("is_official")).select(
+    return scored(spark, sf).filter((c("officialDomain_status") == "safe") & c("is_official")).select(
         "url_id", "official_brand", "official_domain")
 
 
@@ -422,9 +420,8 @@ def label_predictions(spark, sf):
 
 def _indicator(name, source=scored):
     def query(spark, sf):
-        ind = c(name)
-        return source(spark, sf).select("url_id", ind["score"].alias("score"), ind["status"].alias("status"),
-                                        ind["explanation"].alias("explanation"))
+        return source(spark, sf).select("url_id", *[
+            c(f"{name}_{part}").alias(part) for part in ("score", "status", "explanation")])
     return query
 
 
@@ -446,7 +443,7 @@ def calibrate_probability(spark, sf):
 
 
 def official_clean_correction(spark, sf):
-    return scored(spark, sf).select("url_id", "official_clean", c("aiModelProbability.score").alias("ai_score"))
+    return scored(spark, sf).select("url_id", "official_clean", c("aiModelProbability_score").alias("ai_score"))
 
 
 def weighted_score(spark, sf):
@@ -514,13 +511,13 @@ def action_guidance(spark, sf):
 
 def score_urls_query(spark, sf):
     return scored(spark, sf).select(
-        "url_id", "url", "domain", *[c(f"{n}.score").alias(n) for n in C.INDICATOR_NAMES], "weighted_score",
+        "url_id", "url", "domain", *[c(f"{n}_score").alias(n) for n in C.INDICATOR_NAMES], "weighted_score",
         "risk_score", "result", "critical")
 
 
 def score_urls_with_reputation(spark, sf):
     return scored_with_reputation(spark, sf).select(
-        "url_id", c("reputationEvidence.score").alias("reputation"), "weighted_score", "risk_score", "result", "critical")
+        "url_id", c("reputationEvidence_score").alias("reputation"), "weighted_score", "risk_score", "result", "critical")
 
 
 def pages_per_band(spark, sf):
