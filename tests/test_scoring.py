@@ -133,7 +133,7 @@ def test_hot_host_costs_one_profile_row(spark, registry):
     from urlrisk.operators.urls import prepared_urls
     from urlrisk.plans.score import site_facts, with_lure_text
 
-    urls = spark.range(20000).select(F.format_string("https://hot.example.com/p/%d", "id").alias("url"))
+    urls = spark.range(20000).select(F.format_string("https://paypal-login.com/p/%d", "id").alias("url"))
     assert site_facts(with_lure_text(prepared_urls(urls)), registry).count() == 1
 
 

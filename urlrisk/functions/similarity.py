@@ -58,27 +58,23 @@ def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
-def _highest(texts: pd.Series, terms: list[str], skip_equal: bool) -> pd.Series:
-    found = {}
-    for text in texts.dropna().unique():
-        matchers = [SequenceMatcher(None, text, t) for t in terms if not (skip_equal and t == text)]
+def best_ratio(terms: list[str]):
+    """Pandas UDF: highest ratio of a text against the unequal terms of a size-checked list.
+
+    The character-count bound of a pair is cheap, so terms are tried from the
+    best bound down and the search ends once no bound can win.
+    """
+    def search(text: str) -> float:
+        matchers = [SequenceMatcher(None, text, term) for term in terms if term != text]
         best = 0.0
-        for bound, matcher in sorted(((m.quick_ratio(), m) for m in matchers), key=lambda p: -p[0]):
+        for bound, matcher in sorted(((m.quick_ratio(), m) for m in matchers), key=lambda pair: -pair[0]):
             if bound <= best:
                 break
             best = max(best, matcher.ratio())
-        found[text] = best
-    return texts.map(found).astype("float64")
-
+        return best
 
-def best_ratio(terms: list[str], skip_equal: bool = False):
-    """Pandas UDF: highest ratio of a text against a size-checked term list.
-
-    The character-count bound of a pair is cheap, so terms are tried from the
-    best bound down and the search ends once no bound can win.
-    """
     @F.pandas_udf(T.DoubleType())
     def highest(texts: pd.Series) -> pd.Series:
-        return _highest(texts, terms, skip_equal)
+        return texts.map(search, na_action="ignore").astype("float64")
 
     return highest

@@ -62,18 +62,18 @@ def roc_auc(rows: DataFrame) -> DataFrame:
     return below.agg(F.bround(F.try_divide(pairs, F.sum("pos") * F.sum("neg")), 4).alias("roc_auc"))
 
 
-def running_total(rows: DataFrame, order: str, value: str, parts: int = 64) -> DataFrame:
+def running_total(rows: DataFrame, order: str, value: str) -> DataFrame:
     """Exclusive running total of ``value`` in ``order`` as column ``below``.
 
-    Two levels: totals per value range are few (``parts``), the window inside a
-    range is partitioned, and range totals come back by a small join.
+    Two levels: totals per value range are as few as shuffle partitions, the
+    window inside a range is partitioned, and range totals come back by a small join.
     """
     from pyspark.sql.window import Window
 
-    ranged = rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    ranged = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
     ranged = _fixed(ranged)
     totals = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"), F.min(order).alias("_low"))
-    # At most ``parts`` rows reach this window.
+    # One row per range reaches this window.
     before = Window.partitionBy(F.lit(0)).orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -92,14 +92,16 @@ def _fixed(rows: DataFrame) -> DataFrame:
 
 
 def class_weights(rows: DataFrame) -> DataFrame:
-    """Balanced class weight times sample weight: n / (classes * rows of the class)."""
-    per_class = rows.groupBy("label").agg(F.count("*").alias("_n"))
-    total = per_class.agg(F.sum("_n")).scalar()
-    classes = per_class.agg(F.count("*")).scalar()
-    weights = per_class.select("label", (total / (classes * c("_n"))).alias("class_weight"))
-    # One row per class.
-    return rows.join(F.broadcast(weights), "label").withColumn(
-        "weight", c("class_weight") * c("sample_weight"))
+    """Balanced class weight times sample weight: n / (classes * rows of the class).
+
+    Labels are 0 and 1.  Two counts enter as scalar subqueries, so rows are not
+    moved by a key that has two values.
+    """
+    counts = rows.agg(F.count_if(c("label") == 0).alias("zeros"), F.count_if(c("label") == 1).alias("ones"))
+    zeros, ones = counts.select("zeros").scalar(), counts.select("ones").scalar()
+    classes = F.when((zeros > 0) & (ones > 0), 2).otherwise(1)
+    balanced = (zeros + ones) / (classes * F.when(c("label") == 0, zeros).otherwise(ones))
+    return rows.withColumn("weight", balanced * c("sample_weight"))
 
 
 def regression_results(cases: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -212,17 +212,19 @@ def brand_similarity(hosts: DataFrame, registry: Registry, terms: list[str], pro
     term_list = F.array(*[F.lit(t) for t in terms])
     distinct = slds.select("sld_skel").distinct()
     nearest = F.array_min(F.transform(term_list, lambda t: F.levenshtein(c("sld_skel"), t)))
-    highest = S.best_ratio(terms)
+    # Equal terms have ratio 1, so one search over the other terms answers both questions.
+    others = S.best_ratio(terms)
     measured = distinct.withColumns({
         "min_distance": F.least(F.lit(10), nearest),
         "near": F.exists(term_list, lambda t: (c("sld_skel") != t) & (
             F.levenshtein(c("sld_skel"), t) <= F.when(F.length(t) <= 6, 1).otherwise(2))),
         "equal": F.array_contains(term_list, c("sld_skel")),
-        "best": highest(c("sld_skel")),
+        "others": others(c("sld_skel")),
+    })
+    measured = measured.withColumns({
+        "near": c("near") | (c("others") >= NEAR_RATIO),
+        "best": F.when(c("equal"), 1.0).otherwise(c("others")),
     })
-    # The best ratio among unequal terms is the best ratio unless a term is equal.
-    unequal = S.best_ratio(terms, skip_equal=True)
-    measured = measured.withColumn("near", c("near") | (unequal(c("sld_skel")) >= NEAR_RATIO))
     official = profile.filter("is_official").select("domain", F.lit(True).alias("is_official"))
     return (
         slds.join(measured, "sld_skel").join(official, "domain", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk.operators.urls import url_fingerprints
+from urlrisk.session import cut
 from urlrisk.sources.reputation import ReputationTables
 
 c = F.col
@@ -19,19 +20,26 @@ def _renamed(table: DataFrame, key: str, prefix: str) -> DataFrame:
 def add_reputation(urls: DataFrame, tables: ReputationTables, column: str = "url") -> DataFrame:
     """Add the ``reputation`` struct.
 
-    Three equi-joins.  Table sizes are unknown, so none is forced to broadcast;
-    adaptive execution picks the join and splits hot hosts.
+    The store meets distinct keys, not rows: distinct fingerprints (hashes only)
+    and distinct hosts.  What matched is usually small and is joined back; its
+    size is known on a cluster, so it is broadcast only when it is small.
     """
     stale = tables.stale
     # A row without a host matches nothing; lookups need a readable store with hosts.
     rows = url_fingerprints(urls, column)
+    helpers = ("rep_host", "rep_root", "fingerprint", "fingerprint_hash")
     if tables.load_error is not None:
-        return no_reputation(rows).drop("rep_host", "rep_root", "fingerprint", "fingerprint_hash")
-    rows = (
-        rows.join(_renamed(tables.fingerprints, "fingerprint_hash", "u"), "fingerprint_hash", "left")
+        return no_reputation(rows).drop(*helpers)
+    url_hits = rows.select("fingerprint_hash").distinct().join(
+        _renamed(tables.fingerprints, "fingerprint_hash", "u"), "fingerprint_hash")
+    host_hits = (
+        rows.select("rep_host", "rep_root").distinct()
         .join(_renamed(tables.hosts, "rep_host", "h"), "rep_host", "left")
         .join(_renamed(tables.roots, "rep_root", "r"), "rep_root", "left")
+        .filter("h_sources IS NOT NULL OR r_sources IS NOT NULL").drop("rep_root")
     )
+    rows = rows.join(cut(url_hits, "url-hits"), "fingerprint_hash", "left").join(
+        cut(host_hits, "host-hits"), "rep_host", "left")
     has_host = c("rep_host") != ""
     by_url = has_host & c("u_sources").isNotNull()
     by_host = has_host & ~by_url & c("h_sources").isNotNull()
@@ -57,8 +65,7 @@ def add_reputation(urls: DataFrame, tables: ReputationTables, column: str = "url
         F.when(by_root, c("r_count")).otherwise(0).alias("context_url_count"),
         c("rep_host").alias("normalized_host"), c("rep_root").alias("root_domain"))
     return rows.withColumn("reputation", reputation).drop(
-        "u_sources", "u_count", "h_sources", "h_count", "r_sources", "r_count",
-        "rep_host", "rep_root", "fingerprint", "fingerprint_hash")
+        "u_sources", "u_count", "h_sources", "h_count", "r_sources", "r_count", *helpers)
 
 
 def no_reputation(rows: DataFrame) -> DataFrame:

@@ -24,22 +24,26 @@ def with_lure_text(urls: DataFrame) -> DataFrame:
 
 
 def site_facts(prepared: DataFrame, registry: Registry) -> DataFrame:
-    """Match evidence per distinct (host, short-link text).
+    """Match evidence per distinct (host, short-link text) that matches anything.
 
     Duplicates are removed before the shuffle, so a host that holds most rows
-    costs one row here.
+    costs one row here.  Most hosts match no rule and leave no row, which keeps
+    the table that is joined back small.
     """
     keys = cut(prepared.select(*KEYS).distinct(), "site-keys")
     profile = host_profile(keys.select("domain").distinct(), registry)
     lures = lure_matches(keys.filter("lure_text <> ''").select("lure_text").distinct(), registry)
-    return cut(keys.join(profile, "domain", "left").join(lures, "lure_text", "left"), "site-facts")
+    facts = keys.join(profile, "domain", "left").join(lures, "lure_text", "left")
+    return cut(facts.filter("is_official IS NOT NULL OR lure_hit IS NOT NULL"), "site-facts")
 
 
 def url_evidence(urls: DataFrame, registry: Registry, reputation=None) -> DataFrame:
     """Prepared URLs with all match evidence.
 
-    The one shuffle of full rows is the join back on (host, short-link text).
-    Its right side is distinct, so adaptive execution can split a hot host.
+    Full rows are joined once, on (host, short-link text).  The right side is a
+    written table on a cluster: when its real size is under the broadcast limit
+    nothing is shuffled, otherwise it is a sort-merge join whose right side is
+    distinct, so adaptive execution can split a hot host.
     """
     prepared = with_lure_text(prepared_urls(urls))
     rows = evidence_defaults(prepared.join(site_facts(prepared, registry), KEYS, "left"))

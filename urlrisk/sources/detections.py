@@ -27,9 +27,12 @@ def detections_from_scores(scored: DataFrame, user_id: Column, user_email: Colum
 
 
 def append_detections(rows: DataFrame, path: str) -> None:
-    """Append to the log, partitioned by month so that date filters skip files."""
-    rows.withColumn("month", F.date_format("timestamp", "yyyy-MM")).write.mode("append").partitionBy(
-        "month").parquet(path)
+    """Append to the log, partitioned by month so that date filters skip files.
+
+    Rebalancing gathers a month into few files and still splits a large month.
+    """
+    monthly = rows.withColumn("month", F.date_format("timestamp", "yyyy-MM")).hint("rebalance", "month")
+    monthly.write.mode("append").partitionBy("month").parquet(path)
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from urlrisk.session import cut
+
 c = F.col
 
 
@@ -43,28 +45,27 @@ def dedupe_keep_last(merged: DataFrame) -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Mark a fixed share of every label as test rows, reproducibly.
+    """Mark a fixed share of every label as test rows, reproducibly; rows are distinct (url, label).
 
-    Rows are ordered by a hash of the URL.  The cut value of each label is found
-    from counts per hash bucket, so no label is sorted in one task: only the one
-    bucket that holds the cut is ranked.
+    Rows are ordered by a hash of the URL, and a row is a test row when its hash
+    is at most the cut hash of its label.  The cut is found from counts per hash
+    bucket: only the one bucket that holds it is ranked, so no label is sorted.
     """
     hashed = rows.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(str(seed)), "url"), 256))
-    hashed = hashed.withColumn("_b", F.substring("_h", 1, 4))
-    buckets = hashed.groupBy("label", "_b").agg(F.count("*").alias("_n"))
-    totals = buckets.groupBy("label").agg(F.sum("_n").alias("_all"))
+    buckets = hashed.groupBy("label", F.substring("_h", 1, 4).alias("_b")).agg(F.count("*").alias("_n"))
+    totals = buckets.groupBy("label").agg(F.floor(F.sum("_n") * test_share + 0.5).alias("_want"))
     # At most 65,536 buckets per label reach this window.
-    order = Window.partitionBy("label").orderBy("_b")
-    upto = buckets.withColumn("_cum", F.sum("_n").over(order)).join(totals, "label")
-    want = F.floor(c("_all") * test_share + 0.5)
-    plan = upto.select("label", "_b", F.greatest(F.lit(0), F.least(c("_n"), want - (c("_cum") - c("_n"))))
-                       .alias("_take"), c("_n").alias("_size"))
-    marked = hashed.join(plan, ["label", "_b"])
-    ranked = marked.filter((c("_take") > 0) & (c("_take") < c("_size"))).withColumn(
-        "_r", F.row_number().over(Window.partitionBy("label", "_b").orderBy("_h")))
-    ranked = ranked.withColumn("is_test", c("_r") <= c("_take")).drop("_r")
-    whole = marked.filter((c("_take") <= 0) | (c("_take") >= c("_size"))).withColumn("is_test", c("_take") > 0)
-    return whole.unionByName(ranked).drop("_h", "_b", "_take", "_size")
+    upto = buckets.withColumn("_upto", F.sum("_n").over(Window.partitionBy("label").orderBy("_b")))
+    holder = upto.join(totals, "label").filter(
+        (c("_upto") >= c("_want")) & (c("_upto") - c("_n") < c("_want"))).select(
+        "label", "_b", (c("_want") - c("_upto") + c("_n")).alias("_take"))
+    inside = hashed.select("label", "_h", F.substring("_h", 1, 4).alias("_b")).join(holder, ["label", "_b"])
+    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("_h")))
+    cuts = ranked.filter(c("_r") == c("_take")).select("label", c("_h").alias("_cut"))
+    return (
+        hashed.join(cut(cuts, "cuts"), "label", "left")
+        .withColumn("is_test", F.coalesce(c("_h") <= c("_cut"), F.lit(False))).drop("_h", "_cut")
+    )
 
 
 def report_lines(metrics: DataFrame, labels: DataFrame, sources: DataFrame, cases: DataFrame) -> DataFrame:

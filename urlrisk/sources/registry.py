@@ -187,16 +187,16 @@ def _domains(spark: SparkSession, words: list[str]) -> DataFrame:
     return values(spark, {"domain": "string"}, [(w,) for w in words])
 
 
-_CORE: dict[int, Registry] = {}
+_CORE: dict[str, Registry] = {}
 
 
 def core_registry(spark: SparkSession) -> Registry:
     """The registry shipped with the package: built-in entries under the core list."""
-    key = id(spark)
+    key = spark.sparkContext.applicationId
     if key not in _CORE:
         built_in = entries(spark, C.BUILT_IN_DOMAINS)
         core = entries(spark, C.CORE_DOMAINS, _FILE_OFFSET)
-        _CORE[key] = Registry(merge_entries(built_in, core), _domains(spark, C.EXACT_ONLY_DOMAINS),
+        _CORE[key] = Registry(materialize(merge_entries(built_in, core), "entries"), _domains(spark, C.EXACT_ONLY_DOMAINS),
                               _domains(spark, C.SHARED_HOSTING_DOMAINS), broadcast=True)
     return _CORE[key]
 
