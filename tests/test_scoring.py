@@ -175,7 +175,7 @@ def test_override_order_equals_plain_definition(spark):
                      rng.random() < 0.3, rng.choice([None, "github.io"]), rng.random() < 0.2))
     ddl = "id int, " + ", ".join(f"{n}_score int" for n in names) + ", is_official boolean, shared_provider string, shortener boolean"
     table = spark.createDataFrame(data, ddl).withColumns({
-        "rule_url": F.lit("https://a.b"), "domain": F.lit("a.b"),
+        "at_sign": F.lit(False), "ip_host": F.lit(False),
         "aiModelProbability_status": F.lit("x"), "aiModelProbability_explanation": F.lit("x")})
     for step in (SC.clean_correction, SC.weighted_score, SC.critical_rules, SC.top_signals, SC.override_chain):
         table = step(table)

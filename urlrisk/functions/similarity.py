@@ -47,8 +47,7 @@ def grams(text: Column, n: int) -> Column:
 
 
 @F.pandas_udf(T.DoubleType())
-def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Sequence-match ratio of candidate pairs; order of the pair matters."""
+def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(
         [
             None if a is None or b is None else SequenceMatcher(None, a, b).ratio()
@@ -58,6 +57,11 @@ def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     )
 
 
+# Sequence-match ratio of candidate pairs; order of the pair matters.  Marked
+# non-deterministic so that the optimizer evaluates it once, not again in each filter.
+ratio = _ratio.asNondeterministic()
+
+
 def best_ratio(terms: list[str]):
     """Pandas UDF: highest ratio of a text against the unequal terms of a size-checked list.
 

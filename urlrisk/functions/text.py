@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,21 @@ def skeleton_literals(words: list[str]) -> Column:
     return F.array(*[F.struct(F.lit(w).alias("word"), skeleton(F.lit(w)).alias("skel")) for w in words])
 
 
+def count_char(text: Column, char: str) -> Column:
+    """Occurrences of one character.  Cheaper than a regular-expression count, which builds every match."""
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+
+
+def count_class(text: Column, char_class: str) -> Column:
+    """Characters of a regular-expression class."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{char_class}+", ""))
+
+
+def count_special(text: Column) -> Column:
+    """Characters that are not ASCII letters or digits."""
+    return F.length(F.translate(text, string.ascii_letters + string.digits, ""))
+
+
 def has_marker(label: Column) -> Column:
     return label.rlike(C.CONFUSABLE_MARKER)
 

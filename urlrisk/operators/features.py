@@ -10,28 +10,23 @@ from pyspark.sql import types as T
 
 from urlrisk import constants as C
 from urlrisk.functions import url as U
-from urlrisk.functions.text import skeleton
+from urlrisk.functions.text import count_char, count_class, count_special, skeleton
 from urlrisk.operators.matching import brand_similarity, host_profile, lure_matches
 from urlrisk.operators.urls import prepared_urls
 from urlrisk.session import cut
 from urlrisk.sources.registry import BROADCAST_DOMAINS, Registry
 
 c = F.col
-_SPECIAL = "[^a-zA-Z0-9]"
-
-
-def _count(text: Column, char: str) -> Column:
-    return F.regexp_count(text, F.lit("\\" + char))
 
 
 def lexical_counts(urls: DataFrame, column: str = "url") -> DataFrame:
     """Lengths and character counts of a URL."""
     u = c(column)
     return urls.withColumns({
-        "url_length": F.length(u), "dot_count": _count(u, "."), "hyphen_count": _count(u, "-"),
-        "at_count": _count(u, "@"), "question_count": _count(u, "?"), "equals_count": _count(u, "="),
-        "slash_count": _count(u, "/"), "digit_count": F.regexp_count(u, F.lit(r"(?U)\d")),
-        "special_character_count": F.regexp_count(u, F.lit(_SPECIAL)),
+        "url_length": F.length(u), "dot_count": count_char(u, "."), "hyphen_count": count_char(u, "-"),
+        "at_count": count_char(u, "@"), "question_count": count_char(u, "?"), "equals_count": count_char(u, "="),
+        "slash_count": count_char(u, "/"), "digit_count": count_class(u, r"(?U)\d"),
+        "special_character_count": count_special(u),
         "ip_address_flag": u.rlike(C.IP_PATTERN).cast("int"),
     })
 
@@ -98,7 +93,7 @@ def features_5(urls: DataFrame, column: str = "url") -> DataFrame:
     lower = F.lower(column)
     return urls.withColumns({
         "url_length": F.length(column), "uses_https": lower.startswith("https://").cast("int"),
-        "dot_count": _count(lower, "."), "hyphen_count": _count(lower, "-"),
+        "dot_count": count_char(lower, "."), "hyphen_count": count_char(lower, "-"),
         "keyword_count": _contained(lower, C.SHORT_KEYWORDS)})
 
 
@@ -152,14 +147,14 @@ def features_30(urls: DataFrame, column: str = "url") -> DataFrame:
     number = lambda x: x.cast("double")
     capped = lambda x, top: F.least(number(x), F.lit(float(top))) / float(top)
     any_of = lambda text, words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w))
-    marker = F.regexp_count(host, F.lit(C.CONFUSABLE_MARKER))
+    marker = count_class(host, C.CONFUSABLE_MARKER)
     features = [
         capped(F.length(u), 300), capped(F.length(host), 120), capped(F.length("_path"), 220),
-        capped(F.length(query), 220), number(c("_scheme") == "https"), capped(_count(host, "."), 8),
-        capped(F.greatest(F.size("_labels") - 2, F.lit(0)), 8), capped(_count(host, "-"), 8),
-        capped(F.regexp_count(u, F.lit(r"(?U)\d")), 30),
-        F.least(F.regexp_count(host, F.lit(r"(?U)\d")) / F.greatest(F.lit(1), F.length(host)), F.lit(1.0)),
-        capped(F.regexp_count(u, F.lit(r"(?U)[^\p{L}\p{N}]")), 45),
+        capped(F.length(query), 220), number(c("_scheme") == "https"), capped(count_char(host, "."), 8),
+        capped(F.greatest(F.size("_labels") - 2, F.lit(0)), 8), capped(count_char(host, "-"), 8),
+        capped(count_class(u, r"(?U)\d"), 30),
+        F.least(count_class(host, r"(?U)\d") / F.greatest(F.lit(1), F.length(host)), F.lit(1.0)),
+        capped(count_class(u, r"(?U)[^\p{L}\p{N}]"), 45),
         capped(F.size(F.array_compact(terms)), 8),
         number(host.rlike(r"^(\d{1,3}\.){3}\d{1,3}$")), number(host.contains("xn--")),
         number(c("_path").contains("%") | query.contains("%")), number(u.contains("@")),

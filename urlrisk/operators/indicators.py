@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from urlrisk import constants as C
 from urlrisk import messages as M
-from urlrisk.functions.text import clamp, half_even, skeleton
+from urlrisk.functions.text import clamp, count_char, count_class, count_special, half_even, skeleton
 from urlrisk.operators.matching import bad_tld_points, keyword_hits
 from urlrisk.operators.urls import confusable_tld, is_ip_like
 
@@ -120,14 +120,13 @@ def brand_verification() -> Column:
 
 
 def homograph_attack() -> Column:
-    skel, typo = c("skeleton_hit"), c("typo_hit")
-    folded = skeleton(c("tld"))
+    skel, typo, folded = c("skeleton_hit"), c("typo_hit"), c("tld_skel")
     return _chain(
         (c("shared_provider").isNotNull(), _outcome(0, "warning", M.HOMOGRAPH_SHARED, _platform_value())),
         (c("is_official"), _outcome(0, "safe", M.HOMOGRAPH_OFFICIAL, _quoted(c("domain")))),
         (c("subdomain_parent").isNotNull(), _outcome(95, "danger", M.HOMOGRAPH_SUBDOMAIN, _subdomain_value())),
-        (c("domain").contains("xn--"), _outcome(100, "danger", M.HOMOGRAPH_PUNYCODE, _quoted(c("domain")))),
-        (confusable_tld(c("tld")), _outcome(100, "danger", F.format_string(M.HOMOGRAPH_TLD, c("tld"), folded),
+        (c("punycode"), _outcome(100, "danger", M.HOMOGRAPH_PUNYCODE, _quoted(c("domain")))),
+        (c("confusable"), _outcome(100, "danger", F.format_string(M.HOMOGRAPH_TLD, c("tld"), folded),
                                             _json(domain=c("domain"), tld=c("tld"), tld_skeleton=folded))),
         (c("token_hit").isNotNull(), _outcome(95, "danger", M.HOMOGRAPH_TOKEN, _token_value())),
         (skel.isNotNull(), _outcome(100, "danger", F.format_string(M.HOMOGRAPH_SKELETON, skel["official"]),
@@ -155,22 +154,20 @@ def _listed(texts: Column) -> Column:
 
 
 def url_structure(rows: DataFrame) -> DataFrame:
-    hyphens = F.regexp_count("domain", F.lit("-"))
-    tld_points = bad_tld_points(c("tld"))
+    hyphens, tld_points = c("hyphens"), c("tld_points")
     points, reasons = _reasons(
         (c("shortener"), 45, M.STRUCTURE_SHORTENER),
-        (c("shortener") & c("lure_hit").isNotNull(), 60,
+        (c("brand_lure"), 60,
          F.format_string(M.STRUCTURE_LURE, c("lure_hit.token"))),
-        (c("rule_url").contains("@"), 100, M.STRUCTURE_AT),
-        (is_ip_like(c("domain")), 100, M.STRUCTURE_IP),
-        (c("domain").contains("xn--"), 100, M.STRUCTURE_PUNYCODE),
+        (c("at_sign"), 100, M.STRUCTURE_AT),
+        (c("ip_host"), 100, M.STRUCTURE_IP),
+        (c("punycode"), 100, M.STRUCTURE_PUNYCODE),
         (tld_points.isNotNull(), tld_points, F.format_string(M.STRUCTURE_TLD, c("tld"))),
-        (confusable_tld(c("tld")), 100,
-         F.format_string(M.STRUCTURE_CONFUSABLE_TLD, c("tld"), skeleton(c("tld")))),
+        (c("confusable"), 100, F.format_string(M.STRUCTURE_CONFUSABLE_TLD, c("tld"), c("tld_skel"))),
         (hyphens >= 3, 60, M.STRUCTURE_MANY_HYPHENS),
         ((hyphens > 0) & (hyphens < 3), 25, M.STRUCTURE_HYPHENS),
-        (c("sld").rlike("[0-9]"), 30, M.STRUCTURE_DIGITS),
-        (F.regexp_count("domain", F.lit(r"\.")) >= 4, 50, M.STRUCTURE_DEEP),
+        (c("digits") > 0, 30, M.STRUCTURE_DIGITS),
+        (c("dots") >= 4, 50, M.STRUCTURE_DEEP),
         (c("path").contains("%") | c("query").contains("%"), 30, M.STRUCTURE_ENCODED),
     )
     rows = rows.withColumns({"_points": F.least(F.lit(100), points), "_reasons": reasons})
@@ -205,8 +202,7 @@ def https_usage() -> Column:
 
 
 def url_length_complexity() -> Column:
-    size = F.length("rule_url")
-    special = F.regexp_count("rule_url", F.lit("[^a-zA-Z0-9]"))
+    size, special = c("url_size"), c("special")
     points, reasons = _reasons(
         (size > 120, 80, M.LENGTH_EXTREME),
         ((size > 90) & (size <= 120), 50, M.LENGTH_SUSPICIOUS),
@@ -226,19 +222,17 @@ def lexical_probability() -> Column:
         return F.when(condition, points).otherwise(F.lit(0.0))
 
     official = c("is_official")
-    size, hyphens = F.length("rule_url"), F.regexp_count("domain", F.lit("-"))
-    digits = F.regexp_count("sld", F.lit("[0-9]"))
+    size, hyphens, digits, tld_points = c("url_size"), c("hyphens"), c("digits"), c("tld_points")
     many_digits = (F.length("sld") > 0) & (digits >= F.length("sld") * 0.30)
-    tld_points = bad_tld_points(c("tld"))
     score = (
         F.when(official, 4.0).otherwise(12.0)
         + when(c("scheme") != "https", 12.0)
         + when(c("shortener"), 22.0)
-        + when(c("shortener") & c("lure_hit").isNotNull(), 48.0)
-        + when(is_ip_like(c("domain")), 36.0)
-        + when(c("rule_url").contains("@"), 36.0)
+        + when(c("brand_lure"), 48.0)
+        + when(c("ip_host"), 36.0)
+        + when(c("at_sign"), 36.0)
         + when(tld_points.isNotNull(), F.least(F.lit(22.0), tld_points * 0.25))
-        + when(confusable_tld(c("tld")), 38.0)
+        + when(c("confusable"), 38.0)
         + F.least(F.lit(28.0), F.size("keywords") * 7.0)
         + when(~official & c("skeleton_hit").isNotNull(), 45.0)
         + when(~official & c("substring_hit").isNotNull(), 22.0)
@@ -247,7 +241,7 @@ def lexical_probability() -> Column:
         + F.when(hyphens >= 3, 14.0).when(hyphens > 0, 6.0).otherwise(0.0)
         + F.when(size > 120, 16.0).when(size > 80, 10.0).when((size > 55) & ~official, 5.0).otherwise(0.0)
     )
-    score = F.least(score, F.when(official, 8.0).otherwise(score))
+    score = F.least(score, F.when(official, 8.0).otherwise(100.0))
     return clamp(score / 100, 0.02, 0.95)
 
 
@@ -282,6 +276,27 @@ def ai_probability(modelled: bool) -> Column:
     return _outcome(score, status, text, value)
 
 
+def add_signals(rows: DataFrame) -> DataFrame:
+    """Plain facts of a URL that several rules read, each computed once."""
+    rows = rows.withColumns({
+        "target": keyword_target(),
+        "ip_host": is_ip_like(c("domain")),
+        "at_sign": c("rule_url").contains("@"),
+        "punycode": c("domain").contains("xn--"),
+        "tld_points": bad_tld_points(c("tld")),
+        "tld_skel": skeleton(c("tld")),
+        "confusable": confusable_tld(c("tld")),
+        "hyphens": count_char(c("domain"), "-"),
+        "dots": count_char(c("domain"), "."),
+        "digits": count_class(c("sld"), "[0-9]"),
+        "url_size": F.length("rule_url"),
+        "special": count_special(c("rule_url")),
+        "brand_lure": c("shortener") & c("lure_hit").isNotNull(),
+    })
+    rows = rows.withColumn("target_skel", skeleton(c("target")))
+    return rows.withColumn("keywords", keyword_hits(c("target"), c("target_skel")))
+
+
 def evidence_defaults(rows: DataFrame) -> DataFrame:
     """Hosts that matched nothing have no profile row; fill in what that means."""
     return rows.withColumns({
@@ -296,8 +311,7 @@ def add_indicators(rows: DataFrame, modelled: bool = False) -> DataFrame:
     With ``modelled`` the rows carry ``raw_probability`` and ``confidence`` of a
     trained model; otherwise the lexical estimate stands in for it.
     """
-    rows = rows.withColumn("keywords", keyword_hits(keyword_target()))
-    rows = rows.withColumn("lexical_probability", lexical_probability())
+    rows = add_signals(rows).withColumn("lexical_probability", lexical_probability())
     if modelled:
         calibrated = calibrated_probability(c("raw_probability"), c("lexical_probability"))
     else:

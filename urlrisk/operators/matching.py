@@ -238,13 +238,17 @@ def brand_similarity(hosts: DataFrame, registry: Registry, terms: list[str], pro
     )
 
 
-def keyword_hits(target: Column) -> Column:
-    """Suspicious keywords in a lower-case text, directly or through its skeleton, in list order."""
-    folded = skeleton(target)
-    found = [
-        F.when(target.contains(w) | folded.contains(skeleton(F.lit(w))), F.lit(w)) for w in C.KEYWORDS
-    ]
-    return F.array_compact(F.array(*found))
+def keyword_hits(target: Column, folded: Column) -> Column:
+    """Suspicious keywords in a lower-case text or in its skeleton, in list order.
+
+    A word in the text is also in the skeleton, unless a letter pair that folds
+    into one letter reaches across its edge; only such words need both tests.
+    """
+    def test(word: str) -> Column:
+        in_skeleton = folded.contains(skeleton(F.lit(word)))
+        return in_skeleton | target.contains(word) if word[0] in "nv" or word[-1] in "rv" else in_skeleton
+
+    return F.array_compact(F.array(*[F.when(test(w), F.lit(w)) for w in C.KEYWORDS]))
 
 
 def bad_tld_points(tld: Column) -> Column:

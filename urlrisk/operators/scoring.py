@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from urlrisk import constants as C
 from urlrisk import messages as M
 from urlrisk.functions.text import clamp, values
-from urlrisk.operators.urls import is_ip_like
 
 c = F.col
 
@@ -51,8 +50,8 @@ def critical_rules(rows: DataFrame) -> DataFrame:
         (c("shortener") & (brand >= 90), M.CRITICAL_SHORTENER),
         ((brand >= 90) & (keyword >= 40), M.CRITICAL_BRAND_KEYWORD),
         ((_score("httpsUsage") >= 60) & (keyword >= 70), M.CRITICAL_HTTP_KEYWORD),
-        (c("rule_url").contains("@"), M.CRITICAL_AT),
-        (is_ip_like(c("domain")), M.CRITICAL_IP),
+        (c("at_sign"), M.CRITICAL_AT),
+        (c("ip_host"), M.CRITICAL_IP),
     ]
     reasons = F.array_compact(F.array(*[F.when(test, F.lit(text)) for test, text in rules]))
     return rows.withColumn("critical_reasons", reasons).withColumn("critical", F.size("critical_reasons") > 0)

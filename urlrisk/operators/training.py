@@ -53,7 +53,7 @@ def _filled(templates, *values) -> "F.Column":
     return F.array(*[F.format_string(t, *values) for t in templates])
 
 
-def _rows(urls: DataFrame, label: int, weight: float) -> DataFrame:
+def labelled_rows(urls: DataFrame, label: int, weight: float) -> DataFrame:
     source = "synthetic_phishing" if label else "synthetic_safe"
     return urls.select("url", F.lit(label).alias("label"), F.lit(source).alias("source"),
                        F.lit(weight).alias("sample_weight"))
@@ -62,7 +62,7 @@ def _rows(urls: DataFrame, label: int, weight: float) -> DataFrame:
 def safe_cases(domains: DataFrame) -> DataFrame:
     """Four ordinary pages of every trusted domain."""
     paths = F.array(*[F.lit(p) for p in SAFE_PATHS])
-    return _rows(domains.select(F.explode(F.transform(paths, lambda p: F.concat(
+    return labelled_rows(domains.select(F.explode(F.transform(paths, lambda p: F.concat(
         F.lit("https://"), c("domain"), p))).alias("url")), 0, SAFE_WEIGHT)
 
 
@@ -75,13 +75,13 @@ def brand_cases(brands: DataFrame) -> DataFrame:
     tlds = F.array(*[F.lit(t) for t in LURE_TLDS])
     each = brands.select("brand", F.posexplode(terms).alias("i", "term"))
     each = each.withColumn("tld", F.get(tlds, F.pmod(c("i") + F.length("brand"), F.lit(len(LURE_TLDS)))))
-    return _rows(each.select(F.explode(_filled(BRAND_TEMPLATES, "brand", "term", "tld")).alias("url")),
+    return labelled_rows(each.select(F.explode(_filled(BRAND_TEMPLATES, "brand", "term", "tld")).alias("url")),
                  1, PHISHING_WEIGHT)
 
 
 def lookalike_cases(fakes: DataFrame) -> DataFrame:
     """Three phishing forms of every look-alike name (``fake``)."""
-    return _rows(fakes.select(F.explode(_filled(LOOKALIKE_TEMPLATES, "fake")).alias("url")), 1, PHISHING_WEIGHT)
+    return labelled_rows(fakes.select(F.explode(_filled(LOOKALIKE_TEMPLATES, "fake")).alias("url")), 1, PHISHING_WEIGHT)
 
 
 def token_cases(tokens: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def token_cases(tokens: DataFrame) -> DataFrame:
     hosts = tokens.select(F.explode(_filled(TOKEN_TEMPLATES, "token", "brand")).alias("url"))
     links = tokens.select("token", F.explode(shorteners).alias("shortener")).select(
         F.explode(_filled(SHORTENER_TEMPLATES, "token", "shortener")).alias("url"))
-    return _rows(hosts.unionByName(links), 1, PHISHING_WEIGHT)
+    return labelled_rows(hosts.unionByName(links), 1, PHISHING_WEIGHT)
 
 
 def lure_path_cases(paths: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def lure_path_cases(paths: DataFrame) -> DataFrame:
     shorteners = F.array(*[F.lit(s) for s in TRAINING_SHORTENERS])
     links = paths.select(F.explode(F.transform(shorteners, lambda s: F.concat(
         F.lit("https://"), s, F.lit("/"), c("path")))).alias("url"))
-    return _rows(obfuscate_urls(links).select(c("variant_url").alias("url")), 1, PHISHING_WEIGHT)
+    return labelled_rows(obfuscate_urls(links).select(c("variant_url").alias("url")), 1, PHISHING_WEIGHT)
 
 
 def ip_cases(blocks: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def ip_cases(blocks: DataFrame) -> DataFrame:
         F.format_string("http://%s.%s/login", "block", at(10)),
         F.format_string("http://%s.%s/verify/account", "block", at(20)),
         F.format_string("http://%s.%s/payment?session=%dabc", "block", at(30), "idx"))
-    return _rows(blocks.select(F.explode(forms).alias("url")), 1, PHISHING_WEIGHT)
+    return labelled_rows(blocks.select(F.explode(forms).alias("url")), 1, PHISHING_WEIGHT)
 
 
 def augment_cases(domains: DataFrame, brands: DataFrame, tokens: DataFrame, fakes: DataFrame,

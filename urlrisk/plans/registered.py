@@ -382,7 +382,8 @@ def brand_similarity_features(spark, sf):
 
 
 def keyword_hits(spark, sf):
-    rows = prepared(spark, sf).withColumn("found", MT.keyword_hits(F.lower(F.concat_ws(" ", "domain", "path", "query"))))
+    rows = prepared(spark, sf).withColumn("target", F.lower(F.concat_ws(" ", "domain", "path", "query")))
+    rows = rows.withColumn("folded", skeleton(c("target"))).withColumn("found", MT.keyword_hits(c("target"), c("folded")))
     return rows.select("url_id", F.array_join("found", ",").alias("keywords"), F.size("found").alias("n"))
 
 
