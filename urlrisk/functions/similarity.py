@@ -46,6 +46,26 @@ def grams(text: Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+# Names of at most this length are found through deletion keys, longer ones through trigrams.
+SHORT = 8
+
+
+def short_keys(text: Column, reach: int = 1) -> Column:
+    """Deletion keys of a text that can be within ``reach`` edits of a short name."""
+    return F.when(F.length(text) <= SHORT + reach, deletions(text)).otherwise(F.array().cast("array<string>"))
+
+
+def long_keys(text: Column, reach: int = 1) -> Column:
+    """Trigrams of a text that can be within reach of a long name.
+
+    One edit cuts a name of nine letters into two parts with eight letters left,
+    so one part keeps a trigram.  A ratio of at least 0.9 with two edits or more
+    needs twenty letters in both names together and leaves a common block of
+    three or more as well.
+    """
+    return F.when(F.length(text) > SHORT - reach, grams(text, 3)).otherwise(F.array().cast("array<string>"))
+
+
 @F.pandas_udf(T.DoubleType())
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(

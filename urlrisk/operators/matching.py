@@ -59,14 +59,12 @@ def host_keys(hosts: DataFrame) -> DataFrame:
             F.lit("token").alias("kind"), skeleton(t).alias("key"), i.cast("int").alias("pos"),
             t.alias("text"), empty.alias("skel"))),
         _keys("substring", S.grams(c("host_skel"), 4), empty, c("host_skel")),
-        _keys("typo", S.deletions(c("sld_skel")), empty, c("sld_skel")),
-        _keys("typo3", F.when(F.length("sld_skel") >= 9, S.grams(c("sld_skel"), 3)).otherwise(
-            F.array().cast("array<string>")), empty, c("sld_skel")),
+        _keys("typo", S.short_keys(c("sld_skel")), empty, c("sld_skel")),
+        _keys("typo3", S.long_keys(c("sld_skel")), empty, c("sld_skel")),
         F.flatten(F.transform(inner, lambda s: _keys(
-            "label", S.deletions(s["skel"]), s["label"], s["skel"], s["pos"]))),
-        F.flatten(F.transform(
-            F.filter(inner, lambda s: (F.length(s["skel"]) >= 9) & has_marker(s["label"])),
-            lambda s: _keys("label3", S.grams(s["skel"], 3), s["label"], s["skel"], s["pos"]))),
+            "label", S.short_keys(s["skel"]), s["label"], s["skel"], s["pos"]))),
+        F.flatten(F.transform(inner, lambda s: _keys(
+            "label3", S.long_keys(s["skel"]), s["label"], s["skel"], s["pos"]))),
     )
     return base.select("domain", c("root").alias("host_root"), c("n").alias("host_labels"),
                        F.inline(keys))
@@ -173,18 +171,17 @@ def lure_matches(texts: DataFrame, registry: Registry, column: str = "lure_text"
     c = F.col
     tokens = F.filter(F.split(skeleton(c(column)), "[^a-z0-9]+"), lambda t: F.length(t) >= 4)
 
-    def keys(kind, made, token, pos):
-        return F.transform(made, lambda k: F.struct(
-            F.lit(kind).alias("kind"), k.alias("key"), pos.cast("int").alias("pos"), token.alias("token")))
+    def keys(kind, made):
+        return F.transform(made, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
 
     # Terms of nine letters or more share a trigram with every token in reach, so
     # deletion keys serve short terms only and long tokens make none.
-    none = F.array().cast("array<string>")
-    exploded = texts.select(column, F.inline(F.flatten(F.transform(tokens, lambda t, i: F.concat(
-        keys("near", F.when(F.length(t) <= 10, S.deletions(t, 2)).otherwise(none), t, i),
-        keys("inside", S.grams(t, 4), t, i),
-        keys("gram", F.when(F.length(t) >= 7, S.grams(t, 3)).otherwise(none), t, i),
-    )))))
+    none, token = F.array().cast("array<string>"), c("token")
+    split = texts.select(column, F.posexplode(tokens).alias("pos", "token"))
+    exploded = split.select(column, "pos", "token", F.inline(F.concat(
+        keys("near", F.when(F.length(token) <= 10, S.deletions(token, 2)).otherwise(none)),
+        keys("inside", S.grams(token, 4)),
+        keys("gram", F.when(F.length(token) >= 7, S.grams(token, 3)).otherwise(none)))))
     size, term_size = F.length("token"), F.length("term")
     pairs = exploded.join(registry.term_keys, ["kind", "key"]).filter(
         F.abs(size - term_size) <= F.greatest(F.lit(2), F.floor(term_size * 0.35).cast("int")))

@@ -121,7 +121,7 @@ class Registry:
 
         suffix/skeleton/hosting: whole domains; token: brand terms;
         substring: first four letters of a brand; typo and label: deletion
-        neighbourhoods and, for long names, trigrams.
+        neighbourhoods of short names and trigrams of long ones.
         """
         none = F.lit(None)
 
@@ -138,8 +138,14 @@ class Registry:
         c = F.col
         owner = {"brand": c("brand"), "brand_ord": c("brand_ord")}
         official, protected = self.official, self.protected_labels
-        long_sld = official.filter(F.length("sld_skel") >= 9)
-        long_label = protected.filter(F.length("skel") >= 9)
+
+        def split_by_length(source, name):
+            size = F.length(name)
+            short = source.filter(size <= S.SHORT).withColumn("k", F.explode(S.deletions(c(name))))
+            return short, source.filter(size > S.SHORT).withColumn("k", F.explode(S.grams(c(name), 3)))
+
+        short_sld, long_sld = split_by_length(official, "sld_skel")
+        short_label, long_label = split_by_length(protected, "skel")
         parts = [
             rows(official, "suffix", c("domain"), c("domain"), place=c("domain"),
                  exact_only=c("exact_only"), n_labels=c("n_labels"), **owner),
@@ -148,14 +154,12 @@ class Registry:
             rows(self.brand_terms, "token", c("term"), c("term"), place=c("place"), root=c("source"), **owner),
             rows(self.brands.filter(F.length("brand_skel") >= 4), "substring",
                  F.substring("brand_skel", 1, 4), c("brand_skel"), **owner),
-            rows(official.withColumn("k", F.explode(S.deletions(c("sld_skel")))), "typo", c("k"), c("sld_skel"),
+            rows(short_sld, "typo", c("k"), c("sld_skel"),
                  place=c("domain"), root=c("root"), **owner),
-            rows(long_sld.withColumn("k", F.explode(S.grams(c("sld_skel"), 3))), "typo3", c("k"), c("sld_skel"),
+            rows(long_sld, "typo3", c("k"), c("sld_skel"),
                  place=c("domain"), root=c("root"), **owner),
-            rows(protected.withColumn("k", F.explode(S.deletions(c("skel")))), "label", c("k"), c("skel"),
-                 approved=c("approved")),
-            rows(long_label.withColumn("k", F.explode(S.grams(c("skel"), 3))), "label3", c("k"), c("skel"),
-                 approved=c("approved")),
+            rows(short_label, "label", c("k"), c("skel"), approved=c("approved")),
+            rows(long_label, "label3", c("k"), c("skel"), approved=c("approved")),
         ]
         table = parts[0]
         for part in parts[1:]:
