@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests.brute import distance, ratio, root, skeleton
 from urlrisk import constants as C

@@ -37,11 +37,6 @@ def skeleton(text: Column) -> Column:
     return folded
 
 
-def skeleton_literals(words: list[str]) -> Column:
-    """Array literal of (word, skeleton of word); constant-folded by the optimizer."""
-    return F.array(*[F.struct(F.lit(w).alias("word"), skeleton(F.lit(w)).alias("skel")) for w in words])
-
-
 def count_char(text: Column, char: str) -> Column:
     """Occurrences of one character.  Cheaper than a regular-expression count, which builds every match."""
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))

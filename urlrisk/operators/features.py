@@ -206,6 +206,14 @@ def ngram_pipeline(char_bits: int = 20, word_bits: int = 18) -> Pipeline:
     return Pipeline(stages=stages)
 
 
+def ngram_tokens(urls: DataFrame, column: str = "url") -> DataFrame:
+    """How many n-grams and words of each URL enter the hashed vector."""
+    lexical = features_30(urls, column).withColumn("normal_url", U.normalize_url(c(column)))
+    made = ngram_pipeline(10, 10).fit(lexical).transform(lexical)
+    return made.select(*urls.columns, F.size("char_grams").alias("char_grams"), F.size("words").alias("words"),
+                       F.size("word_grams").alias("word_grams"))
+
+
 def hashed_ngrams(urls: DataFrame, column: str = "url", char_bits: int = 20, word_bits: int = 18) -> DataFrame:
     """Sparse vectors of :func:`ngram_pipeline`; nothing is fitted, so the model is a pure map."""
     lexical = features_30(urls, column).withColumn("normal_url", U.normalize_url(c(column)))

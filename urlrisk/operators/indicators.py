@@ -92,8 +92,13 @@ def reputation_evidence() -> Column:
         F.format_string(M.REPUTATION_MATCH, rep["match_type"], F.when(sources == "", "local feed").otherwise(sources)),
         F.when(rep["stale"], M.REPUTATION_STALE).otherwise(""))
     value = F.to_json(rep)
+    suppressed = F.to_json(F.struct(
+        "reputation.*", F.lit(True).alias("override_suppressed"),
+        F.lit("verified_official_domain").alias("suppression_reason"), "official_brand",
+        c("official_domain").alias("official_matched_domain")))
     return _chain(
-        (c("is_official"), _outcome(0, "safe", F.format_string(M.REPUTATION_SUPPRESSED, c("official_domain")), value)),
+        (c("is_official"), _outcome(
+            0, "safe", F.format_string(M.REPUTATION_SUPPRESSED, c("official_domain")), suppressed)),
         (rep["match"], _outcome(rep["score"], F.when(rep["score"] >= 80, "danger").otherwise("warning"), note, value)),
         (rep["context_match"], _outcome(
             0, F.when(rep["available"], "safe").otherwise("warning"), M.REPUTATION_CONTEXT, value)),
@@ -266,14 +271,35 @@ def ai_probability(modelled: bool) -> Column:
             F.format_string(M.AI_PLAIN, raw, calibrated, score))
     else:
         status, text = F.lit("warning"), F.lit(M.AI_UNAVAILABLE)
-    effective = F.when(c("is_official"), score / 100).otherwise(c("calibrated_probability"))
-    value = _json(
-        phishing_probability=half_even(effective, 4), phishing_probability_percent=half_even(effective * 100, 2),
-        feature_ai_probability_percent=half_even(c("lexical_probability") * 100, 2),
-        calibrated_phishing_probability_percent=half_even(calibrated, 2),
-        raw_phishing_probability_percent=half_even(raw, 2),
-        adjusted_ai_risk_score=score, confidence_percent=half_even(c("confidence") * 100, 2))
-    return _outcome(score, status, text, value)
+    return _outcome(score, status, text, F.lit(None))
+
+
+def add_ai_value(rows: DataFrame) -> DataFrame:
+    """Evidence of the AI indicator, after the clean-official correction has set its final score."""
+    score, clean = c("aiModelProbability_score"), c("official_clean")
+    effective = F.when(clean, 0.0).when(c("is_official"), score / 100).otherwise(c("calibrated_probability"))
+    rows = rows.withColumn("effective_probability", effective)
+    shares = {
+        "phishing_probability": "effective_probability", "effective_ai_probability": "effective_probability",
+        "feature_ai_probability": "lexical_probability", "calibrated_phishing_probability": "calibrated_probability",
+        "raw_phishing_probability": "raw_probability", "confidence": "confidence",
+    }
+    points = {
+        "raw_ai_risk_score": "raw_probability", "feature_ai_risk_score": "lexical_probability",
+        "calibrated_ai_risk_score": "calibrated_probability",
+    }
+    weight = C.INDICATOR_WEIGHTS["aiModelProbability"]
+    fields = {}
+    for name, column in shares.items():
+        fields[name] = half_even(c(column), 4)
+        fields[f"{name}_percent"] = half_even(c(column) * 100, 2)
+    for name, column in points.items():
+        fields[name] = F.rint(c(column) * 100).cast("int")
+    fields |= {
+        "effective_ai_risk_percent": score, "adjusted_ai_risk_score": score, "weight_percent": F.lit(weight),
+        "weighted_contribution_points": score * weight / 100, "official_domain_correction": F.when(clean, True),
+    }
+    return rows.withColumn("aiModelProbability_value", _json(**fields))
 
 
 def add_signals(rows: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def add_reputation(urls: DataFrame, tables: ReputationTables, column: str = "url
     size is known on a cluster, so it is broadcast only when it is small.
     """
     stale = tables.stale
-    # A row without a host matches nothing; lookups need a readable store with hosts.
+    # A row without a host matches nothing, and neither does a store without hosts.
     rows = url_fingerprints(urls, column)
     helpers = ("rep_host", "rep_root", "fingerprint", "fingerprint_hash")
     if tables.load_error is not None:
@@ -40,7 +40,8 @@ def add_reputation(urls: DataFrame, tables: ReputationTables, column: str = "url
     )
     rows = rows.join(cut(url_hits, "url-hits"), "fingerprint_hash", "left").join(
         cut(host_hits, "host-hits"), "rep_host", "left")
-    has_host = c("rep_host") != ""
+    rows = rows.withColumn("_available", tables.available)
+    has_host = c("_available") & (c("rep_host") != "")
     by_url = has_host & c("u_sources").isNotNull()
     by_host = has_host & ~by_url & c("h_sources").isNotNull()
     by_root = has_host & ~by_url & ~by_host & c("r_sources").isNotNull()
@@ -52,7 +53,7 @@ def add_reputation(urls: DataFrame, tables: ReputationTables, column: str = "url
     host_score = F.when(stale, F.least(host_score, F.when(at_root, 30).otherwise(75))).otherwise(host_score)
     none = F.array().cast("array<string>")
     reputation = F.struct(
-        F.lit(True).alias("available"), stale.alias("stale"), tables.age_days.alias("age_days"),
+        c("_available").alias("available"), stale.alias("stale"), tables.age_days.alias("age_days"),
         (by_url | by_host).alias("match"),
         F.when(by_url, "exact_url").when(by_host, "host").alias("match_type"),
         F.when(by_url, F.when(stale, 85).otherwise(100)).when(by_host, host_score).otherwise(0).alias("score"),
@@ -65,7 +66,7 @@ def add_reputation(urls: DataFrame, tables: ReputationTables, column: str = "url
         F.when(by_root, c("r_count")).otherwise(0).alias("context_url_count"),
         c("rep_host").alias("normalized_host"), c("rep_root").alias("root_domain"))
     return rows.withColumn("reputation", reputation).drop(
-        "u_sources", "u_count", "h_sources", "h_count", "r_sources", "r_count", *helpers)
+        "u_sources", "u_count", "h_sources", "h_count", "r_sources", "r_count", "_available", *helpers)
 
 
 def no_reputation(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from urlrisk import constants as C
 from urlrisk import messages as M
-from urlrisk.functions.text import clamp, values
+from urlrisk.functions.text import clamp, half_even, skeleton, values
+from urlrisk.operators.indicators import add_ai_value
 
 c = F.col
 
@@ -146,7 +147,10 @@ def explanations(indicators: Column) -> Column:
 
 
 def score_audit() -> Column:
+    weights = [F.lit(x) for item in C.INDICATOR_WEIGHTS.items() for x in item]
     return F.struct(
+        F.create_map(*weights).alias("indicator_weights"),
+        F.lit(sum(C.INDICATOR_WEIGHTS.values())).alias("indicator_weight_total_percent"),
         c("weighted_score").alias("weighted_score_before_overrides"),
         c("rounded_score").alias("rounded_weighted_score"),
         c("risk_score").alias("final_risk_score"),
@@ -159,7 +163,7 @@ def score_audit() -> Column:
 
 def add_score(rows: DataFrame) -> DataFrame:
     """Every scoring step over rows that carry the nine indicator structs."""
-    for step in (clean_correction, weighted_score, critical_rules, top_signals, override_chain, risk_band):
+    for step in (clean_correction, add_ai_value, weighted_score, critical_rules, top_signals, override_chain, risk_band):
         rows = step(rows)
     return rows.withColumn("indicators", indicator_array())
 
@@ -167,15 +171,24 @@ def add_score(rows: DataFrame) -> DataFrame:
 def response(rows: DataFrame, *keys: str) -> DataFrame:
     """The scored record a caller receives."""
     band = band_column(c("risk_score"), 0)
+    weight = C.INDICATOR_WEIGHTS["aiModelProbability"]
+    shares = {
+        "ai_phishing_probability": "effective_probability", "raw_ai_phishing_probability": "raw_probability",
+        "feature_ai_probability": "lexical_probability", "calibrated_ai_phishing_probability": "calibrated_probability",
+    }
     return rows.select(
         *keys, "url", "prediction", "decision", "result", "risk_score", "safety_score",
         c("critical").alias("critical_phishing"), "critical_reasons",
-        F.bround(c("confidence") * 100, 2).alias("confidence"),
-        F.bround(c("raw_probability") * 100, 2).alias("raw_ai_phishing_probability_percent"),
-        F.bround(c("lexical_probability") * 100, 2).alias("feature_ai_probability_percent"),
-        F.bround(c("calibrated_probability") * 100, 2).alias("calibrated_ai_phishing_probability_percent"),
-        "ai_score", score_audit().alias("score_audit"), explanations(c("indicators")).alias("explanations"),
-        "indicators", recommendations(band).alias("recommendations"))
+        half_even(c("confidence") * 100, 2).alias("confidence"),
+        *[half_even(c(column), 4).alias(name) for name, column in shares.items()],
+        *[half_even(c(column) * 100, 2).alias(f"{name}_percent") for name, column in shares.items()],
+        "ai_score", F.lit(weight).alias("ai_weight_percent"),
+        (c("ai_score") * weight / 100).alias("ai_weighted_contribution_points"),
+        c("is_official").alias("official_domain"), "official_brand",
+        c("official_domain").alias("official_matched_domain"), skeleton(c("domain")).alias("domain_skeleton"),
+        c("reputation").alias("reputation_evidence"), score_audit().alias("score_audit"),
+        explanations(c("indicators")).alias("explanations"), "indicators",
+        recommendations(band).alias("recommendations"))
 
 
 def indicators_long(scored: DataFrame, *keys: str) -> DataFrame:

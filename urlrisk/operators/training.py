@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk import constants as C
@@ -49,7 +49,7 @@ def obfuscate_urls(urls: DataFrame, column: str = "url") -> DataFrame:
     return urls.select("*", F.posexplode(forms).alias("variant", "variant_url"))
 
 
-def _filled(templates, *values) -> "F.Column":
+def _filled(templates, *values) -> Column:
     return F.array(*[F.format_string(t, *values) for t in templates])
 
 

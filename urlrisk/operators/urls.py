@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk import constants as C
@@ -67,13 +67,13 @@ def confusable_markers(urls: DataFrame, column: str) -> DataFrame:
     return urls.withColumn("has_marker", has_marker(F.col(column)))
 
 
-def confusable_tld(tld) -> "F.Column":
+def confusable_tld(tld: Column) -> Column:
     """A TLD that is not itself, but looks like, a common TLD."""
     folded = skeleton(tld)
     return (tld != folded) & folded.isin(C.COMMON_TLDS)
 
 
-def is_ip_like(text):
+def is_ip_like(text: Column) -> Column:
     return text.rlike(C.IP_PATTERN)
 
 

@@ -849,6 +849,16 @@ ORACLES = {
     "obfuscate_urls": with_ctes(url_ctes(FX.CORPUS), "SELECT url_id, unnest(range(0, 6)) AS variant, url AS normalized_url FROM prep", False),
     "split_urls": on_urls("""SELECT url_id, scheme, netloc, path, query, raw_domain, domain,
         contains(netloc, '[') <> contains(netloc, ']') AS parse_error FROM urls"""),
+    # One inserted letter at the front of a label: its punycode has three digits.
+    "idna_hosts": with_ctes(URLS | {
+        "page_hosts": f"SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM ({FX.duck_view(FX.CORPUS)})",
+        "split": "SELECT host, string_split(host, '.')[1] AS first, substr(host, length(string_split(host, '.')[1]) + 1) AS rest FROM page_hosts",
+        "delta": "SELECT *, 124 * (length(first) + 1) - 1 AS d FROM split",
+        "digits": "SELECT *, 1 + d % 35 AS d1, 1 + (d // 35 - 1) % 35 AS d2, (d // 35 - 1) // 35 AS d3 FROM delta"},
+        """SELECT 'ü' || host AS raw_domain, 'xn--' || first || '-' || abc[d1 + 1] || abc[d2 + 1] || abc[d3 + 1] || rest AS domain
+        FROM digits, (SELECT 'abcdefghijklmnopqrstuvwxyz0123456789' AS abc)""", False),
+    "ngram_tokens": on_urls("""SELECT url_id, list_sum(list_transform(range(2, 7), lambda n: greatest(0, length(url) - n + 1)))::BIGINT AS char_grams,
+        len(w) AS words, len(w) + greatest(len(w) - 1, 0) AS word_grams FROM (SELECT *, regexp_extract_all(lower(url), '[a-z0-9]{2,}') AS w FROM prep)"""),
     "registrable_domain": on_urls("SELECT DISTINCT domain, root, sld, tld FROM urls"),
     "confusable_skeleton": on_urls(f"SELECT url_id, {skel('domain')} AS domain_skeleton, {skel('path || query')} AS rest_skeleton FROM urls"),
     "confusable_marker_flag": on_urls(f"SELECT label, {has_marker('label')} AS has_marker FROM (SELECT DISTINCT unnest(string_split(domain, '.')) AS label FROM urls)"),

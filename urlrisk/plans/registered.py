@@ -18,7 +18,7 @@ from urlrisk.operators import urls as UP
 from urlrisk.operators.indicators import calibrated_probability
 from urlrisk.operators.reputation import add_reputation
 from urlrisk.plans import fixtures as FX
-from urlrisk.plans.score import score_urls, url_evidence
+from urlrisk.plans.score import score_urls
 from urlrisk.session import materialize, shared_path
 from urlrisk.sources import detections as SD
 from urlrisk.sources import labelled as SL
@@ -268,6 +268,10 @@ def hashed_ngrams(spark, sf):
                         F.size(F.filter(values, lambda v: v != 0)).alias("non_zero"))
 
 
+def ngram_tokens(spark, sf):
+    return FT.ngram_tokens(adversarial(spark, sf)).drop("url", "kind")
+
+
 def numeric_columns_only(spark, sf):
     items = spark.read.parquet(f"{sf}/lineitem.parquet")
     return FT.numeric_columns_only(items, "l_linenumber")
@@ -766,6 +770,7 @@ QUERIES = {
     "confusable_marker_flag": confusable_marker_flag, "url_fingerprint": url_fingerprint,
     "lexical_counts": lexical_counts, "features_22": features_22, "features_5": features_5,
     "features_30": features_30, "sld_entropy": sld_entropy, "hashed_ngrams": hashed_ngrams,
+    "ngram_tokens": ngram_tokens,
     "numeric_columns_only": numeric_columns_only, "response_projection": response_projection,
     # filters
     "valid_detections": valid_detections, "search_detections": search_detections,

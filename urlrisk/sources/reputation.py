@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlrisk.operators.urls import url_fingerprints
+from urlrisk.session import cut
 
 STALE_DAYS = 30
 SECTIONS = ("url_fingerprints", "hosts", "roots")
@@ -32,6 +33,13 @@ class ReputationTables:
         seconds = F.unix_timestamp(self.now.cast("timestamp")) - F.unix_timestamp(self.generated_at.cast("timestamp"))
         return F.greatest(F.lit(0), F.floor(seconds / 86400)).cast("int")
 
+    @property
+    def available(self) -> Column:
+        """Whether lookups may use the store: it was readable and holds at least one host."""
+        if self.load_error is not None:
+            return F.lit(False)
+        return self.hosts.limit(1).agg(F.count("*") > 0).scalar()
+
     @property
     def stale(self) -> Column:
         return F.coalesce(self.age_days > STALE_DAYS, F.lit(False))
@@ -65,7 +73,8 @@ def build_tables(feed: DataFrame, generated_at: Column, now: Column) -> Reputati
     per_url = distinct.groupBy(F.col("fingerprint_hash").alias("key")).agg(
         F.sort_array(F.filter(F.collect_set("source"), lambda s: s != "")).alias("sources"),
         F.lit(1).cast("bigint").alias("url_count"))
-    return ReputationTables(per_url, keyed("rep_host"), keyed("rep_root"), generated_at, now)
+    return ReputationTables(cut(per_url, "rep-urls"), cut(keyed("rep_host"), "rep-hosts"),
+                            cut(keyed("rep_root"), "rep-roots"), generated_at, now)
 
 
 def _section(store: DataFrame, name: str) -> DataFrame:
