@@ -208,13 +208,14 @@ def brand_similarity(hosts: DataFrame, registry: Registry, terms: list[str], pro
         "sld_skel", skeleton(c("sld")))
     term_list = F.array(*[F.lit(t) for t in terms])
     distinct = slds.select("sld_skel").distinct()
-    nearest = F.array_min(F.transform(term_list, lambda t: F.levenshtein(c("sld_skel"), t)))
+    limits = F.array(*[F.lit(1 if len(t) <= 6 else 2) for t in terms])
+    distinct = distinct.withColumn(
+        "distances", F.transform(term_list, lambda t: F.levenshtein(c("sld_skel"), t)))
     # Equal terms have ratio 1, so one search over the other terms answers both questions.
     others = S.best_ratio(terms)
     measured = distinct.withColumns({
-        "min_distance": F.least(F.lit(10), nearest),
-        "near": F.exists(term_list, lambda t: (c("sld_skel") != t) & (
-            F.levenshtein(c("sld_skel"), t) <= F.when(F.length(t) <= 6, 1).otherwise(2))),
+        "min_distance": F.least(F.lit(10), F.array_min("distances")),
+        "near": F.exists(F.zip_with("distances", limits, lambda d, most: (d > 0) & (d <= most)), lambda hit: hit),
         "equal": F.array_contains(term_list, c("sld_skel")),
         "others": others(c("sld_skel")),
     })
