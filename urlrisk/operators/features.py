@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from urlrisk import constants as C
 from urlrisk.functions import url as U
 from urlrisk.functions.text import count_char, count_class, count_special, skeleton
-from urlrisk.operators.matching import brand_similarity, host_profile, lure_matches
+from urlrisk.operators.matching import OFFICIAL_KINDS, brand_similarity, host_profile, lure_matches
 from urlrisk.operators.urls import prepared_urls
 from urlrisk.session import cut
 from urlrisk.sources.registry import BROADCAST_DOMAINS, Registry
@@ -60,7 +60,7 @@ def features_22(urls: DataFrame, registry: Registry) -> DataFrame:
     rows = rows.withColumn("feature_url", U.normalize_url(c("rule_url")))
     keys = cut(rows.select(*KEYS).distinct(), "feature-keys")
     hosts = keys.select("domain").distinct()
-    profile = host_profile(hosts, registry).select("domain", "is_official")
+    profile = cut(host_profile(hosts, registry, OFFICIAL_KINDS).select("domain", "is_official"), "feature-official")
     similar = brand_similarity(hosts, registry, bounded_terms(registry), profile)
     lures = lure_matches(keys.filter("lure_text <> ''").select("lure_text").distinct(), registry)
     facts = cut(

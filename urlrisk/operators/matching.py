@@ -27,54 +27,71 @@ def is_shortener(domain: Column) -> Column:
     return F.substring_index(domain, ".", -2).isin(C.SHORTENERS)
 
 
-def _keys(kind: str, keys: Column, text: Column, skel: Column, pos: Column | None = None) -> Column:
+ALL_KINDS = ("suffix", "hosting", "skeleton", "token", "substring", "typo", "typo3", "label", "label3")
+# Enough for the official-domain verdict.
+OFFICIAL_KINDS = ("suffix", "hosting", "label", "label3")
+
+
+def _keys(kind: str, keys: Column, pos: Column | None = None) -> Column:
     at = F.lit(0) if pos is None else pos
     return F.transform(keys, lambda k: F.struct(
-        F.lit(kind).alias("kind"), k.alias("key"), at.cast("int").alias("pos"),
-        text.alias("text"), skel.alias("skel")))
+        F.lit(kind).alias("kind"), k.alias("key"), at.cast("int").alias("pos")))
+
+
+def _sld(domain: Column) -> Column:
+    return U.sld(U.root_domain(domain))
+
+
+def _tokens(sld: Column) -> Column:
+    return F.filter(F.split(sld, "[^a-z0-9]+"), lambda t: F.length(t) >= 4)
 
 
-def host_keys(hosts: DataFrame) -> DataFrame:
-    """Explode every host into the keys of all host rules."""
+def host_keys(hosts: DataFrame, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
+    """Explode every host into the keys of its rules: (domain, kind, key, pos).
+
+    Rows stay narrow; what else a rule needs follows from the host and is computed
+    for the few rows that meet the registry.
+    """
     c = F.col
     base = hosts.select("domain").withColumns({
-        "root": U.root_domain(c("domain")),
-        "host_skel": skeleton(c("domain")),
-        "parts": U.labels(c("domain")),
-    })
-    base = base.withColumns({"sld": U.sld(c("root")), "n": F.size("parts")})
-    base = base.withColumn("sld_skel", skeleton(c("sld")))
-    tokens = F.filter(F.split("sld", "[^a-z0-9]+"), lambda t: F.length(t) >= 4)
+        "host_skel": skeleton(c("domain")), "parts": U.labels(c("domain")), "sld": _sld(c("domain"))})
     # Only labels left of the last two can stand in front of an official domain.
     inner = F.filter(
-        F.transform(F.slice("parts", 1, F.greatest(c("n") - 2, F.lit(0))),
-                    lambda t, i: F.struct(i.alias("pos"), t.alias("label"), skeleton(t).alias("skel"))),
-        lambda s: F.length(s["label"]) >= 4)
-    empty = F.lit("")
-    keys = F.concat(
-        _keys("suffix", U.suffixes(c("domain")), empty, empty),
-        _keys("hosting", U.suffixes(c("domain")), empty, empty),
-        _keys("skeleton", U.suffixes(c("host_skel")), empty, empty),
-        F.transform(tokens, lambda t, i: F.struct(
-            F.lit("token").alias("kind"), skeleton(t).alias("key"), i.cast("int").alias("pos"),
-            t.alias("text"), empty.alias("skel"))),
-        _keys("substring", S.grams(c("host_skel"), 4), empty, c("host_skel")),
-        _keys("typo", S.short_keys(c("sld_skel")), empty, c("sld_skel")),
-        _keys("typo3", S.long_keys(c("sld_skel")), empty, c("sld_skel")),
-        F.flatten(F.transform(inner, lambda s: _keys(
-            "label", S.short_keys(s["skel"]), s["label"], s["skel"], s["pos"]))),
-        F.flatten(F.transform(inner, lambda s: _keys(
-            "label3", S.long_keys(s["skel"]), s["label"], s["skel"], s["pos"]))),
-    )
-    return base.select("domain", c("root").alias("host_root"), c("n").alias("host_labels"),
-                       F.inline(keys))
-
-
-def host_candidates(hosts: DataFrame, registry: Registry) -> DataFrame:
+        F.transform(F.slice("parts", 1, F.greatest(F.size("parts") - 2, F.lit(0))),
+                    lambda t, i: F.struct(i.alias("pos"), F.length(t).alias("size"), skeleton(t).alias("skel"))),
+        lambda s: s["size"] >= 4)
+    base = base.withColumns({
+        "sld_skel": skeleton(c("sld")), "inner": inner,
+        "suffixes": U.suffixes(c("domain")), "skel_suffixes": U.suffixes(c("host_skel"))})
+    made = {
+        "suffix": _keys("suffix", c("suffixes")),
+        "hosting": _keys("hosting", c("suffixes")),
+        "skeleton": _keys("skeleton", c("skel_suffixes")),
+        "token": F.transform(_tokens(c("sld")), lambda t, i: F.struct(
+            F.lit("token").alias("kind"), skeleton(t).alias("key"), i.cast("int").alias("pos"))),
+        "substring": _keys("substring", S.grams(c("host_skel"), 4)),
+        "typo": _keys("typo", S.short_keys(c("sld_skel"))),
+        "typo3": _keys("typo3", S.long_keys(c("sld_skel"))),
+        "label": F.flatten(F.transform("inner", lambda s: _keys("label", S.short_keys(s["skel"]), s["pos"]))),
+        "label3": F.flatten(F.transform("inner", lambda s: _keys("label3", S.long_keys(s["skel"]), s["pos"]))),
+    }
+    return base.select("domain", F.inline(F.concat(*[made[k] for k in kinds])))
+
+
+def host_candidates(hosts: DataFrame, registry: Registry, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
     """Verified (host, registry fact) matches of every rule."""
     c = F.col
-    pairs = host_keys(hosts).join(registry.host_keys, ["kind", "key"])
+    pairs = host_keys(hosts, kinds).join(registry.host_keys, ["kind", "key"])
     fuzzy = c("kind").isin("typo", "typo3", "label", "label3")
+    parts = U.labels(c("domain"))
+    text = F.when(c("kind") == "token", F.get(_tokens(_sld(c("domain"))), c("pos"))).when(
+        c("kind").startswith("label"), F.get(parts, c("pos")))
+    pairs = pairs.withColumns({
+        "host_root": U.root_domain(c("domain")), "host_labels": F.size(parts), "text": text})
+    pairs = pairs.withColumn(
+        "skel", F.when(c("kind") == "substring", skeleton(c("domain")))
+        .when(c("kind").startswith("typo"), skeleton(_sld(c("domain"))))
+        .when(c("kind").startswith("label"), skeleton(c("text"))))
     total = F.length("skel") + F.length("ref")
     # ratio >= 0.9 allows at most 0.1 * total unmatched letters, so at most that many edits.
     reach = F.greatest(F.lit(1), F.floor(total * (1 - NEAR_RATIO) + 1e-9)).cast("int")
@@ -104,13 +121,13 @@ def _first(condition: Column, **fields: Column) -> Column:
     return F.min(F.when(condition, F.struct(*[col.alias(name) for name, col in fields.items()])))
 
 
-def host_profile(hosts: DataFrame, registry: Registry) -> DataFrame:
+def host_profile(hosts: DataFrame, registry: Registry, kinds: tuple[str, ...] = ALL_KINDS) -> DataFrame:
     """One row per host that matches any rule; hosts without matches are absent.
 
-    Input rows must be distinct on ``domain``.
+    Input rows must be distinct on ``domain``.  Fewer ``kinds`` make fewer keys.
     """
     c = F.col
-    found = host_candidates(hosts, registry)
+    found = host_candidates(hosts, registry, kinds)
     typo = c("kind").startswith("typo")
     label = c("kind").startswith("label")
     hits = found.groupBy("domain").agg(
