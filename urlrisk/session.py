@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+_SETTING = "spark.checkpoint.dir"
 
 
 def local_session(cores: str = "*", app: str = "urlrisk") -> SparkSession:
-    """A local session for tests and benchmarks; clusters bring their own."""
-    spark = (
+    """A local session for tests and benchmarks; clusters bring their own.
+
+    The shared folder is set here where no Spark default names one.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -22,23 +26,34 @@ def local_session(cores: str = "*", app: str = "urlrisk") -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    spark = builder.getOrCreate()
+    if not spark.conf.get(_SETTING, None):
+        spark.conf.set(_SETTING, os.path.join(tempfile.gettempdir(), "urlrisk-shared"))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
+    """The folder of this application inside the one every executor reaches, ``spark.checkpoint.dir``.
 
-    A machine-local folder is chosen only where that setting is absent, which is
-    the case in local tests.
+    There is no machine-local fallback: a job without the setting stops here.
+    The folder goes when the application ends, or earlier with ``drop_shared``.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _LOCAL.setdefault("folder", None) or tempfile.mkdtemp(prefix="urlrisk-")
-        _LOCAL["folder"] = folder
-    return folder.rstrip("/")
+    base = spark.conf.get(_SETTING, None)
+    if not base:
+        raise ValueError(f"set {_SETTING} to a folder that the driver and all executors share")
+    folder = f"{base.rstrip('/')}/urlrisk-{spark.sparkContext.applicationId}"
+    system, path = _file_system(spark, folder)
+    if not system.exists(path):
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return folder
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -46,6 +61,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_shared(spark: SparkSession, path: str | None = None) -> None:
+    """Delete one written table, or all of this application, once nothing reads it any more."""
+    system, path = _file_system(spark, path or shared_folder(spark))
+    system.delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
@@ -59,9 +80,5 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Materialize on a cluster (``spark.checkpoint.dir`` set); stay lazy elsewhere.
-
-    Used where one intermediate table feeds several branches, so that the source
-    below it is read once.
-    """
-    return materialize(df, name) if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+    """One intermediate table that feeds several branches: written, so its source is read once."""
+    return materialize(df, name)
