@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlrisk.llm import bpe, prefix
+from urlrisk.llm import bpe, neardup, prefix
 
 #: Tokens of the context that documents are cut to.
 CONTEXT = 4096
@@ -21,11 +21,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix.budgets(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), CONTEXT)
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents on three-word shingles at 0.85."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the bytes decoded from them, as digests."""
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                           public_tokenizers.PATTERN)
 
 
-QUERIES = {q.__name__: q for q in (op4_token_counts, op6_byte_bpe)}
+QUERIES = {q.__name__: q for q in (op4_token_counts, op5_minhash_near_dedup, op6_byte_bpe)}
 ORACLES: dict[str, str] = {}
