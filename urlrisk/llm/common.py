@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk.session import drop_shared, materialize, shared_path
@@ -116,14 +116,21 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
-def once_per_key(df: DataFrame, key: str, value: str) -> DataFrame:
-    """One row per distinct key: the greatest value of repeated rows, null keys left out."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias(value))
+#: Buckets of keys that are sent to all tasks; a bound on that table at any size of the input.
+KEY_BUCKETS = 1 << 18
 
 
-def even(column: Column, parts: int) -> Column:
-    """A salt in 0..parts-1 that spreads the rows of a hot key."""
-    return F.pmod(F.xxhash64(column), F.lit(parts))
+def apart(docs: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in ``keys``, rows whose key is not), without a shuffle of the documents.
+
+    Keys are compared by bucket only, so the first part still needs a join; the
+    second holds all rows with a null key.
+    """
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(KEY_BUCKETS))
+    marked = docs.withColumn("_bucket", F.when(F.col(key).isNotNull(), bucket))
+    buckets = F.broadcast(keys.where(F.col(key).isNotNull()).select(bucket.alias("_bucket")).distinct())
+    return (marked.join(buckets, "_bucket", "left_semi").select(docs.columns),
+            marked.join(buckets, "_bucket", "left_anti").select(docs.columns))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -163,5 +170,4 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-__all__ = ["Memo", "components", "drop_shared", "even", "list_rows", "lists", "map_arrow", "materialize", "once_per_key",
-           "shared_path", "shingles", "word_hashes", "word_lists"]
+__all__ = ["Memo", "apart", "components", "drop_shared", "list_rows", "lists", "map_arrow", "materialize", "shared_path", "shingles", "word_hashes", "word_lists"]

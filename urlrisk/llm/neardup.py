@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from urlrisk.llm.common import (components, list_rows, lists, map_arrow, materialize, shared_path, shingles,
+from urlrisk.llm.common import (apart, components, list_rows, lists, map_arrow, materialize, shared_path, shingles,
                                 word_hashes)
 
 SKETCH = 64
@@ -119,7 +119,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     reps = some.join(copies.select(F.col("rep").alias("id"), F.col("set_hash")), ["id", "set_hash"], "left_semi")
     retained = materialize(_retained(reps), "retained")
     wanted = retained.select(F.col("id").alias(key)).distinct()
-    sets = materialize(shingle_sets(docs.select(key, text).join(wanted, key, "left_semi"), words, key, text), "sets")
+    maybe, _ = apart(docs.select(key, text), wanted, key)
+    sets = materialize(shingle_sets(maybe, words, key, text).join(
+        wanted.select(F.col(key).alias("id")), "id", "left_semi"), "sets")
     near = reps.select("id", "sketch").join(wanted.select(F.col(key).alias("id")), "id", "left_semi")
     near = materialize(near, "near-sketches")
 
@@ -160,3 +162,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def without_copies(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, with all their columns, but one of each group of near-duplicates: that with the smallest key."""
+    found = near_duplicates(docs, words, percent, key, text)
+    gone = materialize(found.where(~F.col("kept")).select(key).distinct(), "copies")
+    maybe, clean = apart(docs, gone, key)
+    return maybe.join(gone, key, "left_anti").select(docs.columns).union(clean)

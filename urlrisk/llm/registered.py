@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlrisk.llm import bpe, neardup, prefix
+from urlrisk.llm import bpe, decontam, grades, neardup, passages, prefix
 
 #: Tokens of the context that documents are cut to.
 CONTEXT = 4096
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected quality grade of all documents, and which are good enough."""
+    return grades.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token counts of all documents, and how much of each fits the context."""
     return prefix.budgets(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), CONTEXT)
@@ -32,5 +37,22 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.PATTERN)
 
 
-QUERIES = {q.__name__: q for q in (op4_token_counts, op5_minhash_near_dedup, op6_byte_bpe)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that an earlier document has as well, of all documents."""
+    return passages.repeated_passages(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a benchmark item, with the item and the place."""
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of all documents."""
+    return grades.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {q.__name__: q for q in (
+    op2_quality_classifier, op4_token_counts, op5_minhash_near_dedup, op6_byte_bpe, op8_substring_dedup, op9_decontamination,
+    op10_toxicity)}
 ORACLES: dict[str, str] = {}
