@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from urlrisk.llm import ordinal
 
 #: The most labelled rows a model is fitted on; the sample and what it fits in are bounded by this.
-FIT_ROWS = 20_000
+FIT_ROWS = 12_000
 #: A document is kept if it is at least of the second grade with this chance.
 KEEP_FROM = 0.5
-#: A document counts as toxic from this chance on; toxic labels are rare, and a miss costs more than a false alarm.
-TOXIC_FROM = 0.3
+#: A document counts as toxic from this chance on.
+TOXIC_FROM = 0.5
 
 
 def quality_grade() -> Column:
@@ -21,8 +21,8 @@ def quality_grade() -> Column:
 
 
 def severity_grade() -> Column:
-    """0: not toxic; 1: toxic; 2: toxic and of low quality as well."""
-    return F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, 2 - F.coalesce("quality", F.lit(1)))
+    """The graded rating of severity: the labels know two grades, the regression takes any number of them."""
+    return F.col("toxic")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, grade: Column, limit: int = FIT_ROWS) -> DataFrame:
@@ -37,13 +37,12 @@ def labelled(docs: DataFrame, labels: DataFrame, grade: Column, limit: int = FIT
 
 def quality_model(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> ordinal.Model:
     """Ordinal regression of quality on how texts are written."""
-    return ordinal.fit(labelled(docs, labels, quality_grade(), limit), ordinal.ShapeFeatures, penalty=0.1,
-                       unlabelled=2)
+    return ordinal.fit(labelled(docs, labels, quality_grade(), limit), ordinal.ShapeFeatures, unlabelled=2)
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> ordinal.Model:
     """Ordinal regression of severity on the words of texts."""
-    return ordinal.fit(labelled(docs, labels, severity_grade(), limit), ordinal.WordFeatures, penalty=0.3, steps=60)
+    return ordinal.fit(labelled(docs, labels, severity_grade(), limit), ordinal.WordFeatures)
 
 
 def quality(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, keep_from: float = KEEP_FROM) -> DataFrame:

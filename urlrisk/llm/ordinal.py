@@ -2,8 +2,11 @@
 
 P(grade > k) = sigmoid(x . w - t_k): one weight vector for all grades and ordered
 thresholds t_0 < t_1 < ...  A bounded sample of labelled rows is hashed once and
-written; every step of the fit sums loss and gradient over its partitions, and
-only those sums reach the driver.
+written.  Each feature is first tested against the model without weights; the
+penalty on its weight falls with the excess of its z-score, and features below
+are left out, so that a few rare telling words outweigh thousands of others.
+Every step of the fit sums loss and gradient over the partitions, and only those
+sums reach the driver.
 """
 
 from __future__ import annotations
@@ -166,7 +169,7 @@ def sample(labelled: DataFrame, limit: int, key: str) -> DataFrame:
 
 
 def fit(labelled: DataFrame, features: Callable[[], Callable], grade: str = "grade", text: str = "text", bits: int = 18,
-        penalty: float = 1.0, steps: int = 40, unlabelled: int = 0) -> Model:
+        penalty: float = 0.3, steps: int = 40, unlabelled: int = 0) -> Model:
     """Fit on rows of text and grade 0, 1, 2, ...; rows without a grade take no part.
 
     ``labelled`` must be bounded (see ``sample``).  A grade that no row has is
@@ -186,43 +189,82 @@ def fit(labelled: DataFrame, features: Callable[[], Callable], grade: str = "gra
     rows = (labelled.where(F.col(grade).isNotNull()).select(F.col(grade).cast("int").alias("grade"), text)
             .repartition(_FIT_PARTS).mapInArrow(hashed, "grade int, index array<int>, value array<float>"))
     rows = materialize(rows, "features")
-    present = sorted(r[0] for r in rows.groupBy("grade").count().collect())
+    counted = {r[0]: r[1] for r in rows.groupBy("grade").count().collect()}
+    present = sorted(counted)
     if len(present) < 2:
         only = present[0] if present else unlabelled
         return Model(np.zeros(1 << bits), np.where(np.arange(max(1, only)) < only, -20.0, 20.0))
     place = np.zeros(present[-1] + 1, np.int64)
     place[present] = np.arange(len(present))
-    size = 1 << bits
 
-    def value_and_slope(x: np.ndarray):
+    def summed(table: DataFrame, x: np.ndarray, size: int, squares: bool = False) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss, slope and, if asked for, the sum of squares of every feature over all rows."""
         shared = spark.sparkContext.broadcast(x)
 
         def part(batches):
-            loss, slope = 0.0, np.zeros(len(shared.value))
+            loss, slope, square = 0.0, np.zeros(len(shared.value)), np.zeros(size if squares else 0)
             for batch in batches:
                 index, value = list_rows(batch.column("index")), list_rows(batch.column("value"))
-                start = np.concatenate([[0], np.cumsum([len(i) for i in index])])
-                if not len(index):
+                if not index:
                     continue
-                more, weights, edges = _loss(shared.value[:size], shared.value[size:], (
-                    np.concatenate(index), np.concatenate(value), start), place[batch.column("grade").to_numpy()])
+                start = np.concatenate([[0], np.cumsum([len(i) for i in index])])
+                index, value = np.concatenate(index), np.concatenate(value)
+                more, weights, edges = _loss(shared.value[:size], shared.value[size:], (index, value, start),
+                                             place[batch.column("grade").to_numpy()])
                 loss += more
                 slope[:size] += weights
                 slope[size:] += edges
-            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([slope.tobytes()], pa.binary())], ["loss", "slope"])
+                if squares:
+                    square += np.bincount(index, value.astype(float) ** 2, minlength=size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([loss]), pa.array([slope.tobytes()], pa.binary()), pa.array([square.tobytes()], pa.binary())],
+                ["loss", "slope", "square"])
 
-        sums = rows.mapInArrow(part, "loss double, slope binary").collect()  # one row of a fixed size per partition
+        # One row of a fixed size per partition, and a fixed number of partitions.
+        sums = table.mapInArrow(part, "loss double, slope binary, square binary").collect()
         shared.destroy()
-        slope = np.sum([np.frombuffer(r["slope"]) for r in sums], axis=0)
-        slope[:size] += penalty * x[:size]
-        return sum(r["loss"] for r in sums) + penalty / 2 * float(x[:size] @ x[:size]), slope
+        return (sum(r["loss"] for r in sums), np.sum([np.frombuffer(r["slope"]) for r in sums], axis=0),
+                np.sum([np.frombuffer(r["square"]) for r in sums], axis=0))
+
+    # The model without weights: thresholds from the shares of the grades, and the score test of every feature.
+    all_ = 1 << bits
+    counts = np.array([counted[g] for g in present], float)
+    above = np.cumsum(counts[::-1])[::-1][1:] / counts.sum()
+    thresholds = np.log((1 - above) / above)
+    free = np.concatenate([thresholds[:1], np.log(np.maximum(np.diff(thresholds), 1e-6))])
+    one = np.array([0, 1])
+    residuals = np.array([_loss(np.zeros(1), free, (np.zeros(1, int), np.ones(1), one), np.array([g]))[1][0]
+                          for g in range(len(present))])
+    spread = float((counts * residuals ** 2).sum() / counts.sum())
+    _, slope, square = summed(rows, np.concatenate([np.zeros(all_), free]), all_, squares=True)
+    scale = np.clip(np.abs(slope[:all_]) / np.sqrt(spread * square + 1e-9) - 2, 0, 10)
+    kept = np.flatnonzero(scale)
+    scale, size = scale[kept], len(kept)
+    number = np.full(all_, -1, np.int32)
+    number[kept] = np.arange(size)
+    renumber = spark.sparkContext.broadcast(number)
+
+    def narrowed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pairs = [(renumber.value[i], v) for i, v in zip(list_rows(batch.column(1)), list_rows(batch.column(2)), strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), lists([i[i >= 0] for i, _ in pairs], pa.int32()),
+             lists([v[i >= 0] for i, v in pairs], pa.float32())], ["grade", "index", "value"])
+
+    few = materialize(map_arrow(rows, narrowed, "grade int, index array<int>, value array<float>"), "features")
+
+    def value_and_slope(x: np.ndarray):
+        loss, slope, _ = summed(few, np.concatenate([x[:size] * scale, x[size:]]), size)
+        slope[:size] = slope[:size] * scale + penalty * x[:size]
+        return loss + penalty / 2 * float(x[:size] @ x[:size]), slope
 
-    x = _minimise(value_and_slope, np.zeros(size + len(present) - 1), steps)
+    x = _minimise(value_and_slope, np.concatenate([np.zeros(size), free]), steps)
+    weights = np.zeros(all_)
+    weights[kept] = x[:size] * scale
     free = x[size:]
     found = np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
     # Threshold k lies between grades k and k + 1, also where grades are passed over.
     thresholds = [found[np.searchsorted(present, k, "right") - 1] if k >= present[0] else -20.0 for k in range(present[-1])]
-    return Model(x[:size], np.array(thresholds))
+    return Model(weights, np.array(thresholds))
 
 
 def score(docs: DataFrame, model: Model, features: Callable[[], Callable], key: str = "doc_id", text: str = "text") -> DataFrame:
