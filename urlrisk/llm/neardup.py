@@ -6,9 +6,12 @@ inverted lists.  Two sets above the threshold share at least half of their
 sketches but for a chance below 10^-6, so in any common order of all values
 they share one of the first half; values are ordered from rare to frequent,
 and a value held by many unlike documents (a licence, a menu) generates
-nothing.  A list is not expanded into pairs: a few members meet all others, and
-only members of different components meet again.  Candidates pass the estimate
-from the sketch of the union and then the exact similarity of the full sets.
+nothing.  A list is not expanded into pairs: the members with the fewest shingles
+of their own meet all others first, and only members of different components meet
+again.  Two sets can have no more in common than either shares with any other
+document, which is counted beforehand on the full sets and leaves heavily edited
+copies out.  Candidates pass the estimate from the sketch of the union and then
+the exact similarity of the full sets.
 """
 
 from __future__ import annotations
@@ -59,17 +62,17 @@ def shingle_sets(docs: DataFrame, words: int, key: str = "doc_id", text: str = "
 
 
 def _retained(sketch: DataFrame) -> DataFrame:
-    """(value, id, n_shingles): inverted lists of the values that can generate a candidate.
+    """(value, id): inverted lists of the values that can generate a candidate.
 
     A value that one document alone holds generates nothing, and counts as the
     rarest; of a sketch of s values the s - s/2 + 1 rarest generate.
     """
-    rows = sketch.select("id", "n_shingles", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
+    rows = sketch.select("id", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     shared = (rows.withColumn("held", F.count("*").over(W.partitionBy("value"))).where("held > 1"))
     place = F.row_number().over(W.partitionBy("id").orderBy("held", "value"))
     many = F.count("*").over(W.partitionBy("id"))
-    return (shared.select("id", "n_shingles", "s", "value", place.alias("place"), many.alias("many"))
-            .where("s - many + place <= s - ceil(s / 2) + 1").select("value", "id", "n_shingles"))
+    return (shared.select("id", "s", "value", place.alias("place"), many.alias("many"))
+            .where("s - many + place <= s - ceil(s / 2) + 1").select("value", "id"))
 
 
 def _similar(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int, size: int) -> DataFrame:
@@ -122,32 +125,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     maybe, _ = apart(docs.select(key, text), wanted, key)
     sets = materialize(shingle_sets(maybe, words, key, text).join(
         wanted.select(F.col(key).alias("id")), "id", "left_semi"), "sets")
-    near = reps.select("id", "sketch").join(wanted.select(F.col(key).alias("id")), "id", "left_semi")
+    # How many shingles a set shares with any other one: no pair can have more in common.
+    items = sets.select("id", F.explode("items").alias("item"))
+    held = items.select("id", (F.count("*").over(W.partitionBy("item")) > 1).cast("int").alias("shared"))
+    stats = held.groupBy("id").agg(F.count("*").alias("n"), F.sum("shared").alias("common"))
+    stats = materialize(stats.where(f"100 * common >= {percent} * n"), "stats")
+    near = reps.select("id", "sketch").join(stats.select("id"), "id", "left_semi")
     near = materialize(near, "near-sketches")
 
-    open_lists = retained.withColumn("component", F.col("id"))
-    links_path = shared_path(spark, "links")
-    pivots = 1
+    open_lists = retained.select("value", "id").join(stats, "id").withColumn("component", F.col("id"))
+    links_path, parts, pivots = shared_path(spark, "links"), None, 1
+    members = W.partitionBy("value")
     while True:
-        members = W.partitionBy("value")
         # Members of small components meet the rest first: then the list soon holds one component only.
         ranked = (open_lists.withColumn("peers", F.count("*").over(W.partitionBy("value", "component")))
-                  .withColumn("rank", F.row_number().over(members.orderBy("peers", "id"))))
+                  .withColumn("rank", F.row_number().over(members.orderBy("peers", F.expr("(n - common) / n"), "id"))))
         chosen = ranked.where(F.col("rank") <= pivots).select(
-            "value", F.col("id").alias("p"), F.col("n_shingles").alias("pn"), F.col("component").alias("pc"),
-            F.col("rank").alias("pr"))
+            "value", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("common").alias("pcommon"),
+            F.col("component").alias("pc"), F.col("rank").alias("pr"))
         pairs = (ranked.join(chosen, "value").where("component <> pc AND rank > pr")
-                 .where(f"100 * least(n_shingles, pn) >= {percent} * greatest(n_shingles, pn)")
+                 .where(f"{100 + percent} * least(common, pcommon) >= {percent} * (n + pn)")
                  .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct())
-        found = _similar(pairs, near, sets, percent, size)
-        found.write.mode("append").parquet(links_path)
+        _similar(pairs, near, sets, percent, size).write.mode("append").parquet(links_path)
         links = spark.read.schema("a bigint, b bigint").parquet(links_path)
-        parts = components(links)
-        left = (ranked.where(F.col("rank") > pivots).select("value", "id", "n_shingles")
+        known, before = links.count(), -1 if parts is None else known
+        if known != before:
+            parts = components(links)
+        left = (ranked.where(F.col("rank") > pivots).select("value", "id", "n", "common")
                 .join(parts, F.col("node") == F.col("id"), "left")
-                .select("value", "id", "n_shingles", F.coalesce("component", "id").alias("component")))
-        spread = [F.min("component").over(members).alias("low"), F.max("component").over(members).alias("high")]
-        open_lists = materialize(left.select("*", *spread).where("low < high").drop("low", "high"), "lists")
+                .select("value", "id", "n", "common", F.coalesce("component", "id").alias("component")))
+        # A list goes on with the members that may still reach another component in it.
+        ends = [F.min("component").over(members).alias("low"), F.max("component").over(members).alias("high"),
+                F.min("n").over(members).alias("least")]
+        left = left.select("*", *ends).where(f"low < high AND {100 + percent} * common >= {percent} * (n + least)")
+        open_lists = materialize(left.drop("low", "high", "least"), "lists")
         pivots = PIVOTS
         if open_lists.isEmpty():
             break
