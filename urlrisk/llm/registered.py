@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlrisk.llm import bpe, decontam, grades, neardup, passages, prefix
+from urlrisk.llm import ann, bpe, decontam, grades, lm, neardup, passages, prefix
 
 #: Tokens of the context that documents are cut to.
 CONTEXT = 4096
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under a hidden Markov model of those that are not held out."""
+    return lm.scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected quality grade of all documents, and which are good enough."""
     return grades.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -37,6 +42,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.PATTERN)
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors by inner product of every vector whose id is divisible by 20."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document has as well, of all documents."""
     return passages.repeated_passages(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -53,6 +63,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op2_quality_classifier, op4_token_counts, op5_minhash_near_dedup, op6_byte_bpe, op8_substring_dedup, op9_decontamination,
-    op10_toxicity)}
+    op1_language_model, op2_quality_classifier, op4_token_counts, op5_minhash_near_dedup, op6_byte_bpe, op7_nearest,
+    op8_substring_dedup, op9_decontamination, op10_toxicity)}
 ORACLES: dict[str, str] = {}
