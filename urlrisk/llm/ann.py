@@ -224,7 +224,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
     block_of = F.pmod(F.xxhash64("query", F.lit(1)), F.lit(max(blocks, 1)))
     placed = index.join(parts_of, "cell").select(
         "cell", F.pmod(F.xxhash64("point"), F.col("parts")).alias("part"), "point", "vector", "shadow")
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).cast("bigint"))
+    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(blocks, 1) - 1).cast("long"))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
