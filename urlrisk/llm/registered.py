@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlrisk.llm import ann, bpe, decontam, grades, lm, neardup, passages, prefix
+from urlrisk.llm import ann, bpe, decontam, grades, lm, neardup, passages, prefix, url_lists
 
 #: Tokens of the context that documents are cut to.
 CONTEXT = 4096
@@ -26,6 +26,26 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grades.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a capture, fetched when the event of its number happened, against the lists of that time.
+
+    Error events put the host (or, for odd users, the domain) of a page on one of
+    three lists, purchases take it off.
+    """
+    pages, events = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "events")
+    captures = pages.join(events.select(F.col("event_id").alias("page_id"), F.col("ts").alias("fetched_at")), "page_id", "left")
+    many = pages.agg(F.max("page_id") + 1).first()[0] or 1
+    host = url_lists.host(F.col("url"))
+    entries = (events.where("event_type IN ('error', 'purchase')").withColumn("page_id", F.col("event_id") % many)
+               .join(pages, "page_id").select(
+                   F.concat(F.lit("list"), F.col("user_id") % 3).alias("list"), F.col("ts").alias("at"),
+                   F.when(F.col("user_id") % 2 == 0, host).otherwise(F.substring_index(host, ".", -2)).alias("key"),
+                   (F.col("event_type") == "error").alias("adds")))
+    found = url_lists.hits(captures, entries, "page_id")
+    names = F.transform("hits", lambda x: F.concat_ws(" ", x["list"], x["key"]))
+    return found.select("page_id", "host", F.size("hits").cast("long").alias("n_hits"), F.array_join(names, ",").alias("hits"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token counts of all documents, and how much of each fits the context."""
     return prefix.budgets(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), CONTEXT)
@@ -63,6 +83,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_language_model, op2_quality_classifier, op4_token_counts, op5_minhash_near_dedup, op6_byte_bpe, op7_nearest,
-    op8_substring_dedup, op9_decontamination, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+    op1_language_model, op2_quality_classifier, op3_url_filters, op4_token_counts, op5_minhash_near_dedup, op6_byte_bpe,
+    op7_nearest, op8_substring_dedup, op9_decontamination, op10_toxicity)}
+ORACLES: dict[str, str] = {"op3_url_filters": r"""
+WITH p AS (
+  SELECT page_id, nullif(regexp_replace(trim(regexp_replace(regexp_replace(
+           regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':.*$', ''), '.'),
+           '^www\.', ''), '') AS host FROM pages),
+c AS (SELECT row_number() OVER () AS rid, p.page_id, p.host, e.ts FROM p LEFT JOIN events e ON e.event_id = p.page_id),
+entries AS (
+  SELECT concat('list', e.user_id % 3) AS list, e.ts AS at, bool_or(e.event_type = 'error') AS adds,
+         CASE WHEN e.user_id % 2 = 0 THEN p.host
+              WHEN p.host LIKE '%.%' THEN regexp_extract(p.host, '[^.]*\.[^.]*$') ELSE p.host END AS key
+  FROM events e JOIN p ON p.page_id = e.event_id % (SELECT max(page_id) + 1 FROM pages)
+  WHERE e.event_type IN ('error', 'purchase') GROUP BY ALL),
+keys AS (
+  SELECT rid, ts, unnest(list_transform(range(1, len(string_split(host, '.')) + 1),
+           lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS key
+  FROM c WHERE host IS NOT NULL AND ts IS NOT NULL),
+asked AS (SELECT k.rid, k.ts, k.key, l.list FROM keys k JOIN (SELECT DISTINCT list, key FROM entries) l ON l.key = k.key),
+held AS (
+  SELECT a.rid, a.list, a.key FROM asked a
+  ASOF JOIN entries e ON e.list = a.list AND e.key = a.key AND a.ts >= e.at WHERE e.adds),
+hits AS (SELECT rid, count(*) AS n_hits, string_agg(concat(list, ' ', key), ',' ORDER BY list, key) AS hits FROM held GROUP BY rid)
+SELECT c.page_id, c.host, coalesce(h.n_hits, 0) AS n_hits, coalesce(h.hits, '') AS hits FROM c LEFT JOIN hits h ON h.rid = c.rid
+"""}
