@@ -43,7 +43,9 @@ FROM (SELECT e.event_id, e.event_type, e.value,
                   ELSE CAST(least(100, floor(e.value)) AS INT) END AS riskScore,
              CASE WHEN e.user_id % 10 = 0 THEN 'anonymous' ELSE CAST(e.user_id AS {string}) END AS userId,
              {iso} AS iso, CAST(e.ts AS TIMESTAMP) AS timestamp
-      FROM {events} e JOIN {pages} p ON p.page_id = e.user_id) AS d
+      FROM (SELECT ev.*, ev.event_id % n.pages AS page_id
+            FROM {events} ev CROSS JOIN (SELECT count(*) AS pages FROM {pages}) AS n) AS e
+      JOIN {pages} p ON p.page_id = e.page_id) AS d
 """
 DETECTIONS_ORDERS = """
 SELECT concat('detection:', CAST(o_custkey AS {string}), ':', CAST(o_orderkey AS {string})) AS id,
