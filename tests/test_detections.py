@@ -68,6 +68,23 @@ def test_search_filters_reach_the_scan(spark, log, tmp_path):
     assert "StringStartsWith(id,detection:u1:)" in prefix._jdf.queryExecution().executedPlan().toString()
 
 
+def test_date_filters_skip_months(spark, log, tmp_path):
+    SD.append_detections(log, str(tmp_path / "log"))
+    table = SD.read_detections(spark, str(tmp_path / "log"))
+    now = F.lit(NOW)
+    pairs = [(D.search_detections(t, "2023-06-01", "2023-08-31").select("id"), D.recent_scan_count(t, now),
+              D.months_ascending(t, now)) for t in (table, log)]
+    for pruned, whole in zip(*pairs):
+        assert "PartitionFilters: [isnotnull(month" in pruned._jdf.queryExecution().executedPlan().toString()
+        assert sorted(pruned.collect()) == sorted(whole.collect())
+
+
+def test_equal_versions_give_one_result(spark):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 1), ("b", "z", 2)], "id string, url string, version int")
+    first = sorted(SD.latest_by_key(rows, "version").collect())
+    assert len(first) == 2 and first == sorted(SD.latest_by_key(rows.orderBy(F.desc("url")), "version").collect())
+
+
 def test_monthly_stats_are_zero_filled(log, raw):
     rows = D.months_ascending(log, F.lit(NOW)).collect()
     assert [r.month for r in rows][0] == "2023-03" and len(rows) == 12 and rows[-1].label == "02/2024"

@@ -27,6 +27,21 @@ def valid_detections(log: DataFrame) -> DataFrame:
     return log.filter(c("riskScore").isNotNull() & c("timestamp").isNotNull())
 
 
+def in_months(log: DataFrame, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """Of a log partitioned by month, the months between two times, so that other files are not read.
+
+    Two days more on both sides allow for a writer in another time zone.  A log
+    without a text column ``month`` stays as it is.
+    """
+    if ("month", "string") not in log.dtypes:
+        return log
+    if first is not None:
+        log = log.filter(c("month") >= F.date_format(first.cast("timestamp") - F.expr("interval 2 days"), "yyyy-MM"))
+    if last is not None:
+        log = log.filter(c("month") <= F.date_format(last.cast("timestamp") + F.expr("interval 2 days"), "yyyy-MM"))
+    return log
+
+
 def is_critical() -> Column:
     return F.coalesce(c("critical_phishing"), F.lit(False))
 
@@ -37,9 +52,11 @@ def search_detections(log: DataFrame, start_date: str | None = None, end_date: s
     """All given conditions, newest first.  Plain column tests, so they reach the scan."""
     rows = valid_detections(log)
     if start_date:
-        rows = rows.filter(c("timestamp") >= F.lit(start_date).cast("timestamp"))
+        start = F.lit(start_date).cast("timestamp")
+        rows = in_months(rows, first=start).filter(c("timestamp") >= start)
     if end_date:
-        rows = rows.filter(c("timestamp") <= F.lit(f"{end_date} 23:59:59.999").cast("timestamp"))
+        end = F.lit(f"{end_date} 23:59:59.999").cast("timestamp")
+        rows = in_months(rows, last=end).filter(c("timestamp") <= end)
     low, high = BAND_RANGES.get(risk_level, (None, None))
     if low is not None:
         rows = rows.filter(c("riskScore") >= low)
@@ -104,7 +121,7 @@ def monthly_stats(log: DataFrame, now: Column) -> DataFrame:
     """
     first = F.add_months(F.trunc(now, "month"), -11)
     counts = (
-        valid_detections(log).filter(c("timestamp") >= first)
+        valid_detections(in_months(log, first)).filter(c("timestamp") >= first)
         .groupBy(F.date_format("timestamp", "yyyy-MM").alias("month"))
         .agg(F.count("*").alias("total"), F.count_if(c("riskScore") >= HIGH).alias("highRisk"))
     )
@@ -192,7 +209,7 @@ def daily_risk_trend(log: DataFrame, days: int = 7) -> DataFrame:
 
 def recent_scan_count(log: DataFrame, now: Column, days: int = 7) -> DataFrame:
     start = now.cast("timestamp") - F.expr(f"interval {days} days")
-    return valid_detections(log).filter(c("timestamp") >= start).agg(F.count("*").alias("recentScans"))
+    return valid_detections(in_months(log, start)).filter(c("timestamp") >= start).agg(F.count("*").alias("recentScans"))
 
 
 def indicator_status_counts(indicators: DataFrame) -> DataFrame:

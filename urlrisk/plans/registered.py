@@ -27,19 +27,6 @@ from urlrisk.sources import reputation as RP
 from urlrisk.streaming import jobs as ST
 
 c = F.col
-_BUILT: dict = {}
-
-
-def _shared(name):
-    """Keep one DataFrame per session and folder, so queries share a common plan."""
-    def wrap(build):
-        def get(spark: SparkSession, sf: str) -> DataFrame:
-            key = (name, spark.sparkContext.applicationId, sf)
-            if key not in _BUILT:
-                _BUILT[key] = build(spark, sf)
-            return _BUILT[key]
-        return get
-    return wrap
 
 
 def corpus(spark, sf):
@@ -78,7 +65,6 @@ def hosts(spark, sf):
     return prepared(spark, sf).select("domain").distinct()
 
 
-@_shared("profile")
 def profile(spark, sf):
     return MT.host_profile(hosts(spark, sf), SR.core_registry(spark))
 
@@ -88,22 +74,18 @@ def reputation_tables(spark, sf, generated="2024-01-22 00:00:00"):
     return RP.build_tables(feed, F.lit(generated), F.lit(FX.NOW))
 
 
-@_shared("scored")
 def scored(spark, sf):
     return score_urls(adversarial(spark, sf), SR.core_registry(spark))
 
 
-@_shared("scored-corpus")
 def scored_with_reputation(spark, sf):
     return score_urls(corpus(spark, sf), SR.core_registry(spark), reputation_tables(spark, sf))
 
 
-@_shared("features")
 def features(spark, sf):
     return FT.features_22(adversarial(spark, sf), SR.core_registry(spark))
 
 
-@_shared("training")
 def training_rows(spark, sf):
     """Labelled adversarial URLs with the 22 features."""
     label = F.when(c("kind").isin(0, 1, 12, 14, 15, 16, 18, 19), 0).otherwise(1)
@@ -260,12 +242,10 @@ def sld_entropy(spark, sf):
 
 
 def hashed_ngrams(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
-    rows = FT.hashed_ngrams(adversarial(spark, sf), char_bits=12, word_bits=10)
-    values = vector_to_array(c("features"))
-    return rows.select("url_id", F.size(values).alias("size"),
-                        F.size(F.filter(values, lambda v: v != 0)).alias("non_zero"))
+    """Size and filled places of the vectors, read in their sparse form; a dense one has no size of its own."""
+    vectors = FT.hashed_ngrams(adversarial(spark, sf)).select("url_id", F.unwrap_udt("features").alias("v"))
+    return vectors.select("url_id", F.coalesce(c("v.size"), F.size("v.values")).alias("size"),
+                          F.size(F.filter("v.values", lambda x: x != 0)).alias("non_zero"))
 
 
 def ngram_tokens(spark, sf):

@@ -40,8 +40,8 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_by_key(log: DataFrame, version: str) -> DataFrame:
-    """Upsert view: the last written record of every key."""
-    newest = Window.partitionBy("id").orderBy(c(version).desc())
+    """Upsert view: the last written record of every key; of equal versions that with the greatest hash of its fields."""
+    newest = Window.partitionBy("id").orderBy(c(version).desc(), F.xxhash64(F.to_json(F.struct(*log.columns))).desc())
     return log.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
 

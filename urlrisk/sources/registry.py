@@ -13,8 +13,8 @@ from urlrisk.functions import url as U
 from urlrisk.functions.text import skeleton, values
 from urlrisk.session import materialize
 
-# A registry of at most this many domains is broadcast; a longer one is joined by
-# shuffle.  Each domain yields a few dozen lookup rows of about 200 bytes.
+# A registry of more domains is joined by shuffle, and refused by the feature job,
+# which compares with every brand.
 BROADCAST_DOMAINS = 5_000
 
 # Built-in brands come first, then the brands of a file in the order given.
@@ -182,9 +182,13 @@ class Registry:
         return self.sized(tables[0].unionByName(tables[1]).unionByName(tables[2]))
 
     def sized(self, table: DataFrame) -> DataFrame:
-        """Write a derived table once per registry; broadcast it only if the registry size was checked."""
-        table = materialize(table.coalesce(1) if self.broadcast else table, "registry")
-        return F.broadcast(table) if self.broadcast else table.hint("merge")
+        """Write a derived table once per registry.
+
+        Nothing is broadcast but what the optimizer finds small enough by its real size;
+        tables of a long registry are merge-joined.
+        """
+        table = materialize(table, "registry")
+        return table if self.broadcast else table.hint("merge")
 
 
 def _domains(spark: SparkSession, words: list[str]) -> DataFrame:

@@ -59,7 +59,7 @@ def build_tables(feed: DataFrame, generated_at: Column, now: Column) -> Reputati
     """
     named = url_fingerprints(feed).filter(F.col("rep_host") != "").select(
         "fingerprint_hash", "rep_host", "rep_root", F.lower(F.trim("source")).alias("source"))
-    distinct = named.distinct()
+    distinct = cut(named.distinct(), "rep-feed")
 
     def keyed(key: str) -> DataFrame:
         # Two levels: per (key, fingerprint), then per key, so no distinct count
