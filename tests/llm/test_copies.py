@@ -113,6 +113,25 @@ def test_passages_are_found_and_cut(spark, odd):
     assert passages.repeated_passages(odd.limit(0)).count() == 0
 
 
+def test_exact_passages_beside_other_matches(spark):
+    """A passage stays one when the same two documents also share something a few dozen words on."""
+    pick = random.Random(5)
+    fresh = lambda n: [f"u{pick.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for key in range(0, 120, 2):
+        first, second = fresh(55), fresh((17, 55)[key % 4 // 2])
+        gap = (25, 40)[key % 8 // 4]
+        rows.append((key, fresh(30) + first + fresh(gap) + second + fresh(30)))
+        rows.append((key + 1, fresh(30) + first + fresh(gap) + second + fresh(30)))
+        want[key + 1] = [(30, 55)] + [(85 + gap, 55)] * (len(second) == 55)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id bigint, text string")
+    got = {}
+    for r in passages.repeated_passages(docs).collect():
+        got.setdefault(r.id, []).append((r.start_word, r.n_words))
+    for key, spans in want.items():
+        assert all(any(a <= start and start + n <= a + m for a, m in got.get(key, [])) for start, n in spans)
+
+
 def held(docs, items, size=5, percent=80):
     """(document, item) by comparing every window"""
     out = set()
