@@ -132,6 +132,34 @@ def test_exact_passages_beside_other_matches(spark):
         assert all(any(a <= start and start + n <= a + m for a, m in got.get(key, [])) for start, n in spans)
 
 
+def uncovered(rows, found, n=50):
+    """(document, place) of words in runs of n that an earlier document has and in no found passage, by comparing all."""
+    first, out = {}, set()
+    for key, text in sorted(rows):
+        own = words(text)
+        inside = {i for r in found if r.id == key for i in range(r.start_word, r.start_word + r.n_words)}
+        for at in range(len(own) - n + 1):
+            if first.setdefault(tuple(own[at:at + n]), key) < key:
+                out |= {(key, i) for i in range(at, at + n) if i not in inside}
+    return sorted(out)
+
+
+def test_passages_made_of_frequent_lines(spark):
+    """Lines that many documents hold in varying surroundings, and a few one after the other."""
+    pick = random.Random(8)
+    fresh = lambda n: [f"u{pick.randrange(10**9)}" for _ in range(n)]
+    lines, rows = [fresh(n) for n in (27, 27, 40, 12)], []
+    for key in range(500):
+        parts = pick.sample(lines, pick.randint(1, 2))
+        if key % 20 == 0:
+            start = pick.choice([0, 2])
+            parts = [lines[start] + lines[start + 1]]
+        rows.append((key, " ".join(sum((fresh(pick.randint(1, 20)) + p for p in parts), []) + fresh(5))))
+    rows += [(600, "a " * 300), (601, "b c " * 200), (602, "a " * 260 + "b c " * 70)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert uncovered(rows, passages.repeated_passages(docs).collect()) == []
+
+
 def held(docs, items, size=5, percent=80):
     """(document, item) by comparing every window"""
     out = set()
