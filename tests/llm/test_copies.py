@@ -160,6 +160,27 @@ def test_passages_made_of_frequent_lines(spark):
     assert uncovered(rows, passages.repeated_passages(docs).collect()) == []
 
 
+def test_changed_passages(spark):
+    """Substituted words at random or even places; the share found is printed by length and changes."""
+    pick = random.Random(9)
+    fresh = lambda n: [f"u{pick.randrange(10**9)}" for _ in range(n)]
+    rows, kinds = [], {}
+    for size, changes in ((60, 3), (60, 6), (60, 12), (80, 8), (120, 18), (200, 30)):
+        for even in (False, True):
+            for _ in range(50):
+                key, passage = len(rows), fresh(size)
+                changed = list(passage)
+                for i in (range(size // changes // 2, size, size // changes) if even else pick.sample(range(size), changes)):
+                    changed[i] = "other"
+                rows += [(key, fresh(30) + passage + fresh(30)), (key + 1, fresh(40) + changed + fresh(40))]
+                kinds[key + 1] = size, changes, even
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id bigint, text string")
+    found = {r.id for r in passages.repeated_passages(docs).collect() if r.source_id == r.id - 1}
+    share = {kind: sum(k in found for k in kinds if kinds[k] == kind) / 50 for kind in dict.fromkeys(kinds.values())}
+    print(share)
+    assert all(s >= 0.95 for (size, changes, _), s in share.items() if 100 * changes <= 15 * size)
+
+
 def held(docs, items, size=5, percent=80):
     """(document, item) by comparing every window"""
     out = set()
