@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from urlrisk.llm import ann, grades, lm, url_lists
+from tests.compare import connect, oracle_rows, spark_rows
+from urlrisk.llm import ann, grades, lm, registered, url_lists
 
 
 def tokens(text):
@@ -195,3 +196,12 @@ def test_lists_as_of_the_fetch_time(spark, monkeypatch):
     assert url_lists.allowed(frame, listed).count() == sum(not h for _, h in want)
     assert all(not r.hits for r in url_lists.hits(frame, listed.limit(0)).collect())
     assert url_lists.hits(frame.limit(0), listed).count() == 0
+
+
+def test_lists_are_asked_over_the_whole_time(spark):
+    folder = "/root/testdata/sf0.001"
+    want = oracle_rows(connect(folder), registered.ORACLES["op3_url_filters_over_time"])
+    got = registered.op3_url_filters_over_time(spark, folder)
+    assert spark_rows(got) == want
+    assert got.count() == spark.read.parquet(f"{folder}/events.parquet").count()
+    assert got.where("n_hits > 0").count() > 0

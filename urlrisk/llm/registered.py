@@ -34,16 +34,36 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     pages, events = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "events")
     captures = pages.join(events.select(F.col("event_id").alias("page_id"), F.col("ts").alias("fetched_at")), "page_id", "left")
-    many = pages.agg(F.max("page_id") + 1).first()[0] or 1
+    return _listed(captures, _entries(pages, events), "page_id")
+
+
+def op3_url_filters_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a capture of a page, against the lists of its time, made as for ``op3_url_filters``."""
+    pages, events = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "events")
+    many = _many(pages)
+    captures = (events.select("event_id", F.col("ts").alias("fetched_at"), (F.col("event_id") % many).alias("page_id"))
+                .join(pages, "page_id"))
+    return _listed(captures, _entries(pages, events), "event_id")
+
+
+def _many(pages: DataFrame) -> int:
+    return pages.agg(F.max("page_id") + 1).first()[0] or 1
+
+
+def _entries(pages: DataFrame, events: DataFrame) -> DataFrame:
+    many = _many(pages)
     host = url_lists.host(F.col("url"))
-    entries = (events.where("event_type IN ('error', 'purchase')").withColumn("page_id", F.col("event_id") % many)
-               .join(pages, "page_id").select(
-                   F.concat(F.lit("list"), F.col("user_id") % 3).alias("list"), F.col("ts").alias("at"),
-                   F.when(F.col("user_id") % 2 == 0, host).otherwise(F.substring_index(host, ".", -2)).alias("key"),
-                   (F.col("event_type") == "error").alias("adds")))
-    found = url_lists.hits(captures, entries, "page_id")
+    return (events.where("event_type IN ('error', 'purchase')").withColumn("page_id", F.col("event_id") % many)
+            .join(pages, "page_id").select(
+                F.concat(F.lit("list"), F.col("user_id") % 3).alias("list"), F.col("ts").alias("at"),
+                F.when(F.col("user_id") % 2 == 0, host).otherwise(F.substring_index(host, ".", -2)).alias("key"),
+                (F.col("event_type") == "error").alias("adds")))
+
+
+def _listed(captures: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    found = url_lists.hits(captures, entries, key)
     names = F.transform("hits", lambda x: F.concat_ws(" ", x["list"], x["key"]))
-    return found.select("page_id", "host", F.size("hits").cast("long").alias("n_hits"), F.array_join(names, ",").alias("hits"))
+    return found.select(key, "host", F.size("hits").cast("long").alias("n_hits"), F.array_join(names, ",").alias("hits"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +103,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_language_model, op2_quality_classifier, op3_url_filters, op4_token_counts, op5_minhash_near_dedup, op6_byte_bpe,
-    op7_nearest, op8_substring_dedup, op9_decontamination, op10_toxicity)}
+    op1_language_model, op2_quality_classifier, op3_url_filters, op3_url_filters_over_time, op4_token_counts,
+    op5_minhash_near_dedup, op6_byte_bpe, op7_nearest, op8_substring_dedup, op9_decontamination, op10_toxicity)}
 ORACLES: dict[str, str] = {"op3_url_filters": r"""
 WITH p AS (
   SELECT page_id, nullif(regexp_replace(trim(regexp_replace(regexp_replace(
@@ -108,3 +128,8 @@ held AS (
 hits AS (SELECT rid, count(*) AS n_hits, string_agg(concat(list, ' ', key), ',' ORDER BY list, key) AS hits FROM held GROUP BY rid)
 SELECT c.page_id, c.host, coalesce(h.n_hits, 0) AS n_hits, coalesce(h.hits, '') AS hits FROM c LEFT JOIN hits h ON h.rid = c.rid
 """}
+ORACLES["op3_url_filters_over_time"] = (
+    ORACLES["op3_url_filters"]
+    .replace("p.page_id, p.host, e.ts FROM p LEFT JOIN events e ON e.event_id = p.page_id",
+             "e.event_id, p.host, e.ts FROM events e JOIN p ON p.page_id = e.event_id % (SELECT max(page_id) + 1 FROM pages)")
+    .replace("SELECT c.page_id", "SELECT c.event_id"))
