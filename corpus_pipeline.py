@@ -41,7 +41,8 @@ STAGES = [
     ("benchmark decontamination", no_benchmark_items),
     ("byte-level BPE", encoded),
 ]
-#: The stages cannot be said in SQL; the tests hold each against a brute-force version.
+#: The stages cannot be said in SQL; tests/llm holds the exact runs of passages, pairs of copies and benchmark items
+#: against brute force, and quality by its labels.
 ORACLE_SQL = None
 
 
