@@ -181,6 +181,11 @@ def test_changed_passages(spark):
     assert all(s >= 0.95 for (size, changes, _), s in share.items() if 100 * changes <= 15 * size)
 
 
+def test_long_matches_overlap_nothing_in_their_chain():
+    at = [(0, 0, 20), (4, 4, 4), (12, 12, 50)]
+    assert [(12, 12, 50)] in passages.chains(at, 50)
+
+
 def held(docs, items, size=5, percent=80):
     """(document, item) by comparing every window"""
     out = set()
