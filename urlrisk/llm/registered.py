@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlrisk.llm import ann, bpe, decontam, grades, lm, neardup, passages, prefix, url_lists
+from urlrisk.llm import ann, bpe, decontam, filter_audit, grades, lm, mixing, neardup, passages, periods, prefix, url_lists
 
 #: Tokens of the context that documents are cut to.
 CONTEXT = 4096
@@ -102,9 +104,36 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grades.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents in each of their orders, by language."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of 150 % takes that brings all sources to their target weights."""
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
+def _repeating(doc_id: int | None, words: list) -> list:
+    """The words of a document, for a tenth of the ids with a stretch that repeats; a null id has none."""
+    number = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if number % 10 or not words:
+        return words
+    seed, n = number // 10, len(words)
+    start = seed % n
+    period = 1 + (n - start) // (3 + seed % 8)
+    return words[:start] + [words[start + (i - start) % period] for i in range(start, n)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of all documents, the greatest one, and the texts without the repeats, as digests."""
+    return periods.digest(periods.periodic_runs(_table(spark, sf_dir, "documents"), rewrite=_repeating))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_language_model, op2_quality_classifier, op3_url_filters, op3_url_filters_over_time, op4_token_counts,
-    op5_minhash_near_dedup, op6_byte_bpe, op7_nearest, op8_substring_dedup, op9_decontamination, op10_toxicity)}
+    op5_minhash_near_dedup, op6_byte_bpe, op7_nearest, op8_substring_dedup, op9_decontamination, op10_toxicity,
+    op11_filter_audit, op12_mixing, op13_periodic_runs)}
 ORACLES: dict[str, str] = {"op3_url_filters": r"""
 WITH p AS (
   SELECT page_id, nullif(regexp_replace(trim(regexp_replace(regexp_replace(
@@ -133,3 +162,36 @@ ORACLES["op3_url_filters_over_time"] = (
     .replace("p.page_id, p.host, e.ts FROM p LEFT JOIN events e ON e.event_id = p.page_id",
              "e.event_id, p.host, e.ts FROM events e JOIN p ON p.page_id = e.event_id % (SELECT max(page_id) + 1 FROM pages)")
     .replace("SELECT c.page_id", "SELECT c.event_id"))
+ORACLES["op11_filter_audit"] = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+rows AS (
+  SELECT part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic,
+         (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+         + 4 * (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT
+         + 8 * regexp_matches(text, '[#$%&*|]')::INT
+         + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)::INT AS mask
+  FROM words d LEFT JOIN marks m ON m.doc_id = d.doc_id),
+counted AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM rows GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (
+  SELECT concat(f1.l, f2.l, f3.l, f4.l, f5.l) AS filter_order, [f1.b, f2.b, f3.b, f4.b, f5.b] AS bits
+  FROM f f1, f f2, f f3, f f4, f f5 WHERE f1.b + f2.b + f3.b + f4.b + f5.b = 31
+   AND len(list_distinct([f1.b, f2.b, f3.b, f4.b, f5.b])) = 5),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step))
+SELECT part, filter_order, step,
+       coalesce(sum(n) FILTER (mask & (bit | before) = 0), 0) AS kept,
+       coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS removed,
+       coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0) AS redundant,
+       coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+       coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS good_lost,
+       coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS toxic_lost,
+       coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & bit <> 0), 0) AS shapley
+FROM counted, steps GROUP BY part, filter_order, step
+"""
