@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from urlrisk.operators import detections as D
 from urlrisk.operators import evaluation as E
+from urlrisk.session import materialize
 from urlrisk.sources import detections as SD
 
 NOW = dt.datetime(2024, 2, 1)
@@ -47,7 +48,9 @@ def test_empty_log_is_zero(log):
     assert (row.totalScans, row.avgRiskScore, row.phishingRate) == (0, 0.0, 0)
     assert {r.n for r in D.risk_band_counts(empty).collect()} == {0}
     assert {r.percent for r in D.band_percentages(empty).collect()} == {0.0}
-    assert D.global_statistics(empty).first().uniqueUsers == 0
+    row = D.global_statistics(empty, F.lit("2024-02-01").cast("timestamp")).first()
+    assert (row.uniqueUsers, row.totalScans, row.hosts) == (0, 0, [])
+    assert [m.total for m in row.months] == [0] * 12
 
 
 def test_search(log, raw):
@@ -114,7 +117,21 @@ def test_trend_and_history(log, raw):
 
 
 def test_sketch_and_exact_users_agree(log):
-    assert D.global_statistics(log).first() == D.global_statistics(log, exact_users=False).first()
+    now = F.lit("2024-02-01").cast("timestamp")
+    assert D.global_statistics(log, now).first() == D.global_statistics(log, now, exact_users=False).first()
+
+
+def test_global_statistics_is_one_scan_and_equals_its_parts(log):
+    now = F.lit("2024-02-01").cast("timestamp")
+    row = D.global_statistics(log, now).first()
+    assert [m.asDict() for m in row.months] == [m.asDict() for m in sorted(D.monthly_stats(log, now).collect())]
+    assert [h.asDict() for h in row.hosts] == [h.asDict() for h in D.top_high_risk_hosts(log).collect()]
+    assert {b: row[b] for b in ("trusted", "lowRisk", "suspicious", "highRisk")} == {r.band: r.n for r in D.risk_band_counts(log).collect()}
+    basic = D.basic_statistics(log).first().asDict()
+    assert basic == {k: row[k] for k in basic}
+    written = materialize(log, "log")
+    plan = D.global_statistics(written, now)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Expand" in plan and "WindowGroupLimit" in plan
 
 
 def test_key_operations(spark, log):

@@ -177,27 +177,89 @@ def latest_per_host(log: DataFrame) -> DataFrame:
     )
 
 
-def global_statistics(log: DataFrame, exact_users: bool = True) -> DataFrame:
-    """One row of totals: one scan with partial aggregation.
+_GRAINS = ("user", "band", "month", "host")
+HOST_RECORD = ("host", "detectionCount", "criticalRuleApplications", "latestSubmittedUrl", "latestRiskScore",
+               "latestCriticalRuleApplied", "latestTimestamp")
 
-    Users are made distinct in their own two-level aggregation, so the count never
-    meets in a single task.  ``exact_users=False`` uses a sketch instead.
+
+def statistics_grains(log: DataFrame, now: Column, exact_users: bool = True) -> DataFrame:
+    """One row per user, band, month of the last twelve and high-risk host, with its counts.
+
+    All grains come from one scan and one aggregation over grouping sets; ``grain``
+    names the set and ``key`` its value.
+    """
+    first = F.add_months(F.trunc(now, "month"), -11)
+    high = c("riskScore") >= HIGH
+    rows = valid_detections(log).select(
+        "id", "url", "riskScore", "timestamp", c("userId").alias("user"), band_column(c("riskScore"), 0).alias("band"),
+        F.when(c("timestamp") >= first, F.date_format("timestamp", "yyyy-MM")).alias("month"),
+        F.when(high, submitted_host(c("url"))).alias("host"),
+        F.coalesce(c("isPhishing"), F.lit(False)).alias("phishing"), is_critical().alias("critical"))
+    sets = [[name] for name in _GRAINS if exact_users or name != "user"]
+    # The newest record is kept for rows with a host only; elsewhere nothing is stored per group.
+    record = F.when(c("newest_of").isNotNull(), F.struct("url", "riskScore", "critical", "timestamp"))
+    order = F.when(c("newest_of").isNotNull(), F.struct("timestamp", "id"))
+    counts = [
+        F.count("*").alias("n"), F.count_if("phishing").alias("phishing"), F.sum("riskScore").alias("risk"),
+        F.count_if("critical").alias("critical"), F.count_if(high).alias("high"),
+        F.count_if(c("user_name") == "anonymous").alias("anonymous"), F.max_by(record, order).alias("latest")]
+    if not exact_users:
+        counts.append(F.hll_sketch_agg("user_name").alias("users"))
+    grouped = (rows.withColumns({"newest_of": c("host"), "user_name": c("user")})
+               .groupingSets(sets, *[name for name in _GRAINS if exact_users or name != "user"])
+               .agg(F.grouping_id().alias("_set"), *counts))
+    names = [s[0] for s in sets]
+    # A bit of the set's number is 0 for the column that is grouped by.
+    full = (1 << len(names)) - 1
+    number = {name: full ^ (1 << (len(names) - 1 - i)) for i, name in enumerate(names)}
+    grain = F.coalesce(*[F.when(c("_set") == value, F.lit(name)) for name, value in number.items()])
+    return grouped.withColumn("grain", grain).withColumn("key", F.coalesce(*names)).drop("_set", *names).filter(
+        c("key").isNotNull() | c("grain").isin("user", "band"))
+
+
+def global_statistics(log: DataFrame, now: Column, exact_users: bool = True, k: int = 10) -> DataFrame:
+    """One row: totals, bands, users, ``months`` (the last twelve, zero-filled) and ``hosts`` (the k with most high risk).
+
+    One scan feeds one aggregation over all grains (:func:`statistics_grains`).
+    Hosts are cut to k within each task before they are shuffled, users are
+    counted as rows of their grain, so nothing unbounded meets in one task.
+    ``exact_users=False`` replaces the grain of users by a sketch.  An empty log gives zeros,
+    twelve empty months and no hosts.
     """
-    band = band_column(c("riskScore"), 0)
-    per_user = valid_detections(log).groupBy("userId").agg(
-        F.count("*").alias("n"), F.count_if(F.coalesce(c("isPhishing"), F.lit(False))).alias("phishing"),
-        F.sum("riskScore").alias("risk"), F.count_if(is_critical()).alias("critical"),
-        *[F.count_if(band == b).alias(b) for b in ("trusted", "lowRisk", "suspicious", "highRisk")])
-    n, phishing = F.sum("n"), F.sum("phishing")
-    users = F.count("userId") if exact_users else F.approx_count_distinct("userId")
+    grains = statistics_grains(log, now, exact_users)
+    is_ = lambda name: c("grain") == name
+    # Ranks count within all hosts together, and within every other key alone, where they are always 1.
+    place = Window.partitionBy("grain", F.when(~is_("host"), F.struct("key"))).orderBy(
+        c("n").desc(), c("latest.timestamp").desc(), "key")
+    rows = grains.withColumn("place", F.row_number().over(place)).filter(c("place") <= k)
+    band = lambda col: F.sum(F.when(is_("band"), col))
     zero = lambda col: F.coalesce(col, F.lit(0))
-    return per_user.agg(
+    n, phishing = band(c("n")), band(c("phishing"))
+    users = F.count(F.when(is_("user"), c("key"))) if exact_users else zero(F.hll_sketch_estimate(
+        F.hll_union_agg(F.when(is_("band"), c("users")))))
+    month_rows = F.collect_list(F.when(is_("month"), F.struct(c("key").alias("month"), F.struct("n", "high"))))
+    host_rows = F.collect_list(F.when(is_("host"), F.struct(
+        "place", c("key").alias("host"), c("n").alias("detectionCount"), c("critical").alias("criticalRuleApplications"),
+        c("latest.url").alias("latestSubmittedUrl"), c("latest.riskScore").alias("latestRiskScore"),
+        c("latest.critical").alias("latestCriticalRuleApplied"), c("latest.timestamp").alias("latestTimestamp"))))
+    folded = rows.agg(
         zero(n).alias("totalScans"), zero(phishing).alias("phishingDetected"), zero(n - phishing).alias("safeDetected"),
-        F.coalesce(half_up(F.try_divide(F.sum("risk"), n), 1), F.lit(0.0)).alias("avgRiskScore"),
+        F.coalesce(half_up(F.try_divide(band(c("risk")), n), 1), F.lit(0.0)).alias("avgRiskScore"),
         zero(half_up(F.try_divide(phishing, n) * 100)).cast("bigint").alias("phishingRate"),
-        *[zero(F.sum(b)).alias(b) for b in ("trusted", "lowRisk", "suspicious", "highRisk")],
-        zero(F.sum("critical")).alias("criticalRuleApplications"), users.alias("uniqueUsers"),
-        zero(F.sum(F.when(c("userId") == "anonymous", c("n")))).alias("anonymousScans"))
+        *[zero(F.sum(F.when(is_("band") & (c("key") == b), c("n")))).alias(b)
+          for b in ("trusted", "lowRisk", "suspicious", "highRisk")],
+        zero(band(c("critical"))).alias("criticalRuleApplications"), users.alias("uniqueUsers"),
+        zero(band(c("anonymous"))).alias("anonymousScans"),
+        F.map_from_entries(month_rows).alias("_months"), host_rows.alias("_hosts"))
+    series = F.sequence(F.add_months(F.trunc(now, "month"), -11), F.trunc(now, "month"), F.expr("interval 1 month"))
+
+    def month(start: Column) -> Column:
+        name = F.date_format(start, "yyyy-MM")
+        found = F.try_element_at(c("_months"), name)
+        return F.struct(name.alias("month"), zero(found["n"]).alias("total"), zero(found["high"]).alias("highRisk"))
+
+    hosts = F.transform(F.array_sort("_hosts"), lambda h: F.struct(*[h[name].alias(name) for name in HOST_RECORD]))
+    return folded.withColumn("months", F.transform(series, month)).withColumn("hosts", hosts).drop("_months", "_hosts")
 
 
 def daily_risk_trend(log: DataFrame, days: int = 7) -> DataFrame:

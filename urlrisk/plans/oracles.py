@@ -957,7 +957,15 @@ ORACLES = {
     "top_k_hosts": on_log("""SELECT host, detectionCount FROM ranked ORDER BY detectionCount DESC, latest.t DESC, host LIMIT 3""", **HOSTED, **TOP_HOSTS),
     "global_statistics": on_log(f"""SELECT {_STATS}, {', '.join(f"count(*) FILTER ({band('riskScore', 0)} = '{b[0]}') AS {b[0]}" for b in C.RISK_BANDS)},
         count(*) FILTER (critical_phishing) AS criticalRuleApplications, count(DISTINCT userId) AS uniqueUsers,
-        count(*) FILTER (userId = 'anonymous') AS anonymousScans FROM valid"""),
+        count(*) FILTER (userId = 'anonymous') AS anonymousScans,
+        (SELECT string_agg(concat_ws(':', m.month, coalesce(v.total, 0), coalesce(v.high, 0)), ',' ORDER BY m.month) FROM (
+            SELECT strftime(unnest(generate_series(date_trunc('month', TIMESTAMP '{FX.NOW}') - INTERVAL 11 MONTH, TIMESTAMP '{FX.NOW}', INTERVAL 1 MONTH)), '%Y-%m') AS month) m
+            LEFT JOIN (SELECT strftime(timestamp, '%Y-%m') AS month, count(*) AS total, count(*) FILTER (riskScore >= 80) AS high
+            FROM valid GROUP BY 1) v ON v.month = m.month) AS months,
+        (SELECT coalesce(string_agg(concat_ws(' ', host, detectionCount, criticalRuleApplications, latest.u, latest.s, latest.c,
+            strftime(latest.t, '%Y-%m-%d %H:%M:%S')), ',' ORDER BY detectionCount DESC, latest.t DESC, host), '') FROM (
+            SELECT * FROM ranked ORDER BY detectionCount DESC, latest.t DESC, host LIMIT 10)) AS hosts
+        FROM valid""", **HOSTED, **TOP_HOSTS),
     "daily_risk_trend": on_log("""SELECT strftime(timestamp, '%Y-%m-%d') AS date, floor(avg(riskScore) + 0.5)::BIGINT AS avgRisk FROM valid
         GROUP BY 1 ORDER BY 1 DESC LIMIT 7"""),
     "recent_scan_count": on_log(f"SELECT count(*) AS recentScans FROM valid WHERE timestamp >= TIMESTAMP '{FX.NOW}' - INTERVAL 7 DAY"),

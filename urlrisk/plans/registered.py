@@ -577,6 +577,16 @@ def dedupe_keep_last(spark, sf):
     return SL.dedupe_keep_last(_labelled(spark, sf))
 
 
+def global_statistics(spark, sf):
+    """The one nested row, its months and hosts as text."""
+    row = D.global_statistics(detections(spark, sf), now())
+    seen = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")
+    months = F.transform("months", lambda m: F.concat_ws(":", m["month"], m["total"], m["highRisk"]))
+    hosts = F.transform("hosts", lambda h: F.concat_ws(" ", *[
+        seen(h[n]) if n == "latestTimestamp" else h[n].cast("string") for n in D.HOST_RECORD]))
+    return row.withColumn("months", F.array_join(months, ",")).withColumn("hosts", F.array_join(hosts, ","))
+
+
 def recent_history(spark, sf):
     return _text_time(D.recent_history(detections(spark, sf)), "timestamp").select("userId", "id", "rank", "timestamp")
 
@@ -788,7 +798,7 @@ QUERIES = {
     "monthly_stats": lambda s, d: D.monthly_stats(order_detections(s, d), orders_now()),
     "top_high_risk_hosts": lambda s, d: _text_time(D.top_high_risk_hosts(detections(s, d)), "latestTimestamp"),
     "abused_domain_counts": lambda s, d: D.abused_domain_counts(detections(s, d)),
-    "global_statistics": lambda s, d: D.global_statistics(detections(s, d)),
+    "global_statistics": global_statistics,
     "daily_risk_trend": lambda s, d: D.daily_risk_trend(detections(s, d)).withColumn("date", c("date").cast("string")),
     "recent_scan_count": lambda s, d: D.recent_scan_count(detections(s, d), now()),
     "indicator_status_counts": indicator_status_counts,
