@@ -6,8 +6,8 @@ import pytest
 
 from tests.brute import distance, ratio, root, skeleton
 from urlrisk import constants as C
-from urlrisk.operators.features import bounded_terms
-from urlrisk.operators.matching import brand_similarity, host_profile, lure_matches
+from urlrisk.operators.matching import NEAR_RATIO, brand_similarity, brands_inside, host_profile, lure_matches
+from urlrisk.operators.nearest_terms import TermBlock, nearest_terms, term_index
 
 LETTERS = "abcdeilmnoprstuw01-"
 
@@ -159,9 +159,9 @@ def test_path_tokens_equal_all_pairs(spark, registry):
 def test_similarity_features_equal_all_pairs(spark, registry, hosts, found):
     some = [h for i, h in enumerate(hosts) if i % 7 == 0]
     table = spark.createDataFrame([(h,) for h in some], "domain string")
-    terms = bounded_terms(registry)
+    terms = sorted(r.term for r in registry.brand_terms.select("term").distinct().collect())
     profile = host_profile(table, registry)
-    for r in brand_similarity(table, registry, terms, profile).collect():
+    for r in brand_similarity(table, registry, profile).collect():
         sld = root(r.domain).split(".")[0]
         skel = skeleton(sld)
         distances = [distance(skel, t) for t in terms]
@@ -175,14 +175,79 @@ def test_similarity_features_equal_all_pairs(spark, registry, hosts, found):
 
 
 def test_shuffled_registry_gives_the_same(spark, registry, hosts, found):
-    """A registry too large to broadcast takes the shuffle path, with equal results."""
-    from urlrisk.sources.registry import Registry
-
-    large = Registry(registry._entries, registry.exact_only, registry.shared, broadcast=False)
-    table = spark.createDataFrame([(h,) for h in hosts[:150]], "domain string")
-    profile = host_profile(table, large)
-    assert "SortMergeJoin" in profile._jdf.queryExecution().executedPlan().toString()
-    rows = {r.domain: r for r in profile.collect()}
-    assert rows == {h: found[h] for h in hosts[:150] if h in found}
-
-
+    """Where no table is small enough to broadcast, the shuffled joins give equal results."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = spark.createDataFrame([(h,) for h in hosts[:150]], "domain string")
+        profile = host_profile(table, registry)
+        assert "SortMergeJoin" in profile._jdf.queryExecution().executedPlan().toString()
+        rows = {r.domain: r for r in profile.collect()}
+        assert rows == {h: found[h] for h in hosts[:150] if h in found}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def random_terms(rng, many, letters="abcdeilnorst0"):
+    return sorted({"".join(rng.choice(letters) for _ in range(rng.randint(4, 16))) for _ in range(many)})
+
+
+def plain_nearest(label, terms):
+    others = [t for t in terms if t != label]
+    measured = [(distance(label, t), ratio(label, t), len(t)) for t in others]
+    return (max((q for _, q, _ in measured), default=0.0), min([10, *(d for d, _, _ in measured), *([0] if label in terms else [])]),
+            any(d <= (1 if n <= 6 else 2) or q >= NEAR_RATIO for d, q, n in measured), label in terms)
+
+
+def test_nearest_terms_equal_all_pairs(spark):
+    rng = random.Random(5)
+    terms = random_terms(rng, 400) + ["x" * 70, "é" * 9, "longer-than-any-other-name-of-this-list"]
+    labels = [mutate(rng, rng.choice(terms), rng.randint(0, 4)) for _ in range(120)] + random_terms(rng, 60) + [
+        "", "a", "zz", "q" * 64, "q" * 65, "x" * 71, "é" * 8, "日本", terms[0], terms[0], "unlike%%%%%%"]
+    index = term_index(spark.createDataFrame([(t,) for t in terms], "term string"))
+    table = spark.createDataFrame([(x,) for x in labels] + [(None,)], "label string")
+    got = {r.label: (r.ratio, r.distance, r.near, r.equal) for r in nearest_terms(table, index, NEAR_RATIO).collect()}
+    assert set(got) == set(labels)
+    for label in got:
+        want = plain_nearest(label, terms)
+        assert got[label][1:] == want[1:] and got[label][0] == pytest.approx(want[0], abs=1e-12), label
+    none = nearest_terms(table, index.limit(0), NEAR_RATIO).collect()
+    assert {(r.ratio, r.distance, r.near, r.equal) for r in none} == {(0.0, 10, False, False)}
+    assert nearest_terms(table.limit(0), index, NEAR_RATIO).count() == 0
+
+
+def test_long_and_short_subsequences_agree():
+    rng = random.Random(6)
+    block = TermBlock(tuple("".join(rng.choice("abc") for _ in range(11)) for _ in range(50)))
+    for size in (0, 1, 7, 63, 64):
+        label = "".join(rng.choice("abcd") for _ in range(size))
+        assert block.common(label).tolist() == block._common_of_long(label).tolist()
+
+
+def test_registry_of_twenty_thousand_domains(spark):
+    """The feature job runs and agrees with all pairs where one is checked."""
+    from urlrisk.operators.features import features_22
+    from urlrisk.sources.registry import registry_from_table
+
+    rng = random.Random(7)
+    names = random_terms(rng, 20_500)[:20_000]
+    table = spark.createDataFrame([(n, i, f"{n}.com") for i, n in enumerate(names)], "brand string, brand_ord bigint, domain string")
+    registry = registry_from_table(table)
+    urls = [f"https://{mutate(rng, rng.choice(names), 2)}.net/{rng.choice(names)}/x" for _ in range(6)]
+    rows = features_22(spark.createDataFrame([(u,) for u in urls], "url string"), registry).collect()
+    terms = {r.term for r in registry.brand_terms.select("term").distinct().collect()}
+    assert len(terms) > 19_000
+    for r in rows:
+        label = skeleton(r.url.split("/")[2].split(".")[0])
+        want = plain_nearest(label, terms)
+        best = 1.0 if want[3] else want[0]
+        assert (r.minimum_brand_distance, r.maximum_brand_similarity) == (want[1], pytest.approx(round(best * 100, 2)))
+
+
+def test_brands_inside_equal_all_brands(spark, registry):
+    brands = [(r.brand, r.brand_skel) for r in registry.brands.select("brand", "brand_skel").distinct().collect()]
+    rng = random.Random(8)
+    texts = [f"https://{rng.choice(brands)[0]}-{rng.choice(brands)[0]}.com/{mutate(rng, rng.choice(brands)[0], 1)}?{rng.choice(brands)[1]}" for _ in range(60)]
+    got = {r.text: (r.brand_literals, r.brand_skeletons)
+           for r in brands_inside(spark.createDataFrame([(t,) for t in [*texts, None, "", "zz"]], "text string"), registry).collect()}
+    for t in texts:
+        assert got.get(t, (0, 0)) == (sum(b in t for b, _ in brands), sum(k in skeleton(t) for _, k in brands))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,41 +80,3 @@ def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
 # Sequence-match ratio of candidate pairs; order of the pair matters.  Marked
 # non-deterministic so that the optimizer evaluates it once, not again in each filter.
 ratio = _ratio.asNondeterministic()
-
-
-def _letter_counts(texts: list[str]) -> np.ndarray:
-    """Letter counts of each text in 64 buckets; sharing a bucket can only raise a bound."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64) & 63
-    rows = np.repeat(np.arange(len(texts)), sizes)
-    return np.bincount(rows * 64 + codes, minlength=len(texts) * 64).reshape(-1, 64).astype(np.int16)
-
-
-def best_ratio(terms: list[str]):
-    """Pandas UDF: highest ratio of a text against the unequal terms of a size-checked list.
-
-    Common letters bound the ratio of a pair and are counted for a whole batch at
-    once.  Terms are tried from the best bound down, and the search ends once no
-    bound can win.
-    """
-    @F.pandas_udf(T.DoubleType())
-    def highest(texts: pd.Series) -> pd.Series:
-        matchers = [SequenceMatcher(None, "", term) for term in terms]
-        term_counts, term_sizes = _letter_counts(terms), np.array([len(t) for t in terms])
-        found, words = [], texts.fillna("").tolist()
-        for start in range(0, len(words), 512):
-            part = words[start:start + 512]
-            common = np.minimum(_letter_counts(part)[:, None, :], term_counts[None]).sum(axis=2)
-            bounds = 2.0 * common / (np.array([len(w) for w in part])[:, None] + term_sizes[None])
-            for word, row, order in zip(part, bounds, np.argsort(-bounds, axis=1)):
-                best = 0.0
-                for i in order:
-                    if row[i] <= best:
-                        break
-                    if terms[i] != word:
-                        matchers[i].set_seq1(word)
-                        best = max(best, matchers[i].ratio())
-                found.append(best)
-        return pd.Series(found, dtype="float64")
-
-    return highest

@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 from urlrisk import constants as C
 from urlrisk.functions import url as U
 from urlrisk.functions.text import count_char, count_class, count_special, skeleton
-from urlrisk.operators.matching import OFFICIAL_KINDS, brand_similarity, host_profile, lure_matches
+from urlrisk.operators.matching import OFFICIAL_KINDS, brand_similarity, brands_inside, host_profile, lure_matches
 from urlrisk.operators.urls import prepared_urls
 from urlrisk.session import cut
-from urlrisk.sources.registry import BROADCAST_DOMAINS, Registry
+from urlrisk.sources.registry import Registry
 
 c = F.col
 
@@ -31,19 +31,6 @@ def lexical_counts(urls: DataFrame, column: str = "url") -> DataFrame:
     })
 
 
-def bounded_terms(registry: Registry) -> list[str]:
-    """Distinct brand terms, for a registry whose size was checked."""
-    if not registry.broadcast:
-        raise ValueError(f"similarity to every brand needs a registry of at most {BROADCAST_DOMAINS} domains")
-    return sorted(row["term"] for row in registry.brand_terms.select("term").distinct().toLocalIterator())
-
-
-def bounded_brands(registry: Registry) -> list[str]:
-    if not registry.broadcast:
-        raise ValueError(f"brand counts need a registry of at most {BROADCAST_DOMAINS} domains")
-    return [row["brand"] for row in registry.brands.select("brand").toLocalIterator()]
-
-
 def _contained(text: Column, words: list[str]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w)))
 
@@ -61,32 +48,28 @@ def features_22(urls: DataFrame, registry: Registry) -> DataFrame:
     keys = cut(rows.select(*KEYS).distinct(), "feature-keys")
     hosts = keys.select("domain").distinct()
     profile = cut(host_profile(hosts, registry, OFFICIAL_KINDS).select("domain", "is_official"), "feature-official")
-    similar = brand_similarity(hosts, registry, bounded_terms(registry), profile)
+    similar = brand_similarity(hosts, registry, profile)
     lures = lure_matches(keys.filter("lure_text <> ''").select("lure_text").distinct(), registry)
     facts = cut(
         keys.join(profile, "domain", "left").join(similar, "domain", "left").join(lures, "lure_text", "left"),
         "feature-facts")
-    rows = lexical_counts(rows.join(facts, KEYS, "left"), "feature_url")
     lower = F.lower("feature_url")
-    brands = bounded_brands(registry)
-    brand_skeletons = F.array(*[skeleton(F.lit(b)) for b in brands])
+    inside = cut(brands_inside(rows.select(lower.alias("text")), registry), "brands-inside")
+    rows = lexical_counts(rows.join(facts, KEYS, "left"), "feature_url").join(inside, lower == c("text"), "left")
     return rows.withColumns({
         "uses_https": lower.startswith("https://").cast("int"),
         "netloc_length": F.length("netloc"),
         "path_length": F.length("path"),
         "suspicious_keyword_count": _contained(lower, C.KEYWORDS),
-        "brand_literal_count": _contained(lower, brands),
-        "_url_skeleton": skeleton(lower),
+        "brand_literal_count": F.coalesce("brand_literals", F.lit(0)).cast("int"),
+        "brand_confusable_count": F.coalesce("brand_skeletons", F.lit(0)).cast("int"),
         "official_domain_flag": F.coalesce("is_official", F.lit(False)).cast("int"),
         "domain_lookalike_flag": c("lookalike"),
         "minimum_brand_distance": c("min_distance"),
         "maximum_brand_similarity": c("max_similarity"),
         "shortener_domain_flag": c("shortener").cast("int"),
         "shortener_brand_path_flag": (c("shortener") & c("lure_hit").isNotNull()).cast("int"),
-    }).withColumn(
-        "brand_confusable_count",
-        F.size(F.filter(brand_skeletons, lambda b: c("_url_skeleton").contains(b))),
-    ).select(*urls.columns, *C.MODEL_FEATURES)
+    }).select(*urls.columns, *C.MODEL_FEATURES)
 
 
 def features_5(urls: DataFrame, column: str = "url") -> DataFrame:

@@ -16,6 +16,7 @@ from urlrisk import constants as C
 from urlrisk.functions import similarity as S
 from urlrisk.functions import url as U
 from urlrisk.functions.text import has_marker, skeleton
+from urlrisk.operators.nearest_terms import nearest_terms
 from urlrisk.sources.registry import Registry
 
 NEAR_RATIO = 0.90
@@ -215,44 +216,49 @@ def lure_matches(texts: DataFrame, registry: Registry, column: str = "lure_text"
     return pairs.groupBy(column).agg(hit.alias("lure_hit"))
 
 
-def brand_similarity(hosts: DataFrame, registry: Registry, terms: list[str], profile: DataFrame) -> DataFrame:
+def brand_similarity(hosts: DataFrame, registry: Registry, profile: DataFrame) -> DataFrame:
     """Per host: look-alike flag, smallest distance (at most 10) and best ratio ×100 to any brand term.
 
-    ``terms`` is the size-checked list of distinct brand terms.
+    Distinct second-level labels are searched in the registry's term index, of
+    any size, and joined back to their hosts.
     """
     c = F.col
     slds = hosts.select("domain").withColumn("sld", U.sld(U.root_domain(c("domain")))).withColumn(
         "sld_skel", skeleton(c("sld")))
-    term_list = F.array(*[F.lit(t) for t in terms])
-    distinct = slds.select("sld_skel").distinct()
-    limits = F.array(*[F.lit(1 if len(t) <= 6 else 2) for t in terms])
-    distinct = distinct.withColumn(
-        "distances", F.transform(term_list, lambda t: F.levenshtein(c("sld_skel"), t)))
-    # Equal terms have ratio 1, so one search over the other terms answers both questions.
-    others = S.best_ratio(terms)
-    measured = distinct.withColumns({
-        "min_distance": F.least(F.lit(10), F.array_min("distances")),
-        "near": F.exists(F.zip_with("distances", limits, lambda d, most: (d > 0) & (d <= most)), lambda hit: hit),
-        "equal": F.array_contains(term_list, c("sld_skel")),
-        "others": others(c("sld_skel")),
-    })
-    measured = measured.withColumns({
-        "near": c("near") | (c("others") >= NEAR_RATIO),
-        "best": F.when(c("equal"), 1.0).otherwise(c("others")),
-    })
+    found = nearest_terms(slds, registry.term_index, NEAR_RATIO, "sld_skel").withColumnRenamed("label", "sld_skel")
     official = profile.filter("is_official").select("domain", F.lit(True).alias("is_official"))
+    best = F.when(c("equal"), 1.0).otherwise(c("ratio"))
     return (
-        slds.join(measured, "sld_skel").join(official, "domain", "left")
+        slds.join(found, "sld_skel").join(official, "domain", "left")
         .select(
             "domain",
             (c("is_official").isNull() & (c("near") | (c("equal") & (c("sld") != c("sld_skel")))))
             .cast("int").alias("lookalike"),
-            "min_distance",
-            F.bround(c("best") * 100, 2).alias("max_similarity"),
+            c("distance").alias("min_distance"),
+            F.bround(best * 100, 2).alias("max_similarity"),
         )
     )
 
 
+def brands_inside(texts: DataFrame, registry: Registry, column: str = "text") -> DataFrame:
+    """(text, brand_literals, brand_skeletons) per distinct text that holds a brand.
+
+    A brand is met through the letters it begins with, so a text is compared
+    only with brands that begin somewhere in it.
+    """
+    c = F.col
+    keys = registry.brand_keys
+    sizes = [r[0] for r in keys.select(F.length("key")).distinct().collect()]    # 1 to BRAND_KEY
+    text = texts.select(c(column).alias("text")).where("text IS NOT NULL").distinct()
+    both = text.select("text", F.inline(F.array(
+        F.struct(F.lit("literal").alias("kind"), c("text").alias("inside")),
+        F.struct(F.lit("skeleton").alias("kind"), skeleton(c("text")).alias("inside")))))
+    grams = F.flatten(F.array(*[S.grams(c("inside"), n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    met = both.select("*", F.explode(grams).alias("key")).join(keys, ["kind", "key"]).where(c("inside").contains(c("name")))
+    return met.groupBy("text").agg(F.count_if(c("kind") == "literal").alias("brand_literals"),
+                                   F.count_if(c("kind") == "skeleton").alias("brand_skeletons"))
+
+
 def keyword_hits(target: Column, folded: Column) -> Column:
     """Suspicious keywords in a lower-case text or in its skeleton, in list order.
 

@@ -362,7 +362,7 @@ def typo_ratio_match(spark, sf):
 
 def brand_similarity_features(spark, sf):
     registry = SR.core_registry(spark)
-    return MT.brand_similarity(hosts(spark, sf), registry, FT.bounded_terms(registry), profile(spark, sf))
+    return MT.brand_similarity(hosts(spark, sf), registry, profile(spark, sf))
 
 
 def keyword_hits(spark, sf):

@@ -11,12 +11,11 @@ from urlrisk import constants as C
 from urlrisk.functions import similarity as S
 from urlrisk.functions import url as U
 from urlrisk.functions.text import skeleton, values
+from urlrisk.operators.nearest_terms import term_index
 from urlrisk.session import materialize
 
-# A registry of more domains is joined by shuffle, and refused by the feature job,
-# which compares with every brand.
-BROADCAST_DOMAINS = 5_000
-
+#: Letters of a brand that its lookup key has; shorter brands are their own key.
+BRAND_KEY = 4
 # Built-in brands come first, then the brands of a file in the order given.
 _FILE_OFFSET = 1_000_000
 
@@ -63,11 +62,10 @@ class Registry:
     smallest (brand_ord, domain): brands in registry order, domains sorted.
     """
 
-    def __init__(self, official: DataFrame, exact_only: DataFrame, shared: DataFrame, broadcast: bool):
+    def __init__(self, official: DataFrame, exact_only: DataFrame, shared: DataFrame):
         self.spark = official.sparkSession
         self.exact_only = exact_only
         self.shared = shared
-        self.broadcast = broadcast
         self._entries = official
 
     @cached_property
@@ -182,13 +180,21 @@ class Registry:
         return self.sized(tables[0].unionByName(tables[1]).unionByName(tables[2]))
 
     def sized(self, table: DataFrame) -> DataFrame:
-        """Write a derived table once per registry.
+        """Write a derived table once per registry; how it is joined, the optimizer decides by its real size."""
+        return materialize(table, "registry")
 
-        Nothing is broadcast but what the optimizer finds small enough by its real size;
-        tables of a long registry are merge-joined.
-        """
-        table = materialize(table, "registry")
-        return table if self.broadcast else table.hint("merge")
+    @cached_property
+    def term_index(self) -> DataFrame:
+        """Blocks of the distinct brand terms for the search of the nearest one."""
+        return term_index(self.brand_terms)
+
+    @cached_property
+    def brand_keys(self) -> DataFrame:
+        """(kind, key, name) of brands as written and as skeletons, by their first letters; one row per brand."""
+        names = self.brands.select("brand", F.inline(F.array(
+            F.struct(F.lit("literal").alias("kind"), F.col("brand").alias("name")),
+            F.struct(F.lit("skeleton").alias("kind"), F.col("brand_skel").alias("name"))))).distinct()
+        return self.sized(names.where("name <> ''").select("kind", F.substring("name", 1, BRAND_KEY).alias("key"), "name"))
 
 
 def _domains(spark: SparkSession, words: list[str]) -> DataFrame:
@@ -205,21 +211,16 @@ def core_registry(spark: SparkSession) -> Registry:
         built_in = entries(spark, C.BUILT_IN_DOMAINS)
         core = entries(spark, C.CORE_DOMAINS, _FILE_OFFSET)
         _CORE[key] = Registry(materialize(merge_entries(built_in, core), "entries"), _domains(spark, C.EXACT_ONLY_DOMAINS),
-                              _domains(spark, C.SHARED_HOSTING_DOMAINS), broadcast=True)
+                              _domains(spark, C.SHARED_HOSTING_DOMAINS))
     return _CORE[key]
 
 
-def _bounded(table: DataFrame) -> bool:
-    return table.limit(BROADCAST_DOMAINS + 1).count() <= BROADCAST_DOMAINS
-
-
 def registry_from_table(table: DataFrame) -> Registry:
     """Registry of a (brand, brand_ord, domain) table merged under the built-in entries."""
     spark = table.sparkSession
     given = clean_entries(table.withColumn("brand_ord", F.col("brand_ord") + _FILE_OFFSET))
     return Registry(merge_entries(entries(spark, C.BUILT_IN_DOMAINS), given),
-                    _domains(spark, C.EXACT_ONLY_DOMAINS), _domains(spark, C.SHARED_HOSTING_DOMAINS),
-                    _bounded(given))
+                    _domains(spark, C.EXACT_ONLY_DOMAINS), _domains(spark, C.SHARED_HOSTING_DOMAINS))
 
 
 def load_registry(spark: SparkSession, path: str) -> Registry:
@@ -251,5 +252,4 @@ def load_registry(spark: SparkSession, path: str) -> Registry:
         merge_entries(entries(spark, C.BUILT_IN_DOMAINS), given),
         section("exact_only_official_domains", C.EXACT_ONLY_FALLBACK),
         section("shared_hosting_domains", []),
-        _bounded(given),
     )
