@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from urlrisk import constants as C
 from urlrisk.functions.text import values
 from urlrisk.operators import evaluation as E
 from urlrisk.operators import features as FT
@@ -39,7 +38,7 @@ def test_training_reaches_the_target(trained):
 
 def test_model_scores_flow_into_the_risk_score(spark, registry, trained):
     cases = named_cases(spark)
-    votes = TR.batch_predict(trained.model, FT.assembled(FT.features_22(cases, registry), C.MODEL_FEATURES))
+    votes = TR.batch_predict(trained.model, FT.features_22(cases, registry))
     urls = cases.join(votes.select("name", "raw_probability", "confidence"), "name")
     rows = score_urls(urls, registry, modelled=True).collect()
     assert len(rows) == cases.count()

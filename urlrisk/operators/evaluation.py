@@ -129,12 +129,35 @@ def require_quality(gate: DataFrame) -> None:
         raise ValueError("the model did not reach the required validation target")
 
 
-def feature_audit(features: DataFrame, names: list[str], importances: list[float] | None, *keys: str) -> DataFrame:
-    """One row per URL and feature: value, importance and its percentage."""
-    weights = importances or [None] * len(names)
-    table = values(features.sparkSession, {"position": "int", "feature": "string", "importance": "double"},
-                   [(i, n, w) for i, (n, w) in enumerate(zip(names, weights, strict=True))])
+def importance_table(model, names: list[str], features: DataFrame) -> DataFrame:
+    """(position, feature, importance) of a fitted model, which must have been fitted on these names.
+
+    Extra-trees sum the Gini decrease of their node table; a Spark forest brings
+    its own importances.  Another number of names than the model has inputs is
+    an error, and so are other names where the model knows them.
+    """
+    known = getattr(model, "names", None)
+    inputs = len(known) if known is not None else model.numFeatures
+    if len(names) != inputs or (known is not None and list(known) != list(names)):
+        raise ValueError(f"the model has {inputs} inputs, other than the {len(names)} features named")
+    if known is not None:
+        return model.importances()
+    return values(features.sparkSession, {"position": "int", "feature": "string", "importance": "double"},
+                  [(i, n, float(w)) for i, (n, w) in enumerate(zip(names, model.featureImportances.toArray(), strict=True))])
+
+
+def feature_audit(features: DataFrame, names: list[str], model, *keys: str) -> DataFrame:
+    """One row per URL and feature: value, importance in the model in use, and its percentage.
+
+    ``features`` has an array column of that name; without a model importances are null.
+    """
+    if model is None:
+        table = values(features.sparkSession, {"position": "int", "feature": "string", "importance": "double"},
+                       [(i, n, None) for i, n in enumerate(names)])
+    else:
+        table = importance_table(model, names, features)
+    # As many rows as features, so the optimizer broadcasts it by its size.
     long = features.select(*keys, F.posexplode("features").alias("position", "value"))
-    return long.join(F.broadcast(table), "position").select(
+    return long.join(table, "position").select(
         *keys, "position", "feature", "value", F.bround("importance", 8).alias("importance"),
         F.bround(c("importance") * 100, 4).alias("importance_percent"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk import constants as C
-from urlrisk.operators.features import assembled
+from urlrisk.operators import extra_trees, sgd
+from urlrisk.operators.extra_trees import ExtraTrees
+from urlrisk.operators.features import FEATURES_30, assembled
 
 c = F.col
 
@@ -122,26 +124,37 @@ def _forest(**params) -> RandomForestClassifier:
     return RandomForestClassifier(featuresCol="features", labelCol="label", seed=42, cacheNodeIds=True, **params)
 
 
-def train_tree_ensemble(rows: DataFrame, names: list[str], trees: int = 180, depth: int = 24):
-    """Class-weighted forest; Spark has no extra-trees, a random forest is nearest."""
-    forest = _forest(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, featureSubsetStrategy="sqrt",
-                     subsamplingRate=0.75, weightCol="weight")
-    return forest.fit(assembled(rows, names))
+def train_tree_ensemble(rows: DataFrame, names: list[str], trees: int = 180, depth: int = 24, key: str = "url") -> ExtraTrees:
+    """Class-weighted extremely randomised trees over rows with a unique ``key``."""
+    return extra_trees.fit(rows, names, key, trees, depth, least=2, sample=0.75)
 
 
 def train_random_forest(rows: DataFrame, names: list[str], trees: int = 300, depth: int = 20):
     return _forest(numTrees=trees, maxDepth=depth).fit(assembled(rows, names))
 
 
-def train_hashed_logistic(rows: DataFrame, iterations: int = 50):
-    """Elastic-net logistic model over sparse n-gram vectors."""
-    weight = {"weightCol": "sample_weight"} if "sample_weight" in rows.columns else {}
-    return LogisticRegression(featuresCol="features", labelCol="label", elasticNetParam=0.05, regParam=1.5e-6,
-                              maxIter=iterations, **weight).fit(rows)
+#: Buckets of the hashed n-grams and the lexical features behind them.
+CHAR_BITS, WORD_BITS = 20, 18
+
+
+def hashed_settings(char_bits: int = CHAR_BITS, word_bits: int = WORD_BITS) -> sgd.Settings:
+    return sgd.Settings((1 << char_bits) + (1 << word_bits) + len(FEATURES_30))
+
+
+def train_hashed_logistic(rows: DataFrame, settings: sgd.Settings | None = None, start: sgd.SgdModel | None = None) -> sgd.SgdModel:
+    """One round of averaged elastic-net SGD over sparse n-gram vectors, from ``start`` or from nothing."""
+    weight = "sample_weight" if "sample_weight" in rows.columns else None
+    return sgd.fit([rows], settings or hashed_settings(), start, weight=weight)
 
 
 def batch_predict(model, rows: DataFrame) -> DataFrame:
-    """Probability of class 1, its confidence, and the 0.5 decision; one narrow pass."""
+    """Probability of class 1, its confidence, and the 0.5 decision; one narrow pass.
+
+    Extra-trees read their feature columns, the other models the vector ``features``.
+    """
+    if isinstance(model, (ExtraTrees, sgd.SgdModel)):
+        p = c("raw_probability")
+        return model.votes(rows).withColumns({"confidence": F.greatest(p, 1 - p), "prediction": (p >= 0.5).cast("int")})
     scored = model.transform(rows).withColumn("_p", vector_to_array("probability"))
     return scored.withColumns({
         "raw_probability": F.get("_p", F.lit(1)), "confidence": F.array_max("_p"),

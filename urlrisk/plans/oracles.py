@@ -985,9 +985,9 @@ ORACLES = {
     "quality_gate": with_ctes({**hosts_chain(), **score_ctes(), **RULE_CASES, **PREDICTIONS, **metrics("predictions")}, """
         SELECT accuracy, pass_rate, accuracy >= 0.9 AND pass_rate >= 0.9 AS accepted FROM measured,
         (SELECT round_even(avg(((risk >= 50) = (label = 1))::INT), 4) AS pass_rate FROM cases)"""),
-    "feature_audit": on_similarity("SELECT url_id, position, feature, value, round_even(w, 8) AS importance, round_even(w * 100, 4) AS importance_percent FROM ("
-        + " UNION ALL ".join(f"SELECT url_id, {i} AS position, '{n}' AS feature, {n}::DOUBLE AS value, {2.0 * (i + 1) / (22 * 23)!r}::DOUBLE AS w FROM f"
-                             for i, n in enumerate(C.MODEL_FEATURES)) + ")").replace("SELECT url_id, position", f", f AS ({_FEATURES_22}) SELECT url_id, position", 1),
+    "feature_audit": on_similarity("SELECT url_id, position, feature, value, true AS is_share, 1.0 AS importance_total, 100.0 AS percent_total FROM ("
+        + " UNION ALL ".join(f"SELECT url_id, {i} AS position, '{n}' AS feature, {n}::DOUBLE AS value FROM f" for i, n in enumerate(C.MODEL_FEATURES))
+        + ")").replace("SELECT url_id, position", f", f AS ({_FEATURES_22}) SELECT url_id, position", 1),
     "build_brand_terms": on_entries("SELECT brand, term, source FROM terms"),
     "build_protected_labels": on_entries("SELECT pskel AS skel, array_to_string(approved, ',') AS approved FROM protected"),
     "merge_registry_sets": on_entries("SELECT brand, count(*) AS domains, min(domain) AS first_domain FROM registry GROUP BY brand"),
@@ -1021,4 +1021,20 @@ ORACLES = {
     "stream_top_hosts": on_log(f"""SELECT host, detectionCount, criticalRuleApplications, {_TIME.format('latest.t')} AS latestTimestamp FROM ranked
         ORDER BY detectionCount DESC, latest.t DESC, host LIMIT 10""", **HOSTED, **TOP_HOSTS),
 }
+# What holds for every model: rows, positives and cells, the sizes of the models, and that probabilities are such.
+_CASES = {"urls": FX.duck_view(FX.ADVERSARIAL), "labelled": "SELECT url_id, CASE WHEN kind IN (0, 1, 12, 14, 15, 16, 18, 19) THEN 0 ELSE 1 END AS label FROM urls"}
+_FITTED = "SELECT count(*) AS n_rows, sum(label) AS positives, count(*) AS in_cells, true AS consistent, true AS accurate"
+_HELD = """SELECT sum(n)::BIGINT AS n_rows, sum(n) FILTER (label = 1)::BIGINT AS positives, sum(n)::BIGINT AS in_cells, true AS consistent,
+    true AS accurate, true AS auc_in_range FROM (SELECT label, floor(count(*) * 0.2 + 0.5) AS n FROM labelled GROUP BY label)"""
+_VECTOR = (1 << 20) + (1 << 18) + 30
+ORACLES |= {
+    "train_tree_ensemble": with_ctes(_CASES, f"{_FITTED}, 180 AS trees, true AS within_depth FROM labelled", False),
+    "train_random_forest": with_ctes(_CASES, f"{_FITTED}, 300 AS trees, {len(C.MODEL_FEATURES)} AS inputs FROM labelled", False),
+    "train_hashed_logistic": with_ctes(_CASES, f"{_FITTED}, {_VECTOR} AS inputs FROM labelled", False),
+    "stream_mini_batch_fit": with_ctes(_CASES, f"{_FITTED}, {_VECTOR} AS inputs, count(*) AS steps FROM labelled", False),
+    "evaluate_holdout": with_ctes(_CASES, _HELD, False),
+    "batch_predict": with_ctes(_CASES, "SELECT url_id, true AS is_probability, true AS is_confidence, true AS is_class FROM labelled", False),
+    "score_urls_modelled": on_scored("SELECT url_id, domain, true AS ai_in_range, true AS risk_in_range FROM scored"),
+    "hashed_ngrams": with_ctes(_CASES, f"SELECT url_id, {_VECTOR} AS size, 1.0 AS char_norm, 1.0 AS word_norm, true AS non_negative FROM labelled", False),
+}
 ORACLES["build_reputation_tables"] = ORACLES["load_reputation_tables"]

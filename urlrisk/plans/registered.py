@@ -242,10 +242,17 @@ def sld_entropy(spark, sf):
 
 
 def hashed_ngrams(spark, sf):
-    """Size and filled places of the vectors, read in their sparse form; a dense one has no size of its own."""
+    """Size of the vectors and the norms of their two hashed parts, read in their sparse form."""
     vectors = FT.hashed_ngrams(adversarial(spark, sf)).select("url_id", F.unwrap_udt("features").alias("v"))
-    return vectors.select("url_id", F.coalesce(c("v.size"), F.size("v.values")).alias("size"),
-                          F.size(F.filter("v.values", lambda x: x != 0)).alias("non_zero"))
+    split, end = 1 << TR.CHAR_BITS, (1 << TR.CHAR_BITS) + (1 << TR.WORD_BITS)
+    entries = vectors.select("url_id", c("v.size").alias("size"), F.arrays_zip("v.indices", "v.values").alias("e"))
+
+    def norm(low: int, high: int):
+        squares = F.transform(F.filter("e", lambda x: (x["indices"] >= low) & (x["indices"] < high)), lambda x: x["values"] * x["values"])
+        return F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)), 9)
+
+    return entries.select("url_id", "size", norm(0, split).alias("char_norm"), norm(split, end).alias("word_norm"),
+                          (F.array_min(F.transform("e", lambda x: x["values"])) >= 0).alias("non_negative"))
 
 
 def ngram_tokens(spark, sf):
@@ -532,10 +539,19 @@ def indicator_status_counts(spark, sf):
 
 
 def feature_audit(spark, sf):
-    rows = features(spark, sf).select("url_id", F.array(*[c(n).cast("double") for n in C.MODEL_FEATURES]).alias("features"))
-    n = len(C.MODEL_FEATURES)
-    weights = [2.0 * (i + 1) / (n * (n + 1)) for i in range(n)]
-    return E.feature_audit(rows, C.MODEL_FEATURES, weights, "url_id")
+    """Values of every URL beside the importances of extra-trees fitted on all of them.
+
+    Importances vary with the model, so the checkable columns say that each is a
+    share and that a URL's shares make a whole.
+    """
+    rows = training_rows(spark, sf)
+    model = TR.train_tree_ensemble(rows, C.MODEL_FEATURES, key="url_id")
+    arrays = rows.select("url_id", F.array(*[c(n).cast("double") for n in C.MODEL_FEATURES]).alias("features"))
+    audit = E.feature_audit(arrays, C.MODEL_FEATURES, model, "url_id")
+    whole = audit.groupBy("url_id").agg(F.bround(F.sum("importance"), 6).alias("importance_total"),
+                                        F.bround(F.sum("importance_percent"), 2).alias("percent_total"))
+    return audit.join(whole, "url_id").select("url_id", "position", "feature", "value", c("importance").between(0, 1).alias("is_share"),
+                                              "importance_total", "percent_total")
 
 
 def build_brand_terms(spark, sf):
@@ -635,49 +651,66 @@ def class_weights(spark, sf):
     return rows.select("doc_id", "label", F.round("weight", 9).alias("weight"))
 
 
-def _predicted(model, rows):
-    return TR.batch_predict(model, FT.assembled(rows, C.MODEL_FEATURES))
+def _measured(predicted, **more):
+    """What every fit has in common: rows, positives, a confusion matrix of all rows, probabilities."""
+    rows = materialize(predicted.select("label", "prediction", "raw_probability", "confidence"), "predicted")
+    cells = E.confusion_matrix(rows).select((c("tn") + c("fp") + c("fn") + c("tp")).alias("n")).scalar()
+    p = c("raw_probability")
+    return rows.agg(
+        F.count("*").alias("n_rows"), F.count_if(c("label") == 1).alias("positives"), F.max(cells).alias("in_cells"),
+        F.bool_and(p.between(0, 1) & (c("confidence") >= 0.5) & ((p >= 0.5) == (c("prediction") == 1))).alias("consistent"),
+        (F.avg((c("label") == c("prediction")).cast("int")) >= 0.9).alias("accurate"),
+        *[F.lit(v).alias(k) for k, v in more.items()])
 
 
 def train_tree_ensemble(spark, sf):
     rows = training_rows(spark, sf)
-    model = TR.train_tree_ensemble(rows, C.MODEL_FEATURES, trees=20, depth=8)
-    return E.classification_metrics(_predicted(model, rows))
+    model = TR.train_tree_ensemble(rows, C.MODEL_FEATURES, key="url_id")
+    roots = model.nodes.filter("node = 1").agg(F.count_distinct("tree"), F.max("level") <= 24).first()
+    return _measured(TR.batch_predict(model, rows), trees=roots[0], within_depth=roots[1])
 
 
 def train_random_forest(spark, sf):
-    rows = FT.features_5(training_rows(spark, sf).select("url_id", "url", "label"))
-    names = FT.numeric_columns_only(rows.drop("url_id"), "label").columns[:-1]
-    model = TR.train_random_forest(rows, names, trees=20, depth=8)
-    return E.classification_metrics(TR.batch_predict(model, FT.assembled(rows, names)))
+    """Over every numeric column of the wide table."""
+    rows = training_rows(spark, sf).drop("url_id", "kind", "weight", "sample_weight")
+    wide = FT.numeric_columns_only(rows, "label")
+    model = TR.train_random_forest(wide, wide.columns[:-1])
+    return _measured(TR.batch_predict(model, FT.assembled(wide, wide.columns[:-1])), trees=model.getNumTrees, inputs=model.numFeatures)
 
 
 def train_hashed_logistic(spark, sf):
-    urls = training_rows(spark, sf).select("url_id", "url", "label", "sample_weight")
-    rows = FT.hashed_ngrams(urls, char_bits=12, word_bits=10)
-    return E.classification_metrics(TR.batch_predict(TR.train_hashed_logistic(rows, 20), rows))
+    rows = FT.hashed_ngrams(training_rows(spark, sf).select("url_id", "url", "label", "sample_weight"))
+    model = TR.train_hashed_logistic(rows)
+    return _measured(TR.batch_predict(model, rows), inputs=model.settings.size)
 
 
-def batch_predict(spark, sf):
+def _votes(spark, sf):
     rows = training_rows(spark, sf)
-    model = TR.train_tree_ensemble(rows, C.MODEL_FEATURES, trees=10, depth=6)
-    return _predicted(model, rows).select("url_id", "raw_probability", "confidence", "prediction")
+    return TR.batch_predict(TR.train_tree_ensemble(rows, C.MODEL_FEATURES, key="url_id"), rows)
+
+
+def batch_predict(spark, sf):
+    """One row per URL: its probability is one, its confidence the greater side, its class the one above a half."""
+    p = c("raw_probability")
+    return _votes(spark, sf).select(
+        "url_id", p.between(0, 1).alias("is_probability"), (c("confidence") == F.greatest(p, 1 - p)).alias("is_confidence"),
+        (c("prediction") == (p >= 0.5).cast("int")).alias("is_class"))
 
 
 def score_urls_modelled(spark, sf):
-    """Scores whose AI indicator comes from a trained model."""
-    raw = materialize(batch_predict(spark, sf).select("url_id", "raw_probability", "confidence"), "votes")
+    """Scores whose AI indicator comes from a trained model; the rest of a URL's score is what it is without one."""
+    raw = materialize(_votes(spark, sf).select("url_id", "raw_probability", "confidence"), "votes")
     urls = adversarial(spark, sf).join(raw, "url_id")
-    return score_urls(urls, SR.core_registry(spark), modelled=True).select("url_id", "ai_score", "risk_score", "result")
+    return score_urls(urls, SR.core_registry(spark), modelled=True).select(
+        "url_id", "domain", c("ai_score").between(0, 100).alias("ai_in_range"), c("risk_score").between(0, 100).alias("risk_in_range"))
 
 
 def evaluate_holdout(spark, sf):
     parts = materialize(SL.stratified_split(training_rows(spark, sf)), "holdout")
-    train, test = parts.filter("NOT is_test"), parts.filter("is_test")
-    model = TR.train_tree_ensemble(train, C.MODEL_FEATURES, trees=20, depth=8)
-    predicted = materialize(_predicted(model, test).select("label", "prediction", c("raw_probability").alias("score")), "predicted")
-    auc = E.roc_auc(predicted).scalar()
-    return E.classification_metrics(predicted).withColumn("roc_auc", auc)
+    model = TR.train_tree_ensemble(parts.filter("NOT is_test"), C.MODEL_FEATURES, key="url_id")
+    tested = materialize(TR.batch_predict(model, parts.filter("is_test")), "tested")
+    auc = E.roc_auc(tested.select("label", c("raw_probability").alias("score"))).scalar()
+    return _measured(tested).withColumn("auc_in_range", auc.between(0.5, 1.0))
 
 
 def evaluate_rules(spark, sf):
@@ -735,16 +768,13 @@ def stream_top_hosts(spark, sf):
 
 
 def stream_mini_batch_fit(spark, sf):
-    from pyspark.ml.classification import LogisticRegressionModel
-
+    """Two batches of a stream, one round of learning each, at the full number of buckets."""
     urls = training_rows(spark, sf).select("url_id", "url", "label", "sample_weight")
     path = shared_path(spark, "stream-rows")
-    urls.write.parquet(path)
-    vectors = lambda rows: FT.hashed_ngrams(rows, char_bits=10, word_bits=8)
-    folder = ST.stream_mini_batch_fit(
-        ST.read_stream(spark, path, urls.schema), lambda rows: TR.train_hashed_logistic(vectors(rows), 10))
-    model = LogisticRegressionModel.load(folder)
-    return TR.batch_predict(model, vectors(urls)).select("url_id", "prediction")
+    for part in (0, 1):
+        urls.filter(c("url_id") % 2 == part).coalesce(1).write.mode("append").parquet(path)
+    model = ST.stream_mini_batch_fit(ST.read_stream(spark, path, urls.schema, 1), FT.hashed_ngrams, TR.hashed_settings())
+    return _measured(TR.batch_predict(model, FT.hashed_ngrams(urls)), inputs=model.settings.size, steps=model.steps)
 
 
 QUERIES = {

@@ -12,7 +12,7 @@ from urlrisk import training_values as V
 from urlrisk.functions.text import values
 from urlrisk.operators import evaluation as E
 from urlrisk.operators import training as TR
-from urlrisk.operators.features import assembled, features_22
+from urlrisk.operators.features import features_22
 from urlrisk.session import materialize
 from urlrisk.sources import labelled as SL
 from urlrisk.sources.registry import Registry
@@ -64,10 +64,10 @@ def train(base: DataFrame, registry: Registry, regression: DataFrame | None = No
     featured = materialize(features_22(rows, registry), "training")
     parts = SL.stratified_split(featured)
     model = TR.train_tree_ensemble(E.class_weights(parts.filter("NOT is_test")), C.MODEL_FEATURES, trees, depth)
-    tested = TR.batch_predict(model, assembled(parts.filter("is_test"), C.MODEL_FEATURES))
+    tested = TR.batch_predict(model, parts.filter("is_test"))
     tested = materialize(tested.select("label", "prediction", c("raw_probability").alias("score")), "holdout")
     metrics = E.classification_metrics(tested).withColumn("roc_auc", E.roc_auc(tested).scalar())
-    asked = assembled(features_22(named_cases(spark), registry), C.MODEL_FEATURES)
+    asked = features_22(named_cases(spark), registry)
     cases = materialize(E.regression_results(
         TR.batch_predict(model, asked).select("name", "url", "expected", c("raw_probability").alias("probability"))), "cases")
     gate = E.quality_gate(metrics, E.regression_pass_rate(cases))

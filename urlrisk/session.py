@@ -67,6 +67,12 @@ def drop_shared(spark: SparkSession, path: str | None = None) -> None:
     system.delete(path, True)
 
 
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of the shared place; none if it does not exist."""
+    system, path = _file_system(spark, folder)
+    return [f.getPath().getName() for f in system.listStatus(path)] if system.exists(path) else []
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 

@@ -12,15 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlrisk.operators.detections import HIGH, is_critical, submitted_host, valid_detections
+from urlrisk.operators import sgd
 from urlrisk.operators.scoring import band_column
-from urlrisk.session import shared_path
+from urlrisk.session import children, drop_shared, shared_path
 
 c = F.col
 
 
-def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Stream of a parquet table.  The pattern also accepts a table of one file."""
-    return spark.readStream.schema(schema).parquet(path[:-1] + "[" + path[-1] + "]")
+def read_stream(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
+    """Stream of a parquet table, with at most so many files a batch.  The pattern also accepts a table of one file."""
+    reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(path[:-1] + "[" + path[-1] + "]")
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -33,8 +37,9 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
 
 
 def run_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, int], None],
-                mode: str = "append") -> None:
-    checkpoint = shared_path(stream.sparkSession, f"{name}-checkpoint")
+                mode: str = "append", checkpoint: str | None = None) -> None:
+    """Run a stream batch by batch over its present input, on from ``checkpoint`` where one is given."""
+    checkpoint = checkpoint or shared_path(stream.sparkSession, f"{name}-checkpoint")
     (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
      .outputMode(mode).trigger(availableNow=True).start().awaitTermination())
 
@@ -96,20 +101,24 @@ def stream_top_hosts(log: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def stream_mini_batch_fit(rows: DataFrame, fit: Callable[[DataFrame], object], name: str = "model",
-                          keep: int = 10) -> str:
-    """Refit on a sliding training table of the last ``keep`` batches; returns the model folder.
+def stream_mini_batch_fit(rows: DataFrame, vectors: Callable[[DataFrame], DataFrame], settings: sgd.Settings,
+                          folder: str | None = None) -> sgd.SgdModel:
+    """Learn on from batch to batch; returns the model after the last one.
 
-    Spark ML has no incremental logistic fit, so the window of batches is the state.
+    Weights, averages and the number of steps are a written table per batch, read by the
+    next; a repeated batch starts from the one before it and replaces itself.
+    The last two tables are kept.  With a ``folder`` the stream goes on where an earlier run
+    on that folder ended.
     """
     spark = rows.sparkSession
-    path = shared_path(spark, f"{name}-rows")
-    models = shared_path(spark, name)
+    folder = folder or shared_path(spark, "model")
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        window = spark.read.parquet(path).filter(c("batch") > number - keep).drop("batch")
-        fit(window).write().overwrite().save(f"{models}/latest")
-
-    run_batches(rows, name, handle)
-    return f"{models}/latest"
+        before = sgd.load(spark, settings, f"{folder}/rounds/{number - 1}") if number else sgd.SgdModel(settings)
+        sgd.fit_round(before, vectors(batch), f"{folder}/rounds/{number}")
+        if number > 1:
+            drop_shared(spark, f"{folder}/rounds/{number - 2}")
+
+    run_batches(rows, "model", handle, checkpoint=f"{folder}/checkpoint")
+    rounds = [int(name) for name in children(spark, f"{folder}/rounds")]
+    return sgd.load(spark, settings, f"{folder}/rounds/{max(rounds)}") if rounds else sgd.SgdModel(settings)
