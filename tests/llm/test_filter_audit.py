@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 from urlrisk.llm import filter_audit, registered
-from urlrisk.llm.filter_audit import audit, matrix, row_statistics
+from urlrisk.llm.filter_audit import audit, matrix, row_statistics, rows_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,10 +72,11 @@ def test_matrix_equals_word_counts(spark, documents, monkeypatch):
     shards, drop = matrix(documents, "text", ["doc_id"])
     found, columns = {}, set()
     for s in shards.collect():
+        indptr, indices, data = (a.tolist() for a in rows_of(s.indptr, s["indices"], s["data"]))
         for i, doc in enumerate(s.doc_id):
-            row = slice(s.indptr[i], s.indptr[i + 1])
-            found[doc] = dict(zip(s["indices"][row], s["data"][row], strict=True))
-            columns |= set(s["indices"][row])
+            row = slice(indptr[i], indptr[i + 1])
+            found[doc] = dict(zip(indices[row], data[row], strict=True))
+            columns |= set(indices[row])
     want = {r.doc_id: Counter((r.text or "").encode().split()) for r in documents.select("doc_id", "text").collect()}
     assert len(columns) == len(set().union(*want.values()))
     assert {d: sorted(c.values()) for d, c in found.items()} == {d: sorted(c.values()) for d, c in want.items()}

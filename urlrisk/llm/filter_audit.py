@@ -21,9 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
-from urlrisk.llm.common import drop_shared, list_rows, lists, map_arrow, shared_path
+from urlrisk.llm.common import drop_shared, map_arrow, shared_path
 from urlrisk.llm.periods import split_words
 
 #: A shard is closed at so many words; a longer text is a shard of its own.
@@ -39,44 +38,61 @@ def _entry(word: bytes) -> bytes:
     return word if len(word) <= _LONG else b" " + hashlib.sha256(word).digest()
 
 
+class _Numbers(dict):
+    """Numbers from 0 in the order in which keys are first asked for."""
+
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        return number
+
+
 class _Shard:
     """Rows in compressed sparse form over a dictionary of their own."""
 
     def __init__(self):
-        self.local: dict[bytes, int] = {}
+        self.local = _Numbers()
         self.columns: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.words = 0
 
     def add(self, words: list[bytes]) -> None:
         counts = Counter(words)
-        local = self.local
-        row = np.fromiter((local.setdefault(w, len(local)) for w in counts), np.int32, len(counts))
-        self.columns.append(row)
+        self.columns.append(np.fromiter(map(self.local.__getitem__, counts), np.int32, len(counts)))
         self.counts.append(np.fromiter(counts.values(), np.int32, len(counts)))
         self.words += len(words)
 
-    def close(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, list[bytes]]]]:
-        """(indptr, indices, data, dictionary); columns are numbered by bucket and word, as the dictionary lists them."""
+    def close(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """(indptr, indices, data, dictionary); columns are numbered in the order in which the dictionary lists words by bucket."""
         entries = [_entry(w) for w in self.local]
-        order = sorted(((zlib.crc32(w) % buckets, w, i) for i, w in enumerate(entries)))
+        bucket = np.fromiter(map(zlib.crc32, entries), np.uint32, len(entries)) % buckets
+        order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), np.int32)
-        dictionary: list[tuple[int, list[bytes]]] = []
-        for at, (bucket, word, i) in enumerate(order):
-            place[i] = at
-            if not dictionary or dictionary[-1][0] != bucket:
-                dictionary.append((bucket, []))
-            dictionary[-1][1].append(word)
+        place[order] = np.arange(len(order))
+        used, starts = np.unique(bucket[order], return_index=True)
+        words = pa.ListArray.from_arrays(pa.array([*starts, len(order)], pa.int32()), pa.array(entries, pa.binary()).take(pa.array(order)))
+        dictionary = pa.StructArray.from_arrays([pa.array(used, pa.int32()), words], ["bucket", "words"])
         indptr = np.zeros(len(self.columns) + 1, np.int32)
         np.cumsum([len(c) for c in self.columns], out=indptr[1:])
-        join = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int32)
-        return indptr, place[join(self.columns)], join(self.counts), dictionary
+        return indptr, place[np.concatenate(self.columns)], np.concatenate(self.counts), dictionary
+
+
+def _buffer(values: np.ndarray, kind: str) -> bytes:
+    return values.astype(kind).tobytes()
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 at 1, 2 or 4 bytes each, as the greatest needs; the length of the row tells which."""
+    most = int(values.max(initial=0))
+    return _buffer(values, "<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<i4")
+
+
+def _wide(buffer: bytes, entries: int) -> np.ndarray:
+    return np.frombuffer(buffer, f"<u{len(buffer) // entries}" if entries else "<u1")
 
 
 def _local_shards(docs: DataFrame, text: str, carry: StructType, facts: Callable | None, fact_types: list, buckets: int) -> DataFrame:
     """One row per shard: carried columns and facts as lists, the matrix over local columns, the dictionary by bucket."""
     names = carry.fieldNames() + [n for n, _ in fact_types]
-    entry = pa.struct([("bucket", pa.int32()), ("words", pa.list_(pa.binary()))])
 
     def run(batches):
         part, closed = TaskContext.get().partitionId(), 0
@@ -86,12 +102,11 @@ def _local_shards(docs: DataFrame, text: str, carry: StructType, facts: Callable
             nonlocal closed, shard, kept
             indptr, indices, data, dictionary = shard.close(buckets)
             columns = [pa.concat_arrays([k[i] for k in kept]) for i in range(len(names))]
-            out = [pa.array([part << 33 | closed], pa.int64())]
-            out += [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-            out += [lists([a], pa.int32()) for a in (indptr, indices, data)]
-            out.append(pa.array([[{"bucket": b, "words": w} for b, w in dictionary]], pa.list_(entry)))
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            out = [pa.array([part << 33 | closed], pa.int64()), *map(one, columns)]
+            out += [pa.array([b], pa.binary()) for b in (_buffer(indptr, "<i4"), _buffer(indices, "<i4"), _narrow(data))]
             closed, shard, kept = closed + 1, _Shard(), []
-            return pa.RecordBatch.from_arrays(out, ["_shard", *names, "indptr", "indices", "data", "_dictionary"])
+            return pa.RecordBatch.from_arrays([*out, one(dictionary)], ["_shard", *names, "indptr", "indices", "data", "_dictionary"])
 
         for batch in batches:
             start, found = 0, []
@@ -111,7 +126,7 @@ def _local_shards(docs: DataFrame, text: str, carry: StructType, facts: Callable
 
     sql = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean"}
     fields = [f"`{f.name}` array<{f.dataType.simpleString()}>" for f in carry] + [f"`{n}` array<{sql[t]}>" for n, t in fact_types]
-    schema = ", ".join(["_shard bigint", *fields, "indptr array<int>, indices array<int>, data array<int>",
+    schema = ", ".join(["_shard bigint", *fields, "indptr binary, indices binary, data binary",
                         "_dictionary array<struct<bucket:int,words:array<binary>>>"])
     return docs.select(*carry.fieldNames(), F.col(text).cast("binary")).mapInArrow(run, schema)
 
@@ -119,19 +134,28 @@ def _local_shards(docs: DataFrame, text: str, carry: StructType, facts: Callable
 def _columns(local: DataFrame, buckets: int) -> DataFrame:
     """(_shard, _columns): the global number of every local column.
 
-    Words meet by bucket; the number is the rank in the bucket times the number
-    of buckets, plus the bucket, so no count has to be known beforehand.  A word
-    comes once per shard, however frequent it is.  Rank order is word order, so
-    sorting the numbers of a bucket restores the order of the shard.
+    Words meet by bucket, once per shard, however frequent they are.  Shards come
+    in order, so a word's rank in its bucket is the same in every attempt; the number
+    is that rank times the number of buckets, plus the bucket, and no count has
+    to be known beforehand.  A task holds the dictionary of one bucket.
     """
     words = (local.select("_shard", F.explode("_dictionary").alias("d")).select("_shard", "d.bucket", "d.words")
-             .repartition(F.col("bucket")).select("_shard", "bucket", F.explode("words").alias("word")))
-    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))
-    number = ((rank - 1).cast("bigint") * buckets + F.col("bucket")).alias("number")
-    return (words.select("_shard", "bucket", number)
-            .groupBy("bucket", "_shard").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
-            .groupBy("_shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "numbers"))).alias("b"))
-            .select("_shard", F.flatten("b.numbers").alias("_columns")))
+             .repartition(F.col("bucket")).sortWithinPartitions("bucket", "_shard"))
+
+    def number(batches):
+        current, known = None, _Numbers()
+        for batch in batches:
+            for shard, bucket, entries in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if bucket.as_py() != current:
+                    current, known = bucket.as_py(), _Numbers()
+                entries = entries.as_py()
+                ranks = np.fromiter(map(known.__getitem__, entries), np.int32, len(entries))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard.as_py()]), pa.array([current], pa.int32()), pa.array([_buffer(ranks, "<i4")])],
+                    ["_shard", "bucket", "ranks"])
+
+    numbered = words.mapInArrow(number, "_shard bigint, bucket int, ranks binary")
+    return numbered.groupBy("_shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "ranks"))).alias("_columns"))
 
 
 def matrix(docs: DataFrame, text: str = "text", carry: list[str] = (), facts: Callable | None = None,
@@ -139,20 +163,38 @@ def matrix(docs: DataFrame, text: str = "text", carry: list[str] = (), facts: Ca
     """(the shards of the document-term matrix, a function that deletes what they are read from).
 
     A shard has its rows' ``carry`` columns and ``facts`` of the bytes of each
-    text as lists, ``indptr``, global ``indices`` and ``data``.  A null text is
-    an empty row, and so is one of white space; an empty table has no shards.
-    The texts are read once, and the words of a shard pass the dictionary once
-    each; the rows stay where they are until their shard meets its columns.
+    text as lists, and three little-endian buffers: ``indptr`` (32 bits), global
+    ``indices`` (64 bits) and ``data`` (32 bits).  A row's columns are distinct.
+    A null text is an empty row, and so is one of white space; an empty table has no
+    shards.  The texts are read once, and the words of a shard pass the dictionary
+    once each; the rows stay where they are until their shard meets its columns.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # More buckets than tasks, so that the dictionary of one is small.
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = shared_path(spark, "shards")
-    schema = docs.select(*carry).schema
-    _local_shards(docs, text, schema, facts, list(fact_types), buckets).write.parquet(path)
+    _local_shards(docs, text, docs.select(*carry).schema, facts, list(fact_types), buckets).write.option("compression", "zstd").parquet(path)
     local = spark.read.parquet(path)
     rows = local.drop("_dictionary").join(_columns(local, buckets), "_shard", "left")
-    indices = F.transform("indices", lambda i: F.get("_columns", i))
-    return rows.withColumn("indices", indices).drop("_columns"), lambda: drop_shared(spark, path)
+    names = [c for c in rows.columns if c != "_columns"]
+
+    def to_global(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, out = names.index("indices"), []
+        for indices, columns in zip(batch.column(at), batch.column(len(names)), strict=True):
+            numbers = np.concatenate([np.empty(0, np.int64)] + [
+                np.frombuffer(x["ranks"], "<i4").astype(np.int64) * buckets + x["bucket"] for x in columns.as_py() or ()])
+            out.append(_buffer(numbers[np.frombuffer(indices.as_py(), "<i4")], "<i8"))
+        columns = [pa.array(out, pa.binary()) if i == at else batch.column(i) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
+    return map_arrow(rows.select(*names, "_columns"), to_global, schema), lambda: drop_shared(spark, path)
+
+
+def rows_of(indptr: bytes, indices: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buffers of a shard as arrays."""
+    columns = np.frombuffer(indices, "<i8")
+    return np.frombuffer(indptr, "<i4"), columns, _wide(data, len(columns))
 
 
 def row_statistics(shards: DataFrame, carried: list[str]) -> DataFrame:
@@ -160,21 +202,15 @@ def row_statistics(shards: DataFrame, carried: list[str]) -> DataFrame:
     fields = [shards.schema[c].dataType.elementType for c in carried]
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sums, nonzero = [], []
-        take = dict(zip(batch.schema.names, batch.columns, strict=True))
-        for indptr, data in zip(list_rows(take["indptr"]), list_rows(take["data"]), strict=True):
-            total = np.concatenate(([0], np.cumsum(data, dtype=np.int64)))
-            sums.append(total[indptr[1:]] - total[indptr[:-1]])
-        for indptr, indices in zip(list_rows(take["indptr"]), list_rows(take["indices"]), strict=True):
-            # An entry counts where its column is new to the row.
-            row = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
-            order = np.lexsort((indices, row))
-            new = np.ones(len(row), bool)
-            new[1:] = (np.diff(row[order]) != 0) | (np.diff(indices[order]) != 0)
-            nonzero.append(np.bincount(row[order][new], minlength=len(indptr) - 1))
+        sums, nonzero = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for buffers in zip(*(batch.column(len(carried) + i) for i in range(3)), strict=True):
+            indptr, _, data = rows_of(*(b.as_py() for b in buffers))
+            for totals, values in ((sums, data), (nonzero, data != 0)):
+                total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+                totals.append(total[indptr[1:]] - total[indptr[:-1]])
         return pa.RecordBatch.from_arrays(
-            [take[c].flatten() for c in carried]
-            + [pa.array(np.concatenate(x).astype(np.int64)) for x in (sums, nonzero)], [*carried, "n_words", "n_distinct"])
+            [batch.column(i).flatten() for i in range(len(carried))] + [pa.array(np.concatenate(x)) for x in (sums, nonzero)],
+            [*carried, "n_words", "n_distinct"])
 
     kinds = ", ".join(f"`{c}` {t.simpleString()}" for c, t in zip(carried, fields, strict=True))
     return map_arrow(shards.select(*carried, "indptr", "indices", "data"), rows, f"{kinds}, n_words bigint, n_distinct bigint")
