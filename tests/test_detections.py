@@ -134,6 +134,27 @@ def test_global_statistics_is_one_scan_and_equals_its_parts(log):
     assert plan.count("FileScan") == 1 and "Expand" in plan and "WindowGroupLimit" in plan
 
 
+def test_merge_touches_only_its_months(spark, log, tmp_path):
+    path = f"file://{tmp_path}/log"
+    rows = D.valid_detections(log).withColumn("version", F.lit(1))
+    SD.append_detections(rows, path)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "log").glob("month=*/*.parquet")}
+    before = files()
+    fixes = rows.filter("timestamp >= '2024-01-01' AND timestamp < '2024-02-01' AND riskScore > 50").withColumns(
+        {"riskScore": F.lit(1), "version": F.lit(2)})
+    stale = rows.filter("timestamp >= '2023-12-01' AND timestamp < '2024-01-01'").withColumns({"riskScore": F.lit(7), "version": F.lit(0)})
+    SD.merge_detections(fixes.unionByName(stale), path, "version")
+    after = files()
+    assert {p for p in before if before[p] != after.get(p)} == {p for p in before if p.parent.name in ("month=2023-12", "month=2024-01")}
+    got = {r.id: (r.riskScore, r.version) for r in SD.read_detections(spark, path).collect()}
+    fixed = {r.id for r in fixes.collect()}
+    assert fixed and got == {r.id: (1, 2) if r.id in fixed else (r.riskScore, 1) for r in rows.collect()}
+    SD.merge_detections(fixes.unionByName(stale), path, "version")
+    assert got == {r.id: (r.riskScore, r.version) for r in SD.read_detections(spark, path).collect()}
+    SD.merge_detections(rows.limit(0), path, "version")
+    assert len(got) == SD.read_detections(spark, path).count() == rows.count()
+
+
 def test_key_operations(spark, log):
     keys = log.limit(20).select("id")
     found, rest = SD.lookup_by_keys(log, keys), SD.remove_by_keys(log, keys)

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from urlrisk.operators import training as TR
@@ -7,6 +8,7 @@ from urlrisk.session import materialize
 from urlrisk.sources import labelled as SL
 from urlrisk.sources import registry as SR
 from urlrisk.sources import reputation as RP
+from urlrisk.sources.json_store import read_store
 
 NOW = "2024-02-01 00:00:00"
 
@@ -50,9 +52,69 @@ def test_store_file(spark, tmp_path):
     assert (meta.hosts, meta.age_days, meta.stale, meta.available) == (2, 10, False, True)
 
 
+def awkward_store(rng, many):
+    words = ["a.com", 'q"uo"te', "back\\slash", 'end\\"', "{br}ac[e]s", "é東", "", "x" * 300, "colon: ,", " blank "]
+    sections = {name: {} for name in RP.SECTIONS}
+    for i in range(many):
+        record = rng.choice([
+            {"sources": [rng.choice(words) for _ in range(rng.randint(0, 3))], "url_count": rng.choice([1, 7, "12", "x", None, -3])},
+            [rng.choice(words)], {"sources": rng.choice(words)}, "bare", 5, None, {}, {"sources": None, "more": {"deep": [1, {"k": "v"}]}}])
+        sections[rng.choice(RP.SECTIONS)][rng.choice(words) + str(i)] = record
+    return {"generated_at_utc": "2024-01-22T00:00:00", "counts": {"url_fingerprints": 1}, **sections, "note": 'ends with "quotes"', "list": ["a", {"b": "c"}]}
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_store_reads_the_same_in_any_number_of_splits(spark, tmp_path, indent):
+    import random
+
+    wanted = awkward_store(random.Random(3), 120)
+    path = tmp_path / "store.json"
+    path.write_text(json.dumps(wanted, indent=indent, ensure_ascii=indent is None), encoding="utf-8")
+    size, found = path.stat().st_size, []
+    try:
+        for splits in (1, 3, 16, 61):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // splits + 1))
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            entries, values, error = read_store(spark, str(path))
+            assert error is None
+            found.append(({(r.section, r.key, r.record) for r in entries.collect()}, {r.name: r.value for r in values.collect()}))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert all(f == found[0] for f in found)
+    entries, values = found[0]
+    assert {(s, k) for s, k, _ in entries if s in RP.SECTIONS} == {(s, k) for s in RP.SECTIONS for k in wanted[s]}
+    for s, k, record in entries:
+        want = wanted[s][k]
+        got = record if record is None or isinstance(want, str) else json.loads(record)
+        assert got == want, (s, k, record)
+    assert values["generated_at_utc"] == wanted["generated_at_utc"] and values["note"] == wanted["note"]
+
+
+def test_written_store_reads_back(spark, tmp_path):
+    rows = spark.range(500).select(F.concat(F.lit('k"'), F.col("id").cast("string")).alias("key"),
+                                   F.array(F.lit("a\\"), F.lit('b"')).alias("sources"), F.col("id").alias("url_count"))
+    tables = RP.ReputationTables(rows, rows.limit(3), rows.limit(0), F.lit(NOW), F.lit(NOW))
+    path = str(tmp_path / "store")
+    RP.write_tables(tables, path, "2024-01-22 00:00:00")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "store").glob("part-*")))
+    assert len(json.loads(text)["url_fingerprints"]) == 500
+    back = RP.load_tables(spark, path, F.lit(NOW))
+    assert back.load_error is None and back.fingerprints.exceptAll(rows).isEmpty() and back.fingerprints.count() == 500
+    assert (back.hosts.count(), back.roots.count()) == (3, 0) and RP.metadata(back).first().age_days == 10
+
+
+@pytest.mark.parametrize("text,part", [("[1, 2]", "object"), ('{"hosts": {"a": [1]}', "complete"), ('{"hosts": {"a": ["x}}', "complete"), ("", "")])
+def test_unreadable_store_is_empty_with_an_error(spark, tmp_path, text, part):
+    path = tmp_path / "bad.json"
+    path.write_text(text)
+    tables = RP.load_tables(spark, str(path), F.lit(NOW))
+    assert part in tables.load_error and tables.hosts.count() == 0 and not RP.metadata(tables).first().available
+
+
 def test_missing_store_is_empty_with_an_error(spark, tmp_path):
     tables = RP.load_tables(spark, str(tmp_path / "none.json"), F.lit(NOW))
-    assert tables.load_error and tables.hosts.count() == 0
+    assert tables.load_error == "reputation_store.json is not built yet" and tables.hosts.count() == 0
     assert not RP.metadata(tables).first().available
 
 

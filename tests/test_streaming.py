@@ -27,9 +27,20 @@ def stream(spark, path):
     return ST.read_stream(spark, path, spark.read.parquet(path).schema)
 
 
-def test_dedupe(spark, log):
-    once = ST.stream_dedupe(stream(spark, log), "30 days")
-    assert once.count() == 90 == spark.read.parquet(log).select("id").distinct().count()
+def test_dedupe_keeps_the_last_record(spark, tmp_path):
+    """Corrections in later deliveries, one older than what is held, repeats, and a restart's worth of keys."""
+    start, path = dt.datetime(2024, 1, 1), str(tmp_path / "log.parquet")
+    deliveries = [
+        [(f"d{i}", f"u{i}", i, False, start + dt.timedelta(hours=i), 2) for i in range(40)] + [("null", "x", None, False, start, 9)],
+        [(f"d{i}", f"new{i}", 100 - i, None, start + dt.timedelta(hours=i), 3) for i in range(0, 40, 2)],
+        [(f"d{i}", f"old{i}", 50, True, start + dt.timedelta(hours=i), 1) for i in range(0, 40, 5)],
+        [("end", "x", 0, False, dt.datetime(2024, 5, 1), 1)], [("end2", "x", 0, False, dt.datetime(2024, 5, 2), 1)]]
+    for rows in deliveries:
+        spark.createDataFrame(rows, DDL + ", version int").coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    got = {r.id: (r.url, r.riskScore) for r in ST.stream_dedupe(ST.read_stream(spark, path, schema, 1), "version", "10 days").collect()
+           if not r.id.startswith("end")}
+    assert got == {f"d{i}": (f"new{i}", 100 - i) if i % 2 == 0 else (f"u{i}", i) for i in range(40)}
 
 
 def test_closed_windows_equal_batch_counts(spark, log):
@@ -49,6 +60,22 @@ def test_top_hosts_equal_batch(spark, log):
     assert [tuple(r[f] for f in fields) for r in got] == [tuple(r[f] for f in fields) for r in want]
 
 
+def test_top_hosts_go_on_after_a_restart(spark, log, tmp_path):
+    """Two runs on one folder equal one run; the table's files do not grow with batches."""
+    folder, source = f"file://{tmp_path}/hosts", str(tmp_path / "in.parquet")
+    rows = spark.read.parquet(log)
+    for third in range(3):
+        rows.filter(F.abs(F.hash("id")) % 3 == third).coalesce(1).write.mode("append").parquet(source)
+        got = ST.stream_top_hosts(ST.read_stream(spark, source, rows.schema, 1), folder=folder).collect()
+    want = D.top_high_risk_hosts(rows).collect()
+    fields = ("host", "detectionCount", "criticalRuleApplications", "latestTimestamp")
+    assert [tuple(r[f] for f in fields) for r in got] == [tuple(r[f] for f in fields) for r in want]
+    files = list((tmp_path / "hosts" / "table").glob("part=*/*.parquet"))
+    assert len(files) <= len(want)
+    again = ST.stream_top_hosts(ST.read_stream(spark, source, rows.schema, 1), folder=folder).collect()
+    assert again == got
+
+
 def test_scores_equal_batch(spark, registry, tmp_path):
     path = str(tmp_path / "urls.parquet")
     spark.createDataFrame([("https://google.com",), ("https://goog1e.com",), ("http://a.b/login",)], "url string").write.parquet(path)

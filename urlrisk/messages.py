@@ -124,3 +124,6 @@ RECOMMENDATIONS = {
         "Verify sensitive requests independently.",
     ],
 }
+
+# Fixed value: how reputation records are to be read.
+REPUTATION_POLICY = "v12.1: exact-url and dedicated-host evidence; root-only records are context only"

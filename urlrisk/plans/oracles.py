@@ -424,8 +424,12 @@ def score_ctes(reputation: str = _NO_REP) -> dict[str, str]:
     }
 
 
+# Read more than once and dear to repeat.
+_MATERIALIZED = {"fed2", "asked2", "store", "by_url", "by_host", "by_root"}
+
+
 def with_ctes(ctes: dict[str, str], final: str, recursive: bool = True) -> str:
-    body = ",\n".join(f"{name} AS (\n{sql}\n)" for name, sql in ctes.items())
+    body = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in _MATERIALIZED else ''}(\n{sql}\n)" for name, sql in ctes.items())
     return f"WITH {'RECURSIVE ' if recursive else ''}{body}\n{final}"
 
 
@@ -477,7 +481,8 @@ def reputation_ctes(lookups: str, age_days: int) -> dict[str, str]:
             UNION ALL SELECT 'host', rhost, list_sort(list(DISTINCT source)), count(DISTINCT hash) FROM fed2 GROUP BY rhost
             UNION ALL SELECT 'root', rroot, list_sort(list(DISTINCT source)), count(DISTINCT hash) FROM fed2 GROUP BY rroot""",
         "asked": f"SELECT url_id, {fingerprint_cols('u')} FROM ({lookups}) AS q",
-        "asked2": f"SELECT *, {root('rhost')} AS rroot FROM asked",
+        "asked2": f"SELECT *, {root('rhost')} AS rroot, sha256(fp) AS hash FROM asked",
+        **{f"by_{s}": f"SELECT key, sources, url_count FROM store WHERE section = '{s}'" for s in ("url", "host", "root")},
         "looked": f"""SELECT url_id, u.key IS NOT NULL OR h.key IS NOT NULL AS match,
             CASE WHEN u.key IS NOT NULL THEN 'exact_url' WHEN h.key IS NOT NULL THEN 'host' END AS match_type,
             CASE WHEN u.key IS NOT NULL THEN {85 if stale else 100} WHEN h.key IS NOT NULL THEN {host_score} ELSE 0 END AS score,
@@ -489,8 +494,7 @@ def reputation_ctes(lookups: str, age_days: int) -> dict[str, str]:
             u.key IS NULL AND h.key IS NULL AND r.key IS NOT NULL AS context_match,
             CASE WHEN u.key IS NULL AND h.key IS NULL AND r.key IS NOT NULL THEN array_to_string(r.sources, ',') ELSE '' END AS context_sources,
             CASE WHEN u.key IS NULL AND h.key IS NULL AND r.key IS NOT NULL THEN r.url_count ELSE 0 END AS context_url_count
-            FROM asked2 LEFT JOIN store u ON u.section = 'url' AND u.key = sha256(fp)
-            LEFT JOIN store h ON h.section = 'host' AND h.key = rhost LEFT JOIN store r ON r.section = 'root' AND r.key = rroot""",
+            FROM asked2 LEFT JOIN by_url u ON u.key = hash LEFT JOIN by_host h ON h.key = rhost LEFT JOIN by_root r ON r.key = rroot""",
     }
 
 
@@ -823,7 +827,9 @@ def _augmented() -> str:
 
 ORACLES = {
     "load_labelled_urls": FX.duck_view(FX.LABELLED),
-    "load_domain_registry": on_entries("SELECT brand, brand_ord, domain, exact_only FROM official"),
+    # The file begins with two lists and the name of the section, then come the brands in order.
+    "load_domain_registry": on_entries("SELECT brand, brand_ord, domain, exact_only FROM official").replace(
+        "brand_ord + 1000000 AS brand_ord", "dense_rank() OVER (ORDER BY brand) + 1000003 AS brand_ord", 1),
     "load_reputation_tables": with_ctes(reputation_ctes(_LOOKUPS, 10),
         "SELECT section, key, array_to_string(sources, ',') AS sources, url_count FROM store", False),
     "append_detections": on_log("""SELECT id, url, CASE WHEN event_type = 'click' THEN 100 - riskScore ELSE riskScore END AS riskScore,
@@ -902,8 +908,10 @@ ORACLES = {
     "brand_similarity_features": on_similarity("SELECT * FROM sim"),
     "keyword_hits": on_urls(f"SELECT url_id, array_to_string(k, ',') AS keywords, len(k) AS n FROM (SELECT url_id, {_KEYWORD_FOUND} AS k FROM urls)"),
     "tld_risk_lookup": on_urls("SELECT url_id, tld, points FROM urls LEFT JOIN bad_tlds USING (tld)"),
-    "reputation_cascade": with_ctes(reputation_ctes(_LOOKUPS, 10), "SELECT * FROM looked", False),
-    "reputation_cascade_stale": with_ctes(reputation_ctes(_LOOKUPS, 45), "SELECT * FROM looked", False),
+    **{name: with_ctes(reputation_ctes(_LOOKUPS, age), f"""SELECT *, '{generated}' AS generated_at_utc, (SELECT concat_ws(',',
+        count(*) FILTER (section = 'url'), count(*) FILTER (section = 'host'), count(*) FILTER (section = 'root')) FROM store) AS counts,
+        NULL::VARCHAR AS load_error, '{M.REPUTATION_POLICY}' AS policy FROM looked""", False)
+       for name, age, generated in (("reputation_cascade", 10, "2024-01-22T00:00:00"), ("reputation_cascade_stale", 45, "2023-12-18T00:00:00"))},
     "label_predictions": "SELECT doc_id, toxic AS label, (n_chars > 1000)::INT AS prediction FROM labels JOIN documents USING (doc_id)",
     "ind_official_domain": on_scored(_indicator("off")),
     "ind_reputation": on_reputation_scores(_indicator("rep")),
@@ -1015,7 +1023,7 @@ ORACLES = {
     "evaluate_rules": with_ctes({**hosts_chain(), **score_ctes(), **RULE_CASES, **metrics("cases")}, "SELECT * FROM measured"),
     "stream_score_urls": with_ctes({**CORE, **REGISTRY_DERIVED, **url_ctes(FX.CORPUS), **LABEL_CTES, **SLD_CTES, **token_ctes(TOKEN_CTES),
         **ratio_ctes(RATIO_PAIRS), **VERDICT_CTES, **score_ctes()}, "SELECT url_id, url, risk AS risk_score, result, critical FROM scored"),
-    "stream_dedupe": on_log("SELECT id, riskScore FROM valid"),
+    "stream_dedupe": on_log("SELECT id, CASE WHEN event_type = 'click' THEN 100 - riskScore ELSE riskScore END AS riskScore FROM valid"),
     "stream_band_counts": on_log(f"""SELECT {_TIME.format("date_trunc('day', timestamp)")} AS window_start, {band('riskScore', 0)} AS band, count(*) AS n
         FROM valid GROUP BY 1, 2"""),
     "stream_top_hosts": on_log(f"""SELECT host, detectionCount, criticalRuleApplications, {_TIME.format('latest.t')} AS latestTimestamp FROM ranked

@@ -24,6 +24,7 @@ from urlrisk.sources import detections as SD
 from urlrisk.sources import labelled as SL
 from urlrisk.sources import registry as SR
 from urlrisk.sources import reputation as RP
+from urlrisk.sources.json_store import write_store
 from urlrisk.streaming import jobs as ST
 
 c = F.col
@@ -103,29 +104,41 @@ def load_labelled_urls(spark, sf):
 
 
 def load_domain_registry(spark, sf):
-    entries = FX.spark_view(spark, sf, FX.REGISTRY_ENTRIES)
-    return SR.registry_from_table(entries).official.select("brand", "brand_ord", "domain", "exact_only")
+    """A registry file of the page hosts, written and read back; brands are numbered in its order."""
+    path = shared_path(spark, "registry-json")
+    entries = FX.spark_view(spark, sf, FX.REGISTRY_ENTRIES).groupBy("brand").agg(F.sort_array(F.collect_set("domain")).alias("record"))
+    write_store(entries.select(F.lit("official_domains").alias("section"), c("brand").alias("key"), "record"),
+                {"exact_only_official_domains": list(C.EXACT_ONLY_DOMAINS), "shared_hosting_domains": list(C.SHARED_HOSTING_DOMAINS)}, path)
+    return SR.load_registry(spark, path).official.select("brand", "brand_ord", "domain", "exact_only")
 
 
-def load_reputation_tables(spark, sf):
-    tables = reputation_tables(spark, sf)
+def _sections(tables):
     rows = None
     for section, table in (("url", tables.fingerprints), ("host", tables.hosts), ("root", tables.roots)):
-        part = materialize(table, section).select(
-            F.lit(section).alias("section"), "key", F.array_join("sources", ",").alias("sources"), "url_count")
+        part = table.select(F.lit(section).alias("section"), "key", F.array_join("sources", ",").alias("sources"), "url_count")
         rows = part if rows is None else rows.unionByName(part)
     return rows
 
 
+def load_reputation_tables(spark, sf):
+    """A store of the feed, written as one JSON object and read back in splits."""
+    path = shared_path(spark, "store-json")
+    RP.write_tables(reputation_tables(spark, sf), path, "2024-01-22 00:00:00")
+    return _sections(RP.load_tables(spark, path, F.lit(FX.NOW)))
+
+
+def build_reputation_tables(spark, sf):
+    return _sections(reputation_tables(spark, sf))
+
+
 def append_detections(spark, sf):
-    """Write the log, write corrections of some records, read the upsert view."""
+    """Write the log, merge corrections of some records into it, read it as it is."""
     path = shared_path(spark, "log")
     log = D.valid_detections(detections(spark, sf)).select("id", "url", "riskScore", "event_type", "timestamp")
     SD.append_detections(log.withColumn("version", F.lit(1)), path)
     fixes = log.filter("event_type = 'click'").withColumn("riskScore", 100 - c("riskScore"))
-    SD.append_detections(fixes.withColumn("version", F.lit(2)), path)
-    return SD.latest_by_key(SD.read_detections(spark, path), "version").select(
-        "id", "url", "riskScore", "version", "month")
+    SD.merge_detections(fixes.withColumn("version", F.lit(2)), path, "version")
+    return SD.read_detections(spark, path).select("id", "url", "riskScore", "version", "month")
 
 
 def scan_by_key_prefix(spark, sf):
@@ -389,7 +402,9 @@ def _reputation_rows(rows):
         F.array_join(r["sources"], ",").alias("sources"), r["url_count"].alias("url_count"),
         r["evidence_class"].alias("evidence_class"), r["context_match"].alias("context_match"),
         F.array_join(r["context_sources"], ",").alias("context_sources"),
-        r["context_url_count"].alias("context_url_count"))
+        r["context_url_count"].alias("context_url_count"), r["generated_at_utc"].alias("generated_at_utc"),
+        F.concat_ws(",", *[r["counts"][n] for n in RP.SECTIONS]).alias("counts"), r["load_error"].alias("load_error"),
+        r["policy"].alias("policy"))
 
 
 def reputation_cascade(spark, sf):
@@ -735,17 +750,22 @@ def stream_score_urls(spark, sf):
     return ST.stream_score_urls(_page_stream(spark, sf), score)
 
 
-def _log_stream(spark, sf):
-    """The detection log as a stream, with click records delivered twice."""
-    path = shared_path(spark, "stream-log")
-    log = D.valid_detections(detections(spark, sf)).select(
-        "id", "url", "riskScore", "critical_phishing", "event_type", "timestamp")
-    log.unionByName(log.filter("event_type = 'click'")).write.parquet(path)
-    return ST.read_stream(spark, path, log.schema)
+def _delivered(spark, path, *deliveries):
+    """A stream of several deliveries, a batch each, in the order given."""
+    for rows in deliveries:
+        rows.coalesce(1).write.mode("append").parquet(path)
+    return ST.read_stream(spark, path, deliveries[0].schema, 1)
 
 
 def stream_dedupe(spark, sf):
-    return ST.stream_dedupe(_log_stream(spark, sf), "60 days").select("id", "riskScore")
+    """Click records come again, changed, in a later delivery; a last record moves the watermark past all."""
+    log = D.valid_detections(detections(spark, sf)).select("id", "url", "riskScore", "event_type", "timestamp").withColumn("version", F.lit(1))
+    later = log.filter("event_type = 'click'").withColumns({"riskScore": 100 - c("riskScore"), "version": F.lit(2)})
+    end = log.agg(F.max("timestamp").alias("t")).select(
+        F.lit("end").alias("id"), F.lit("").alias("url"), F.lit(0).alias("riskScore"), F.lit("").alias("event_type"),
+        (c("t") + F.expr("interval 90 days")).alias("timestamp"), F.lit(1).alias("version"))
+    stream = _delivered(spark, shared_path(spark, "stream-log"), log, later, end, end.withColumn("id", F.lit("end2")))
+    return ST.stream_dedupe(stream, "version", "30 days").filter("NOT startswith(id, 'end')").select("id", "riskScore")
 
 
 def stream_band_counts(spark, sf):
@@ -760,10 +780,9 @@ def stream_band_counts(spark, sf):
 
 
 def stream_top_hosts(spark, sf):
-    path = shared_path(spark, "stream-log")
-    log = detections(spark, sf).select("url", "riskScore", "critical_phishing", "timestamp")
-    log.write.parquet(path)
-    rows = ST.stream_top_hosts(ST.read_stream(spark, path, log.schema))
+    log = detections(spark, sf).select("event_id", "url", "riskScore", "critical_phishing", "timestamp")
+    parts = [log.filter(c("event_id") % 3 == i).drop("event_id") for i in range(3)]
+    rows = ST.stream_top_hosts(_delivered(spark, shared_path(spark, "stream-log"), *parts))
     return _text_time(rows, "latestTimestamp")
 
 
@@ -841,7 +860,7 @@ QUERIES = {
     "regression_pass_rate": regression_pass_rate, "quality_gate": quality_gate, "feature_audit": feature_audit,
     "build_brand_terms": build_brand_terms, "build_protected_labels": build_protected_labels,
     "reputation_store_metadata": reputation_store_metadata,
-    "build_reputation_tables": load_reputation_tables,
+    "build_reputation_tables": build_reputation_tables,
     # windows, sorts, sets
     "recent_history": recent_history, "first_match": first_match, "latest_per_host": latest_per_host,
     "top3_signals": top3_signals, "detections_newest_first": detections_newest_first,

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from urlrisk.operators.scoring import explanations, recommendations, band_column
+from urlrisk.operators.scoring import band_column, explanations, recommendations
+from urlrisk.sources.upsert import upsert
 
 c = F.col
 
@@ -35,6 +36,15 @@ def append_detections(rows: DataFrame, path: str) -> None:
     monthly.write.mode("append").partitionBy("month").parquet(path)
 
 
+def merge_detections(rows: DataFrame, path: str, version: str) -> None:
+    """Merge records into the log by key, so that reading needs no choice between versions.
+
+    A record's month is that of its time, which is part of its key; only months
+    that ``rows`` touch are written again.
+    """
+    upsert(rows.withColumn("month", F.date_format("timestamp", "yyyy-MM")), path, "id", c(version), "month")
+
+
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

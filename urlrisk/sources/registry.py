@@ -13,6 +13,7 @@ from urlrisk.functions import url as U
 from urlrisk.functions.text import skeleton, values
 from urlrisk.operators.nearest_terms import term_index
 from urlrisk.session import materialize
+from urlrisk.sources.json_store import MISSING, read_store
 
 #: Letters of a brand that its lookup key has; shorter brands are their own key.
 BRAND_KEY = 4
@@ -227,24 +228,20 @@ def load_registry(spark: SparkSession, path: str) -> Registry:
     """Registry of a JSON file.
 
     ``{"official_domains": {brand: [domain]}, "exact_only_official_domains": [],
-    "shared_hosting_domains": []}``.  Built-in brands are always kept.
+    "shared_hosting_domains": []}``.  Built-in brands are always kept.  The file is
+    read in splits, so it may be of any size; one that is no object adds nothing.
     """
-    text = spark.read.text(path, wholetext=True)
-    ddl = ("struct<official_domains:string,exact_only_official_domains:array<string>,"
-           "shared_hosting_domains:array<string>>")
-    config = text.select(F.from_json("value", ddl).alias("c")).select("c.*")
-    brand_map = F.from_json("official_domains", "map<string,array<string>>")
-    raw = (
-        config.select(F.posexplode(F.map_entries(brand_map)).alias("position", "entry"))
-        .select(F.col("entry.key").alias("brand"),
-                (F.col("position") + _FILE_OFFSET).cast("bigint").alias("brand_ord"),
-                F.explode("entry.value").alias("domain"))
-    )
-    given = clean_entries(raw)
+    found, values, error = read_store(spark, path)
+    if error == MISSING:
+        raise FileNotFoundError(path)
+    given = clean_entries(found.where("section = 'official_domains'").select(
+        F.col("key").alias("brand"), (F.col("position") + _FILE_OFFSET).alias("brand_ord"),
+        F.explode(F.from_json("record", "array<string>")).alias("domain")))
 
     def section(name: str, fallback: list[str]) -> DataFrame:
         default = F.array(*[F.lit(w) for w in fallback]).cast("array<string>")
-        return config.select(F.explode(F.coalesce(name, default)).alias("domain")).select(
+        listed = values.where(F.col("name") == name).agg(F.max(F.from_json("value", "array<string>")).alias("words"))
+        return listed.select(F.explode(F.coalesce("words", default)).alias("domain")).select(
             F.ltrim(F.lower(F.trim("domain")), F.lit(".")).alias("domain")
         ).distinct()
 

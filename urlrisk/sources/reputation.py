@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlrisk.operators.urls import url_fingerprints
-from urlrisk.session import cut
+from urlrisk.messages import REPUTATION_POLICY
+from urlrisk.session import cut, shared_path
+from urlrisk.sources.json_store import read_store, write_store
 
 STALE_DAYS = 30
 SECTIONS = ("url_fingerprints", "hosts", "roots")
@@ -28,6 +32,33 @@ class ReputationTables:
     now: Column
     load_error: str | None = None
 
+    @cached_property
+    def keyed(self) -> DataFrame:
+        """All three tables as one (key, sources, url_count), bucketed and sorted by key.
+
+        Keys begin with u:, h: or r:.  A join on the key finds the store's side in place
+        and in order.
+        """
+        parts = [t.select(F.concat(F.lit(p), "key").alias("key"), "sources", "url_count")
+                 for p, t in (("u:", self.fingerprints), ("h:", self.hosts), ("r:", self.roots))]
+        spark, name = self.hosts.sparkSession, f"urlrisk_store_{uuid.uuid4().hex}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        (parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition(buckets, "key").write
+         .bucketBy(buckets, "key").sortBy("key").option("path", shared_path(spark, "store")).saveAsTable(name))
+        return spark.table(name)
+
+    @cached_property
+    def counts(self) -> dict[str, int]:
+        """Rows of each section."""
+        return {name: table.count() for name, table in zip(SECTIONS, (self.fingerprints, self.hosts, self.roots), strict=True)}
+
+    def about(self) -> dict[str, Column]:
+        """What every evidence says of the store itself."""
+        counts = self.counts if self.load_error is None else dict.fromkeys(SECTIONS, 0)
+        return {"generated_at_utc": F.date_format(self.generated_at.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"),
+                "counts": F.struct(*[F.lit(counts[n]).cast("bigint").alias(n) for n in SECTIONS]),
+                "load_error": F.lit(self.load_error).cast("string"), "policy": F.lit(REPUTATION_POLICY)}
+
     @property
     def age_days(self) -> Column:
         seconds = F.unix_timestamp(self.now.cast("timestamp")) - F.unix_timestamp(self.generated_at.cast("timestamp"))
@@ -38,7 +69,7 @@ class ReputationTables:
         """Whether lookups may use the store: it was readable and holds at least one host."""
         if self.load_error is not None:
             return F.lit(False)
-        return self.hosts.limit(1).agg(F.count("*") > 0).scalar()
+        return F.lit(self.counts["hosts"] > 0)
 
     @property
     def stale(self) -> Column:
@@ -77,9 +108,8 @@ def build_tables(feed: DataFrame, generated_at: Column, now: Column) -> Reputati
                             cut(keyed("rep_root"), "rep-roots"), generated_at, now)
 
 
-def _section(store: DataFrame, name: str) -> DataFrame:
+def _section(entries: DataFrame, name: str) -> DataFrame:
     """One keyed section; a record is an object, or a bare list of sources."""
-    raw = F.from_json(name, "map<string,string>")
     record = F.from_json("record", "struct<sources:array<string>,url_count:string>")
     bare = F.from_json("record", "array<string>")
     single = F.from_json("record", "struct<sources:string>")
@@ -87,27 +117,26 @@ def _section(store: DataFrame, name: str) -> DataFrame:
         F.coalesce(record["sources"], F.when(single["sources"].isNotNull() & ~single["sources"].startswith("["),
                                              F.array(single["sources"]))))
     empty = F.array().cast("array<string>")
-    return store.select(F.explode(raw).alias("key", "record")).select(
+    return entries.where(F.col("section") == name).select(
         "key", clean_sources(F.coalesce(as_list, empty)).alias("sources"),
         F.greatest(F.lit(0), F.coalesce(record["url_count"].try_cast("bigint"), F.lit(0))).alias("url_count"))
 
 
 def load_tables(spark: SparkSession, path: str, now: Column) -> ReputationTables:
-    """Read a store file; a missing or unreadable file gives empty tables and an error text."""
-    ddl = "struct<generated_at_utc:string,url_fingerprints:string,hosts:string,roots:string>"
-    error = None
-    try:
-        text = spark.read.text(path, wholetext=True)
-    except Exception as problem:  # the path does not exist
-        error = str(problem).splitlines()[0]
-        text = spark.createDataFrame([], "value string")
-    store = text.select(F.from_json("value", ddl).alias("s")).select("s.*")
-    head = store.select("generated_at_utc").head()
-    if error is None and (head is None or store.filter("url_fingerprints IS NULL AND hosts IS NULL").head()):
-        error = "reputation store has no readable section"
-    generated = F.lit(head[0] if head else None).cast("string").try_cast("timestamp")
-    sections = [_section(store, name) for name in SECTIONS]
-    return ReputationTables(*sections, generated_at=generated, now=now, load_error=error)
+    """Read a store of any size in splits; a missing or unreadable one gives empty tables and an error text."""
+    entries, values, error = read_store(spark, path)
+    generated = values.where("name = 'generated_at_utc'").select(F.max("value").alias("v")).first()[0]
+    sections = [cut(_section(entries, name), name.replace("_", "-")) for name in SECTIONS]
+    return ReputationTables(*sections, generated_at=F.lit(generated).cast("string").try_cast("timestamp"), now=now, load_error=error)
+
+
+def write_tables(tables: ReputationTables, path: str, generated_at_utc: str) -> None:
+    """Write the three sections as one store that ``load_tables`` reads."""
+    entries = None
+    for name, table in zip(SECTIONS, (tables.fingerprints, tables.hosts, tables.roots), strict=True):
+        part = table.select(F.lit(name).alias("section"), "key", F.struct("sources", "url_count").alias("record"))
+        entries = part if entries is None else entries.unionByName(part)
+    write_store(entries, {"generated_at_utc": generated_at_utc}, path)
 
 
 def metadata(tables: ReputationTables) -> DataFrame:

@@ -6,15 +6,20 @@ started again from its checkpoint.  Sinks are tables, never the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import UTC
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.types import StructType
 
 from urlrisk.operators.detections import HIGH, is_critical, submitted_host, valid_detections
 from urlrisk.operators import sgd
 from urlrisk.operators.scoring import band_column
 from urlrisk.session import children, drop_shared, shared_path
+from urlrisk.sources.upsert import read, upsert
 
 c = F.col
 
@@ -59,10 +64,62 @@ def stream_score_urls(urls: DataFrame, score: Callable[[DataFrame], DataFrame],
     return spark.read.parquet(path).drop("batch")
 
 
-def stream_dedupe(log: DataFrame, delay: str = "1 day") -> DataFrame:
-    """One record per detection id; state is dropped once the watermark has passed."""
-    return run_to_table(
-        valid_detections(log).withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["id"]), "deduped")
+class _Newest(StatefulProcessor):
+    """Keeps the newest record of a key and emits it once the watermark has passed its time."""
+
+    def __init__(self, schema: StructType, version: str):
+        self.schema, self.version = schema, version
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.record = handle.getValueState("record", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names, order = self.schema.fieldNames(), self.schema.fieldNames().index(self.version)
+        best = self.record.get() if self.record.exists() else None
+        for frame in rows:
+            for row in frame[names].itertuples(index=False, name=None):
+                values = tuple(None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else
+                               v.item() if hasattr(v, "item") else v for v in row)
+                if best is None or values[order] > best[order]:
+                    best = values
+        self.record.update(tuple(best))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        at = best[names.index("timestamp")].replace(tzinfo=UTC)
+        self.handle.registerTimer(max(int(at.timestamp() * 1000), timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        record = self.record.get()
+        self.record.clear()
+        yield pd.DataFrame([tuple(record)], columns=self.schema.fieldNames())
+
+    def close(self) -> None:
+        pass
+
+
+#: Where a stream keeps state of its own kind.
+_STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def stream_dedupe(log: DataFrame, version: str, delay: str = "1 day") -> DataFrame:
+    """One record per detection id: the one with the greatest ``version``, however late it came.
+
+    A key's record is state until the watermark passes its time; then it is
+    emitted and the state goes.  Of equal versions the first delivered stays.  A
+    correction that comes later than ``delay`` is a record of its own.
+    """
+    spark, schema = log.sparkSession, log.schema
+    before = spark.conf.get(_STATE_STORE[0], None)
+    spark.conf.set(*_STATE_STORE)
+    try:
+        newest = (valid_detections(log).withWatermark("timestamp", delay).groupBy("id")
+                  .transformWithStateInPandas(_Newest(schema, version), schema, "Append", "EventTime"))
+        return run_to_table(newest, "deduped")
+    finally:
+        spark.conf.unset(_STATE_STORE[0]) if before is None else spark.conf.set(_STATE_STORE[0], before)
 
 
 def stream_band_counts(log: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
@@ -76,29 +133,35 @@ def stream_band_counts(log: DataFrame, width: str = "1 day", delay: str = "1 hou
     return run_to_table(counts, "bands")
 
 
-def stream_top_hosts(log: DataFrame, k: int = 10) -> DataFrame:
-    """High-risk host counts kept as a table of increments; the ranking reads the sums.
+#: Partitions of the table of hosts; a batch rewrites those of the hosts it changes.
+HOST_PARTS = 16
+HOST_SCHEMA = "host string, detectionCount bigint, criticalRuleApplications bigint, latestTimestamp timestamp, part int"
+
 
-    Each batch writes its own partial counts under its number, so a repeated batch
-    replaces itself and no state grows on the executors.
+def stream_top_hosts(log: DataFrame, k: int = 10, folder: str | None = None) -> DataFrame:
+    """High-risk host counts as stateful aggregation; the ranking reads a table with one row per host.
+
+    Sums live in the state store.  Each batch hands over only the hosts that it
+    changed, with their totals, and these are merged into the table, so a repeated batch
+    changes nothing and files grow with hosts, not with batches.  With a
+    ``folder`` the stream goes on where an earlier run on that folder ended.
     """
     spark = log.sparkSession
-    path = shared_path(spark, "hosts")
+    folder = folder or shared_path(spark, "hosts")
+    counts = (
+        valid_detections(log).filter(c("riskScore") >= HIGH)
+        .withColumn("host", submitted_host(c("url"))).filter("host IS NOT NULL")
+        .groupBy("host").agg(
+            F.count("*").alias("detectionCount"), F.count_if(is_critical()).alias("criticalRuleApplications"),
+            F.max("timestamp").alias("latestTimestamp")))
 
     def handle(batch: DataFrame, number: int) -> None:
-        (valid_detections(batch).filter(c("riskScore") >= HIGH)
-         .withColumn("host", submitted_host(c("url"))).filter("host IS NOT NULL")
-         .groupBy("host").agg(F.count("*").alias("n"), F.count_if(is_critical()).alias("critical"),
-                              F.max("timestamp").alias("latest"))
-         .write.mode("overwrite").parquet(f"{path}/batch={number}"))
-
-    run_batches(log, "hosts", handle)
-    return (
-        spark.read.parquet(path).groupBy("host")
-        .agg(F.sum("n").alias("detectionCount"), F.sum("critical").alias("criticalRuleApplications"),
-             F.max("latest").alias("latestTimestamp"))
-        .orderBy(c("detectionCount").desc(), c("latestTimestamp").desc(), "host").limit(k)
-    )
+        part = F.pmod(F.xxhash64("host"), F.lit(HOST_PARTS)).cast("int")
+        upsert(batch.withColumn("part", part), f"{folder}/table", "host", c("detectionCount"), "part")
+
+    run_batches(counts, "hosts", handle, "update", f"{folder}/checkpoint")
+    return read(spark, f"{folder}/table", HOST_SCHEMA).drop("part").orderBy(
+        c("detectionCount").desc(), c("latestTimestamp").desc(), "host").limit(k)
 
 
 def stream_mini_batch_fit(rows: DataFrame, vectors: Callable[[DataFrame], DataFrame], settings: sgd.Settings,
