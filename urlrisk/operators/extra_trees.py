@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk.session import materialize, shared_path
@@ -115,9 +115,9 @@ def _walk(forest: list, x: np.ndarray) -> np.ndarray:
     return votes
 
 
-def _draw(what: str, *parts: Column, seed: int) -> Column:
-    """A number in [0, 1) from a hash of the parts."""
-    return F.crc32(F.concat_ws(":", F.lit(f"{seed}{what}"), *[p.cast("string") for p in parts])) / float(1 << 32)
+def _draw(what: str, feature: int, seed: int) -> str:
+    """A number in [0, 1) for a feature of a node, from a hash."""
+    return f"(crc32(concat_ws(':', '{seed}{what}', tree, node, {feature})) / {1 << 32}d)"
 
 
 def bagged(rows: DataFrame, names: list[str], key: str, trees: int, sample: float, seed: int, label: str, weight: str) -> DataFrame:
@@ -135,7 +135,7 @@ def bagged(rows: DataFrame, names: list[str], key: str, trees: int, sample: floa
     base = rows.select(F.col(key).alias("_key"), c(label).cast("int").alias("label"), c(weight).cast("double").alias("_w"),
                        F.array(*[c(n).cast("double") for n in names]).alias("x"))
     drawn = F.pmod(F.xxhash64(F.lit(seed), "_key", "tree"), F.lit(1 << 40)) / float(1 << 40)
-    count = sum(((c("_u") >= s).cast("int") for s in steps), F.lit(0))
+    count = F.expr(" + ".join(f"IF(_u >= {step!r}d, 1, 0)" for step in steps))
     return (base.select("*", tree).withColumn("_u", drawn).withColumn("_n", count).where("_n > 0")
             .select("tree", F.lit(1).cast("bigint").alias("node"), "label",
                     F.round(c("_w") * c("_n") * _UNIT).cast("bigint").alias("w"), "x"))
@@ -146,51 +146,42 @@ def candidates(open_rows: DataFrame, features: int, many: int, seed: int, least:
 
     Features come in an order drawn by hash; constant ones are passed over.
     """
-    ranges = [agg for i in range(features) for agg in (
-        F.min(c("x")[i]).alias(f"lo{i}"), F.max(c("x")[i]).alias(f"hi{i}"))]
-    nodes = open_rows.groupBy("tree", "node").agg(
-        F.count("*").alias("n"), F.sum(F.when(c("label") == 0, c("w")).otherwise(0)).alias("w0"),
-        F.sum(F.when(c("label") == 1, c("w")).otherwise(0)).alias("w1"), *ranges)
+    ranges = [e for i in range(features) for e in (f"min(x[{i}]) AS lo{i}", f"max(x[{i}]) AS hi{i}")]
+    nodes = open_rows.groupBy("tree", "node").agg(*map(F.expr, (
+        "count(*) AS n", "sum(IF(label = 0, w, 0L)) AS w0", "sum(IF(label = 1, w, 0L)) AS w1", *ranges)))
 
-    def cut(i: int) -> Column:
-        low, high = c(f"lo{i}"), c(f"hi{i}")
-        at = low + (high - low) * _draw("cut", c("tree"), c("node"), F.lit(i), seed=seed)
-        return F.when(low < high, F.struct(
-            _draw("feature", c("tree"), c("node"), F.lit(i), seed=seed).alias("u"), F.lit(i).alias("feature"),
-            F.when(at >= high, low).otherwise(at).alias("cut")))
+    def cut(i: int) -> str:
+        at = f"lo{i} + (hi{i} - lo{i}) * {_draw('cut', i, seed)}"
+        return (f"IF(lo{i} < hi{i}, named_struct('u', {_draw('feature', i, seed)}, 'feature', {i}, "
+                f"'cut', IF({at} >= hi{i}, lo{i}, {at})), NULL)")
 
-    drawn = F.slice(F.array_sort(F.array_compact(F.array(*[cut(i) for i in range(features)]))), 1, many)
-    divisible = (c("n") >= 2 * least) & (c("w0") > 0) & (c("w1") > 0) & ~F.lit(last)
-    return nodes.select("tree", "node", "n", "w0", "w1", F.when(divisible, drawn).otherwise(F.slice(drawn, 1, 0)).alias("cuts"))
+    cuts = ", ".join(map(cut, range(features)))
+    divisible = f"n >= {2 * least} AND w0 > 0 AND w1 > 0 AND {str(not last).lower()}"
+    return nodes.selectExpr("tree", "node", "n", "w0", "w1",
+                            f"slice(array_sort(array_compact(array({cuts}))), 1, IF({divisible}, {many}, 0)) AS cuts")
 
 
 def decided(open_rows: DataFrame, nodes: DataFrame, many: int, least: int) -> DataFrame:
     """Each node with its best cut, or none: rows of the model."""
-    def left(k: int) -> Column:
-        return c("x")[F.get("cuts", F.lit(k))["feature"]] <= F.get("cuts", F.lit(k))["cut"]
-
-    sums = [agg for k in range(many) for agg in (
-        F.count_if(left(k)).alias(f"n{k}"), F.sum(F.when(left(k) & (c("label") == 0), c("w")).otherwise(0)).alias(f"a{k}"),
-        F.sum(F.when(left(k) & (c("label") == 1), c("w")).otherwise(0)).alias(f"b{k}"))]
-    sides = (open_rows.join(nodes.where(F.size("cuts") > 0).select("tree", "node", "cuts"), ["tree", "node"])
-             .groupBy("tree", "node").agg(*sums))
-    joined = nodes.join(sides, ["tree", "node"], "left")
-
-    def squares(a: Column, b: Column) -> Column:
-        a, b = a.cast("double"), b.cast("double")
-        return F.when(a + b > 0, (a * a + b * b) / (a + b)).otherwise(0.0)
-
-    def option(k: int) -> Column:
-        fits = (c(f"n{k}") >= least) & (c("n") - c(f"n{k}") >= least)
-        gain = (squares(c(f"a{k}"), c(f"b{k}")) + squares(c("w0") - c(f"a{k}"), c("w1") - c(f"b{k}"))
-                - squares(c("w0"), c("w1"))) / _UNIT
-        return F.when(fits, F.struct(gain.alias("gain"), F.lit(-k).alias("rank"), F.get("cuts", F.lit(k))["feature"].alias("feature"),
-                                     F.get("cuts", F.lit(k))["cut"].alias("cut")))
-
-    best = F.array_max(F.array_compact(F.array(*[option(k) for k in range(many)])))
-    return joined.withColumn("best", best).select(
-        "tree", "node", c("best.feature").alias("feature"), c("best.cut").alias("cut"), "n", "w0", "w1",
-        F.greatest(c("best.gain"), F.lit(0.0)).alias("gain"))
+    left = [f"x[get(cuts, {k}).feature] <= get(cuts, {k}).cut" for k in range(many)]
+    sums = [e for k in range(many) for e in (
+        f"count_if({left[k]}) AS n{k}", f"sum(IF({left[k]} AND label = 0, w, 0L)) AS a{k}",
+        f"sum(IF({left[k]} AND label = 1, w, 0L)) AS b{k}")]
+    sides = (open_rows.join(nodes.where("size(cuts) > 0").select("tree", "node", "cuts"), ["tree", "node"])
+             .groupBy("tree", "node").agg(*map(F.expr, sums)))
+
+    def squares(a: str, b: str) -> str:
+        """Sum of the squared weights of both classes over their total."""
+        return f"coalesce(try_divide(power(double({a}), 2) + power(double({b}), 2), double(({a}) + ({b}))), 0d)"
+
+    def option(k: int) -> str:
+        gain = f"({squares(f'a{k}', f'b{k}')} + {squares(f'w0 - a{k}', f'w1 - b{k}')} - {squares('w0', 'w1')}) / {_UNIT}"
+        return (f"IF(n{k} >= {least} AND n - n{k} >= {least}, named_struct('gain', {gain}, 'rank', -{k}, "
+                f"'feature', get(cuts, {k}).feature, 'cut', get(cuts, {k}).cut), NULL)")
+
+    best = f"array_max(array_compact(array({', '.join(map(option, range(many)))}))) AS best"
+    return nodes.join(sides, ["tree", "node"], "left").selectExpr("*", best).selectExpr(
+        "tree", "node", "best.feature AS feature", "best.cut AS cut", "n", "w0", "w1", "greatest(best.gain, 0d) AS gain")
 
 
 def fit(rows: DataFrame, names: list[str], key: str, trees: int = 180, depth: int = 24, least: int = 2, sample: float = 0.75,

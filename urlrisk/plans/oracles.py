@@ -827,9 +827,9 @@ def _augmented() -> str:
 
 ORACLES = {
     "load_labelled_urls": FX.duck_view(FX.LABELLED),
-    # The file begins with two lists and the name of the section, then come the brands in order.
+    # The file begins with two lists, whose strings are numbered as well, and the name of the section; then come the brands in order.
     "load_domain_registry": on_entries("SELECT brand, brand_ord, domain, exact_only FROM official").replace(
-        "brand_ord + 1000000 AS brand_ord", "dense_rank() OVER (ORDER BY brand) + 1000003 AS brand_ord", 1),
+        "brand_ord + 1000000 AS brand_ord", f"dense_rank() OVER (ORDER BY brand) + {1000001 + len(C.EXACT_ONLY_DOMAINS) + len(C.SHARED_HOSTING_DOMAINS)} AS brand_ord", 1),
     "load_reputation_tables": with_ctes(reputation_ctes(_LOOKUPS, 10),
         "SELECT section, key, array_to_string(sources, ',') AS sources, url_count FROM store", False),
     "append_detections": on_log("""SELECT id, url, CASE WHEN event_type = 'click' THEN 100 - riskScore ELSE riskScore END AS riskScore,

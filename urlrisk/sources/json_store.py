@@ -152,7 +152,7 @@ def _walk(starts: dict[str, _Start]):
 def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, str | None]:
     """(entries (section, key, record as JSON, position), values (name, value), what is wrong or null).
 
-    ``position`` numbers sections and entries in the order of the text, from 1.
+    ``position`` numbers sections and entries in the order of the text, strings within a list included.
     Of a repeated key the last record stays.  A section that is no object has no
     entries.  A store that is missing, no object or cut short has none at all.
     """
