@@ -154,6 +154,43 @@ def test_reputation_raises_the_score(spark, registry):
     assert got["https://lone.org/b"] == (35, "warning", 35, "root_host_single_source")
 
 
+def test_store_is_met_in_one_join_and_stays_in_place(spark):
+    """Without broadcasts the plan joins the bucketed store once, and moves only the asked side."""
+    from urlrisk.operators.reputation import store_hits
+    from urlrisk.operators.urls import url_fingerprints
+
+    feed = spark.createDataFrame([(f"http://h{i}.example.com/x", "urlhaus") for i in range(40)], "url string, source string")
+    tables = build_tables(feed, F.lit("2024-01-22 00:00:00"), F.lit("2024-02-01 00:00:00"))
+    urls = spark.createDataFrame([(f"http://h{i}.example.com/{i % 2}",) for i in range(60)], "url string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = store_hits(url_fingerprints(urls, "url"), tables)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and "Bucketed: true" in plan
+        store = plan[plan.index("SortMergeJoin"):].split("FileScan")
+        side = next(part for part in plan.split("\n") if "FileScan" in part and "Bucketed: true" in part)
+        lines = plan.split("\n")
+        above = lines[lines.index(side) - 3:lines.index(side)]
+        assert len(store) >= 2 and not any("Exchange" in line for line in above[-2:])
+        assert hits.count() == 60
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_evidence_tells_of_the_store(spark):
+    from urlrisk.operators.reputation import add_reputation
+    from urlrisk.sources.reputation import load_tables
+
+    feed = spark.createDataFrame([("http://bad.example.com/x", "urlhaus")], "url string, source string")
+    tables = build_tables(feed, F.lit("2024-01-22 00:00:00"), F.lit("2024-02-01 00:00:00"))
+    urls = spark.createDataFrame([("http://a.b/",)], "url string")
+    r = add_reputation(urls, tables).first().reputation
+    assert (r.generated_at_utc, r.counts.asDict(), r.load_error) == (
+        "2024-01-22T00:00:00", {"url_fingerprints": 1, "hosts": 1, "roots": 1}, None) and r.policy.startswith("v12.1")
+    gone = add_reputation(urls, load_tables(spark, "file:///nowhere/store.json", F.lit("2024-02-01 00:00:00"))).first().reputation
+    assert not gone.available and gone.load_error and gone.counts.hosts == 0
+
+
 def test_model_votes_are_blended(spark, registry):
     urls = spark.createDataFrame([("http://example.com/login", 0.9, 0.9), ("https://goo.su/i.whatAapp", 0.1, 0.9)],
                                  "url string, raw_probability double, confidence double")

@@ -129,6 +129,11 @@ def require_quality(gate: DataFrame) -> None:
         raise ValueError("the model did not reach the required validation target")
 
 
+def evaluate_rules(scored: DataFrame, label: Column) -> DataFrame:
+    """Metrics of the rules alone: the decision of scored URLs against their true label."""
+    return classification_metrics(scored.select(label.alias("label"), "prediction"))
+
+
 def importance_table(model, names: list[str], features: DataFrame) -> DataFrame:
     """(position, feature, importance) of a fitted model, which must have been fitted on these names.
 

@@ -210,3 +210,8 @@ def scoring_config(spark: SparkSession) -> DataFrame:
 def risk_levels(spark: SparkSession) -> DataFrame:
     return values(spark, {"band": "string", "label": "string", "decision": "string",
                           "minimum": "int", "maximum": "int"}, list(C.RISK_BANDS))
+
+
+def verified_official(scored: DataFrame) -> DataFrame:
+    """Scored URLs whose host is official and whose official-domain indicator is safe."""
+    return scored.filter((F.col("officialDomain_status") == "safe") & F.col("is_official"))

@@ -317,8 +317,7 @@ def confusable_tld_flag(spark, sf):
 
 
 def verified_official_filter(spark, sf):
-    return scored(spark, sf).filter((c("officialDomain_status") == "safe") & c("is_official")).select(
-        "url_id", "official_brand", "official_domain")
+    return SC.verified_official(scored(spark, sf)).select("url_id", "official_brand", "official_domain")
 
 
 # --- joins ------------------------------------------------------------------
@@ -730,7 +729,7 @@ def evaluate_holdout(spark, sf):
 
 def evaluate_rules(spark, sf):
     label = F.when(c("kind").isin(0, 1, 12, 14, 15, 16, 18, 19), 0).otherwise(1)
-    return E.classification_metrics(scored(spark, sf).select(label.alias("label"), "prediction"))
+    return E.evaluate_rules(scored(spark, sf), label)
 
 
 # --- streaming --------------------------------------------------------------
