@@ -135,25 +135,27 @@ QUERIES = {q.__name__: q for q in (
     op5_minhash_near_dedup, op6_byte_bpe, op7_nearest, op8_substring_dedup, op9_decontamination, op10_toxicity,
     op11_filter_audit, op12_mixing, op13_periodic_runs)}
 ORACLES: dict[str, str] = {"op3_url_filters": r"""
-WITH p AS (
+WITH p AS MATERIALIZED (
   SELECT page_id, nullif(regexp_replace(trim(regexp_replace(regexp_replace(
            regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':.*$', ''), '.'),
            '^www\.', ''), '') AS host FROM pages),
-c AS (SELECT row_number() OVER () AS rid, p.page_id, p.host, e.ts FROM p LEFT JOIN events e ON e.event_id = p.page_id),
+c AS MATERIALIZED (SELECT row_number() OVER () AS rid, p.page_id, p.host, e.ts FROM p LEFT JOIN events e ON e.event_id = p.page_id),
 entries AS (
   SELECT concat('list', e.user_id % 3) AS list, e.ts AS at, bool_or(e.event_type = 'error') AS adds,
          CASE WHEN e.user_id % 2 = 0 THEN p.host
               WHEN p.host LIKE '%.%' THEN regexp_extract(p.host, '[^.]*\.[^.]*$') ELSE p.host END AS key
   FROM events e JOIN p ON p.page_id = e.event_id % (SELECT max(page_id) + 1 FROM pages)
   WHERE e.event_type IN ('error', 'purchase') GROUP BY ALL),
-keys AS (
-  SELECT rid, ts, unnest(list_transform(range(1, len(string_split(host, '.')) + 1),
+spans AS MATERIALIZED (
+  SELECT list, key, began, ended FROM (
+    SELECT e.list, e.key, e.adds, e.at AS began, lead(e.at) OVER (PARTITION BY e.list, e.key ORDER BY e.at) AS ended FROM entries e) WHERE adds),
+names AS MATERIALIZED (
+  SELECT host, unnest(list_transform(range(1, len(string_split(host, '.')) + 1),
            lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS key
-  FROM c WHERE host IS NOT NULL AND ts IS NOT NULL),
-asked AS (SELECT k.rid, k.ts, k.key, l.list FROM keys k JOIN (SELECT DISTINCT list, key FROM entries) l ON l.key = k.key),
+  FROM (SELECT DISTINCT host FROM p WHERE host IS NOT NULL)),
 held AS (
-  SELECT a.rid, a.list, a.key FROM asked a
-  ASOF JOIN entries e ON e.list = a.list AND e.key = a.key AND a.ts >= e.at WHERE e.adds),
+  SELECT c.rid, s.list, s.key FROM c JOIN names n ON n.host = c.host JOIN spans s ON s.key = n.key
+   AND s.began <= c.ts AND (s.ended IS NULL OR c.ts < s.ended)),
 hits AS (SELECT rid, count(*) AS n_hits, string_agg(concat(list, ' ', key), ',' ORDER BY list, key) AS hits FROM held GROUP BY rid)
 SELECT c.page_id, c.host, coalesce(h.n_hits, 0) AS n_hits, coalesce(h.hits, '') AS hits FROM c LEFT JOIN hits h ON h.rid = c.rid
 """}
