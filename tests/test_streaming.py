@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from urlrisk.operators import detections as D
 from urlrisk.plans.score import score_urls
+from urlrisk.session import children, shared_folder
 from urlrisk.streaming import jobs as ST
 
 DDL = "id string, url string, riskScore int, critical_phishing boolean, timestamp timestamp"
@@ -80,5 +81,9 @@ def test_scores_equal_batch(spark, registry, tmp_path):
     path = str(tmp_path / "urls.parquet")
     spark.createDataFrame([("https://google.com",), ("https://goog1e.com",), ("http://a.b/login",)], "url string").write.parquet(path)
     score = lambda rows: score_urls(rows, registry).select("url", "risk_score")
+    ST.stream_score_urls(stream(spark, path), score)       # whatever a registry keeps stands now
+    before = set(children(spark, shared_folder(spark)))
     got = ST.stream_score_urls(stream(spark, path), score)
+    left = set(children(spark, shared_folder(spark))) - before
+    assert {name.rsplit("-", 1)[0] for name in left} == {"scores", "scores-checkpoint"}
     assert got.exceptAll(score(spark.read.parquet(path))).isEmpty() and got.count() == 3

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlrisk.session import materialize, shared_path
+from urlrisk.session import drop_shared, shared_path
 
 c = F.col
 #: Weights are counted in units of 2^-20.
@@ -193,15 +193,25 @@ def fit(rows: DataFrame, names: list[str], key: str, trees: int = 180, depth: in
     Null features are not allowed; an empty table gives a model without nodes.
     """
     spark, many = rows.sparkSession, max(1, math.isqrt(len(names)))
-    model = shared_path(spark, "extra-trees")
-    open_rows = materialize(bagged(rows, names, key, trees, sample, seed, label, weight), "open-0")
+    model, held = shared_path(spark, "extra-trees"), []
+
+    def written(table: DataFrame, name: str) -> DataFrame:
+        held.append(shared_path(spark, name))
+        table.write.parquet(held[-1])
+        return spark.read.schema(table.schema).parquet(held[-1])
+
+    open_rows = written(bagged(rows, names, key, trees, sample, seed, label, weight), "open")
     for level in range(depth + 1):
-        nodes = materialize(candidates(open_rows, len(names), many, seed, least, level == depth), "nodes")
+        nodes = written(candidates(open_rows, len(names), many, seed, least, level == depth), "nodes")
         decided(open_rows, nodes, many, least).write.parquet(f"{model}/level={level}")
         split = spark.read.schema(_NODE).parquet(f"{model}/level={level}").where("feature IS NOT NULL").select("tree", "node", "feature", "cut")
-        if split.isEmpty():
+        done = split.isEmpty()
+        if not done:
+            child = F.expr("2 * node + IF(x[feature] <= cut, 0, 1)").alias("node")
+            open_rows = written(open_rows.join(split, ["tree", "node"]).select("tree", child, "label", "w", "x"), "open")
+        # Only the rows of the next level are read again.
+        while len(held) > (0 if done else 1):
+            drop_shared(spark, held.pop(0))
+        if done:
             break
-        child = 2 * c("node") + F.when(c("x")[c("feature")] <= c("cut"), 0).otherwise(1)
-        open_rows = materialize(open_rows.join(split, ["tree", "node"]).select("tree", child.alias("node"), "label", "w", "x"),
-                                f"open-{level + 1}")
     return ExtraTrees(spark.read.schema(_NODE + ", level int").parquet(model), list(names), trees)

@@ -47,7 +47,7 @@ def term_index(terms: DataFrame, column: str = "term") -> DataFrame:
     """Blocks (size, block, terms) of the distinct terms, as a written table."""
     distinct = materialize(terms.select(column).where(F.length(column) > 0).distinct(), "terms")
     return materialize(chunks(distinct, column, BLOCK_TERMS).select(
-        "size", c("part").alias("block"), c("words").alias("terms")), "term-index")
+        "size", c("part").alias("block"), c("words").alias("terms")), "term-index", keep=True)
 
 
 class TermBlock:

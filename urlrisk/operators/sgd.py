@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlrisk.session import drop_shared, materialize, shared_path
+from urlrisk.session import drop_shared, materialize, scratch, shared_path
 
 c = F.col
 #: Rows that one part steps through; a round has as many parts as its rows fill.
@@ -145,6 +145,11 @@ def fit_round(model: SgdModel, rows: DataFrame, path: str, features: str = "feat
     order of a hash of ``key``, so a round does not depend on partitions; without rows the
     state goes on unchanged.
     """
+    with scratch(rows.sparkSession):
+        return _round(model, rows, path, features, label, weight, key, part_rows)
+
+
+def _round(model: SgdModel, rows: DataFrame, path: str, features: str, label: str, weight: str | None, key: str, part_rows: int) -> SgdModel:
     spark, settings = rows.sparkSession, model.settings
     indices, values = _sparse(features, settings.size)
     order = F.xxhash64(key)

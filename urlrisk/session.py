@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_scope = threading.local()
 
 
 def local_session(cores: str = "*", app: str = "urlrisk") -> SparkSession:
@@ -56,9 +59,27 @@ def _file_system(spark: SparkSession, folder: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one written table or stream checkpoint."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path for one written table or stream checkpoint; ``keep`` takes it out of the scratch around it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep and getattr(_scope, "paths", None) is not None:
+        _scope.paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are written inside go at the end, but for those that a registry or a store keeps for later use.
+
+    Write results inside, to a path from outside: plans that were built here cannot run afterwards.
+    """
+    outer, _scope.paths = getattr(_scope, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _scope.paths = _scope.paths, outer
+        for path in paths:
+            drop_shared(spark, path)
 
 
 def drop_shared(spark: SparkSession, path: str | None = None) -> None:
@@ -73,14 +94,14 @@ def children(spark: SparkSession, folder: str) -> list[str]:
     return [f.getPath().getName() for f in system.listStatus(path)] if system.exists(path) else []
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
     Cuts lineage in a way that survives lost executors, and gives the optimizer
     true sizes, so a later join broadcasts only what is really small.
     """
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = shared_path(spark, name, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -182,7 +182,7 @@ class Registry:
 
     def sized(self, table: DataFrame) -> DataFrame:
         """Write a derived table once per registry; how it is joined, the optimizer decides by its real size."""
-        return materialize(table, "registry")
+        return materialize(table, "registry", keep=True)
 
     @cached_property
     def term_index(self) -> DataFrame:
@@ -211,7 +211,7 @@ def core_registry(spark: SparkSession) -> Registry:
     if key not in _CORE:
         built_in = entries(spark, C.BUILT_IN_DOMAINS)
         core = entries(spark, C.CORE_DOMAINS, _FILE_OFFSET)
-        _CORE[key] = Registry(materialize(merge_entries(built_in, core), "entries"), _domains(spark, C.EXACT_ONLY_DOMAINS),
+        _CORE[key] = Registry(materialize(merge_entries(built_in, core), "entries", keep=True), _domains(spark, C.EXACT_ONLY_DOMAINS),
                               _domains(spark, C.SHARED_HOSTING_DOMAINS))
     return _CORE[key]
 

@@ -44,7 +44,7 @@ class ReputationTables:
         spark, name = self.hosts.sparkSession, f"urlrisk_store_{uuid.uuid4().hex}"
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         (parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition(buckets, "key").write
-         .bucketBy(buckets, "key").sortBy("key").option("path", shared_path(spark, "store")).saveAsTable(name))
+         .bucketBy(buckets, "key").sortBy("key").option("path", shared_path(spark, "store", keep=True)).saveAsTable(name))
         return spark.table(name)
 
     @cached_property

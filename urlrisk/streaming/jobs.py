@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from urlrisk.operators.detections import HIGH, is_critical, submitted_host, valid_detections
 from urlrisk.operators import sgd
 from urlrisk.operators.scoring import band_column
-from urlrisk.session import children, drop_shared, shared_path
+from urlrisk.session import children, drop_shared, scratch, shared_path
 from urlrisk.sources.upsert import read, upsert
 
 c = F.col
@@ -52,13 +52,15 @@ def run_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, int],
 def stream_score_urls(urls: DataFrame, score: Callable[[DataFrame], DataFrame], name: str = "scores") -> DataFrame:
     """Score arriving URLs batch by batch; each batch is one ordinary scoring job.
 
-    The batch number is part of the file path, so a repeated batch replaces itself.
+    The batch number is part of the file path, so a repeated batch replaces itself;
+    the tables that a batch needs go with it.
     """
     spark = urls.sparkSession
     path = shared_path(spark, name)
 
     def handle(batch: DataFrame, number: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with scratch(spark):
+            score(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     run_batches(urls, name, handle)
     return spark.read.parquet(path).drop("batch")
