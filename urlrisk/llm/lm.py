@@ -102,11 +102,11 @@ def _grid(group: list[tuple[int, np.ndarray]], begin: int, end: int) -> tuple[np
     return grid, alive
 
 
-def _forward(model: Hmm, group, begin: int, end: int, state: np.ndarray, scales: np.ndarray, keep: bool):
-    """Scaled forward recursion over places begin..end; adds to the log scales of the texts."""
+def _forward(model: Hmm, group, begin: int, end: int, state: np.ndarray, scales: np.ndarray | None, keep: bool):
+    """Scaled forward recursion over places begin..end; adds to the log scales of the texts, where they are asked for."""
     grid, alive = _grid(group, begin, end)
-    kept = np.empty((end - begin, len(group), model.step.shape[0])) if keep else None
-    norms = np.ones((end - begin, len(group)))
+    kept = np.empty((end - begin, len(group), model.step.shape[0]), model.emit.dtype) if keep else None
+    norms = np.ones((end - begin, len(group)), model.emit.dtype)
     for t in range(end - begin):
         many = alive[t]
         emitted = model.emit[grid[t, :many]]
@@ -116,7 +116,8 @@ def _forward(model: Hmm, group, begin: int, end: int, state: np.ndarray, scales:
         norms[t, :many] = norm
         if keep:
             kept[t, :many] = state
-    scales += np.log10(norms).sum(0)
+    if scales is not None:
+        scales += np.log10(norms).sum(0)
     return grid, alive, kept, norms, state
 
 
@@ -139,30 +140,33 @@ def likelihoods(model: Hmm, texts: Iterator[np.ndarray]) -> list[float]:
 
 
 class Expected:
-    """Expected counts of first states, of steps between states and of classes by state."""
+    """Expected counts of first states, of steps between states and of classes by state.
 
-    def __init__(self, model: Hmm):
+    Recursions run in numbers of ``kind``, the sums in double precision.
+    """
+
+    def __init__(self, model: Hmm, kind: type = np.float64):
         states = len(model.first)
-        self.model, self.first, self.step = model, np.zeros(states), np.zeros((states, states))
-        self.emit = np.zeros_like(model.emit)
+        self.model = Hmm(*(x.astype(kind) for x in (model.first, model.step, model.emit)))
+        self.first, self.step, self.emit = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
 
     def add(self, group) -> None:
         """Forward and backward over one group; of a very long text only one stretch is held at a time."""
         model, spans = self.model, _spans(group)
-        scales, state, before = np.zeros(len(group)), None, []
+        state, before = None, []
         for begin, end in spans[:-1]:
             before.append(state)
-            state = _forward(model, group, begin, end, state, scales, False)[4]
+            state = _forward(model, group, begin, end, state, None, False)[4]
         before.append(state)
         states = len(model.first)
-        back = np.ones((0, states))  # the backward message of the texts that go on, scaled
+        back = np.ones((0, states), model.emit.dtype)  # the backward message of the texts that go on, scaled
         for (begin, end), entry in zip(reversed(spans), reversed(before), strict=True):
-            grid, alive, kept, norms, _ = _forward(model, group, begin, end, entry, scales, True)
+            grid, alive, kept, norms, _ = _forward(model, group, begin, end, entry, None, True)
             shares = np.empty_like(kept)
             for t in range(end - begin - 1, -1, -1):
                 many = alive[t]
                 if len(back) < many:  # texts that end here
-                    back = np.concatenate([back, np.ones((many - len(back), states))])
+                    back = np.concatenate([back, np.ones((many - len(back), states), back.dtype)])
                 shares[t, :many] = kept[t, :many] * back
                 carried = back * model.emit[grid[t, :many]] / norms[t, :many, None]
                 if begin + t:
@@ -183,20 +187,21 @@ def _next(model: Hmm, first: np.ndarray, step: np.ndarray, emit: np.ndarray) ->
     return Hmm(first / first.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def train(docs: DataFrame, counts: np.ndarray, text: str = "text", rounds: int = ROUNDS, states: int = STATES) -> Hmm:
-    """Rounds of Baum-Welch over all texts.
+def train(encoded: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, states: int = STATES) -> Hmm:
+    """Rounds of Baum-Welch over the ``classes`` of all texts, as ``read_once`` gives them.
 
     A partition gives its expected counts as rows by class; Spark adds them up,
-    and what reaches the driver has the size of the model.
+    and what reaches the driver has the size of the model.  Expected counts stem from
+    single precision, which changes them in the seventh digit; scores are exact for the model.
     """
-    spark = docs.sparkSession
+    spark = encoded.sparkSession
     model = initial(counts, states)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def part(batches, shared=shared):
-            expected = Expected(shared.value)
-            for group in _batches(classes_of(v.as_py()) for batch in batches for v in batch.column(0)):
+            expected = Expected(shared.value, np.float32)
+            for group in _batches(np.frombuffer(v.as_py(), "<u2") for batch in batches for v in batch.column(0)):
                 expected.add(group)
             rows = np.concatenate([expected.first[None], expected.step, expected.emit])
             used = np.flatnonzero(rows.any(1))
@@ -205,7 +210,7 @@ def train(docs: DataFrame, counts: np.ndarray, text: str = "text", rounds: int =
                 ["row", *(f"s{k}" for k in range(states))])
 
         columns = ", ".join(f"s{k} double" for k in range(states))
-        sums = (docs.select(text).mapInArrow(part, f"row int, {columns}").groupBy("row")
+        sums = (encoded.select("classes").mapInArrow(part, f"row int, {columns}").groupBy("row")
                 .agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(states))).toArrow())
         rows = np.zeros((1 + states + len(counts), states))
         rows[sums.column("row").to_numpy()] = np.stack([sums.column(f"s{k}").to_numpy() for k in range(states)], 1)
@@ -214,27 +219,38 @@ def train(docs: DataFrame, counts: np.ndarray, text: str = "text", rounds: int =
     return model
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): counts of all words of the texts, added up in the tasks before the shuffle."""
+def read_once(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One pass over the texts: rows (word, n) of counts added up in the task, and a row with ``classes`` per text.
+
+    Classes are 16-bit numbers, the end of the text last; rows of the other kind hold null.
+    """
 
     def part(batches):
         counts: Counter = Counter()
 
         def flush():
             batch = pa.RecordBatch.from_arrays(
-                [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+                [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64()), pa.nulls(len(counts), pa.binary())],
+                ["word", "n", "classes"])
             counts.clear()
             return batch
 
         for batch in batches:
+            encoded = []
             for value in batch.column(0):
+                parts = [np.array([END], "<u2")]
                 for words in word_lists(value.as_py()):
                     counts.update(words)
+                    parts.insert(-1, np.fromiter(map(_CLASS.__getitem__, words), "<u2", len(words)))
                     if len(counts) > _FLUSH:
                         yield flush()
+                encoded.append(np.concatenate(parts).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(encoded), pa.binary()), pa.nulls(len(encoded), pa.int64()), pa.array(encoded, pa.binary())],
+                ["word", "n", "classes"])
         yield flush()
 
-    return docs.select(text).mapInArrow(part, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(part, "word binary, n bigint, classes binary")
 
 
 def _class_column():
@@ -253,15 +269,17 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     spark = docs.sparkSession
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), is_held_out(key).alias("held_out"))
     learning = named.where("NOT held_out").select("text")
-    words = materialize(vocabulary(learning), "vocabulary")
+    once = materialize(read_once(learning), "read-once")
+    encoded = once.where("classes IS NOT NULL")
+    words = materialize(once.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
     by_class = words.groupBy(_class_column().alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
-    texts = learning.count()
+    texts = encoded.count()
     class_counts, class_words = np.zeros(END + 1), np.zeros(END + 1)
     at = by_class.column("class").to_numpy()
     class_counts[at], class_words[at] = by_class.column("n").to_numpy(), by_class.column("v").to_numpy()
     class_counts[END], class_words[END] = texts, min(texts, 1)
     total, distinct = int(class_counts.sum()), int(class_words.sum())
-    model = train(learning, class_counts, "text", rounds)
+    model = train(encoded, class_counts, rounds)
 
     head = words.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD_WORDS).toArrow()
     known = dict(zip(head.column("word").to_pylist(), head.column("n").to_pylist(), strict=True))
