@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import connect, oracle_rows, spark_rows
 from urlrisk.llm import ann, grades, lm, registered, url_lists
+from urlrisk.llm.common import word_lists
 
 
 def tokens(text):
@@ -205,3 +206,30 @@ def test_lists_are_asked_over_the_whole_time(spark):
     assert spark_rows(got) == want
     assert got.count() == spark.read.parquet(f"{folder}/events.parquet").count()
     assert got.where("n_hits > 0").count() > 0
+
+
+def test_texts_are_read_once(spark, odd, monkeypatch):
+    """The one pass over the texts gives the classes of every text and the counts of all words."""
+    monkeypatch.setattr(lm, "_FLUSH", 3)
+    texts = [r.text for r in odd.select("text").collect()]
+    rows = lm.read_once(odd).collect()
+    encoded = sorted(r.classes for r in rows if r.classes is not None)
+    assert encoded == sorted(lm.classes_of(t).astype("<u2").tobytes() for t in texts)
+    counts = Counter()
+    for r in rows:
+        if r.classes is None:
+            counts[bytes(r.word)] += r.n
+    assert counts == Counter(w for t in texts for words in word_lists(t) for w in words)
+
+
+def test_single_precision_changes_counts_little():
+    rng = np.random.default_rng(3)
+    model = lm.initial(rng.integers(1, 50, 30).astype(float), 4)
+    texts = [rng.integers(0, 30, n).astype(np.int32) for n in (1, 5, 200, 3000)]
+    both = [lm.Expected(model, kind) for kind in (np.float64, np.float32)]
+    for expected in both:
+        for group in lm._batches(iter(texts)):
+            expected.add(group)
+    for a, b in zip(*[(e.first, e.step, e.emit) for e in both], strict=True):
+        assert np.abs(a - b).max() < 1e-4 * max(1.0, np.abs(a).max())
+    assert both[0].emit.sum() == pytest.approx(sum(map(len, texts)))

@@ -294,14 +294,16 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
 
             def read(value, tokens=tokens, sure=sure, logs=logs, of_class=of_class, tails=tails):
                 many, found, log, rest = 1, int(texts > 0), float(np.log10(texts + SMOOTHING)), Counter()
+                parts = []
                 for words in word_lists(value):
                     many += len(words)
+                    parts.append(np.fromiter(map(_CLASS.__getitem__, words), np.int32, len(words)))
                     counts = np.array([known.get(w, 0) for w in words], float)
                     inside = counts > 0
                     found += int(inside.sum())
                     log += float(np.log10(counts[inside] + SMOOTHING).sum())
                     rest.update([w for w, i in zip(words, inside.tolist(), strict=True) if not i])
-                classes = classes_of(value)
+                classes = np.concatenate([*parts, [END]]).astype(np.int32)
                 tokens.append(many)
                 sure.append(found)
                 logs.append(log)
