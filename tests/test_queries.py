@@ -15,6 +15,7 @@ NAMES = [
     "typo_ratio_match", "brand_like_token", "reputation_cascade", "score_urls", "override_chain", "explanations",
     "evidence_statements", "action_guidance", "append_detections", "export_cases", "global_statistics",
     "top_high_risk_hosts", "recent_history", "stratified_split", "augment_cases", "build_brand_terms", "stream_top_hosts",
+    "load_domain_registry", "load_reputation_tables", "stream_dedupe", "hashed_ngrams",
 ]
 
 
