@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from urlrisk.operators import detections as D
 from urlrisk.operators import evaluation as E
 from urlrisk.session import materialize
+from urlrisk.sources.upsert import newest
 from urlrisk.sources import detections as SD
 
 NOW = dt.datetime(2024, 2, 1)
@@ -182,3 +183,10 @@ def test_auc_and_metrics_equal_plain_counting(spark):
     assert got.accuracy == pytest.approx(sum(d[0] == d[1] for d in data) / 500, abs=5e-5)
     with pytest.raises(ValueError):
         E.require_quality(E.quality_gate(E.classification_metrics(rows), spark.sql("SELECT 1.0 AS pass_rate")))
+
+
+def test_a_merge_sorts_no_whole_file(spark, tmp_path):
+    """Records are dealt by key before any of them is sorted, so a task's memory does not grow with a file."""
+    spark.range(100).selectExpr("cast(id as string) AS id", "id AS v", "id % 3 AS x").write.parquet(f"{tmp_path}/log")
+    plan = newest(spark.read.parquet(f"{tmp_path}/log"), "id", F.col("v"))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in plan and "Exchange" in plan and "Aggregate" not in plan[plan.index("Exchange"):]
