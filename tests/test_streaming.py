@@ -44,6 +44,26 @@ def test_dedupe_keeps_the_last_record(spark, tmp_path):
     assert got == {f"d{i}": (f"new{i}", 100 - i) if i % 2 == 0 else (f"u{i}", i) for i in range(40)}
 
 
+def test_dedupe_goes_on_after_a_restart(spark, tmp_path):
+    """Deliveries of several files each, one run per delivery; nothing is emitted before the watermark has passed."""
+    start, source, folder = dt.datetime(2024, 1, 1), str(tmp_path / "in.parquet"), f"file://{tmp_path}/deduped"
+    ddl = DDL + ", version int"
+    first = spark.createDataFrame([(f"d{i}", f"u{i}", i, False, start + dt.timedelta(hours=i), 1) for i in range(40)], ddl)
+    # A correction may move the time of its record, and of equal versions the same one stays in any order.
+    later = spark.createDataFrame([(f"d{i}", f"new{i}", 90, None, start + dt.timedelta(hours=i + 30), 2) for i in range(0, 40, 2)], ddl)
+    same = later.withColumn("url", F.concat("url", F.lit("x")))
+    end = spark.createDataFrame([("end", "x", 0, False, dt.datetime(2024, 5, 1), 1)], ddl)
+    counts = []
+    for rows in (first.repartition(3), later.repartition(2), same, end):
+        rows.write.mode("append").parquet(source)
+        got = ST.stream_dedupe(ST.read_stream(spark, source, rows.schema), "version", "10 days", folder)
+        counts.append(got.count())
+    assert counts[:3] == [0, 0, 0]
+    tied = later.union(same).withColumn("h", F.xxhash64(F.to_json(F.struct(*later.columns))))
+    want = {r.id: r.url for r in first.collect()} | {r.id: r.url for r in tied.orderBy("h").collect()}
+    assert {r.id: r.url for r in got.collect()} == want and counts[3] == 40
+
+
 def test_closed_windows_equal_batch_counts(spark, log):
     marker = [("end", "x", 0, False, dt.datetime(2024, 3, 1))]
     spark.createDataFrame(marker, DDL).write.mode("append").parquet(log)

@@ -749,11 +749,12 @@ def stream_score_urls(spark, sf):
     return ST.stream_score_urls(_page_stream(spark, sf), score)
 
 
-def _delivered(spark, path, *deliveries):
-    """A stream of several deliveries, a batch each, in the order given."""
+def _delivered(spark, *deliveries):
+    """A stream of what came, once after every delivery; its operator goes on where it ended, so each is a batch of its own."""
+    path = shared_path(spark, "stream-log")
     for rows in deliveries:
         rows.coalesce(1).write.mode("append").parquet(path)
-    return ST.read_stream(spark, path, deliveries[0].schema, 1)
+        yield ST.read_stream(spark, path, rows.schema)
 
 
 def stream_dedupe(spark, sf):
@@ -763,8 +764,10 @@ def stream_dedupe(spark, sf):
     end = log.agg(F.max("timestamp").alias("t")).select(
         F.lit("end").alias("id"), F.lit("").alias("url"), F.lit(0).alias("riskScore"), F.lit("").alias("event_type"),
         (c("t") + F.expr("interval 90 days")).alias("timestamp"), F.lit(1).alias("version"))
-    stream = _delivered(spark, shared_path(spark, "stream-log"), log, later, end, end.withColumn("id", F.lit("end2")))
-    return ST.stream_dedupe(stream, "version", "30 days").filter("NOT startswith(id, 'end')").select("id", "riskScore")
+    folder = shared_path(spark, "deduped")
+    for stream in _delivered(spark, log, later, end):
+        rows = ST.stream_dedupe(stream, "version", "30 days", folder)
+    return rows.filter("id <> 'end'").select("id", "riskScore")
 
 
 def stream_band_counts(spark, sf):
@@ -781,7 +784,9 @@ def stream_band_counts(spark, sf):
 def stream_top_hosts(spark, sf):
     log = detections(spark, sf).select("event_id", "url", "riskScore", "critical_phishing", "timestamp")
     parts = [log.filter(c("event_id") % 3 == i).drop("event_id") for i in range(3)]
-    rows = ST.stream_top_hosts(_delivered(spark, shared_path(spark, "stream-log"), *parts))
+    folder = shared_path(spark, "hosts")
+    for stream in _delivered(spark, *parts):
+        rows = ST.stream_top_hosts(stream, folder=folder)
     return _text_time(rows, "latestTimestamp")
 
 
