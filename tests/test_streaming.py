@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urlrisk.operators import detections as D
+from urlrisk.plans import registered
 from urlrisk.plans.score import score_urls
 from urlrisk.session import children, shared_folder
 from urlrisk.streaming import jobs as ST
@@ -97,6 +98,14 @@ def test_top_hosts_go_on_after_a_restart(spark, log, tmp_path):
     assert again == got
 
 
+def test_a_delivery_is_not_written_by_one_task(spark, monkeypatch, tmp_path):
+    """Every delivery keeps its partitions, and the stream of it holds what came before."""
+    monkeypatch.setattr(registered, "shared_path", lambda spark, name: f"{tmp_path}/{name}.parquet")
+    files = lambda: len(list(tmp_path.glob("*.parquet/part-*")))
+    written = [files() for _ in registered._delivered(spark, *(spark.range(9).repartition(3) for _ in range(2)))]
+    assert written == [3, 6]
+
+
 def test_scores_equal_batch(spark, registry, tmp_path):
     path = str(tmp_path / "urls.parquet")
     spark.createDataFrame([("https://google.com",), ("https://goog1e.com",), ("http://a.b/login",)], "url string").write.parquet(path)

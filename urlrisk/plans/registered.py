@@ -753,7 +753,7 @@ def _delivered(spark, *deliveries):
     """A stream of what came, once after every delivery; its operator goes on where it ended, so each is a batch of its own."""
     path = shared_path(spark, "stream-log")
     for rows in deliveries:
-        rows.coalesce(1).write.mode("append").parquet(path)
+        rows.write.mode("append").parquet(path)
         yield ST.read_stream(spark, path, rows.schema)
 
 
