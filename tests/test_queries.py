@@ -6,6 +6,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.compare import connect, oracle_rows, spark_rows
+from urlrisk.plans import registered
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
@@ -29,6 +30,21 @@ def test_query_equals_its_sql(spark, con, name):
     assert spark_rows(queries()[name](spark, SF)) == oracle_rows(con, oracle_sql()[name])
 
 
+def test_hashed_models_ask_for_no_wide_features(spark, monkeypatch):
+    """The hashed models read the URL alone, and learn from the rows that the wide models learn from."""
+    names = ["url_id", "url", "label", "sample_weight"]
+    wide = registered.training_rows(spark, SF).select(names).collect()
+    monkeypatch.setattr(registered, "features", None)
+    assert sorted(registered.training_urls(spark, SF).collect()) == sorted(wide)
+    fitted = []
+    monkeypatch.setattr(registered.TR, "train_hashed_logistic", lambda rows: fitted.append(rows.count()))
+    monkeypatch.setattr(registered.TR, "batch_predict", lambda model, rows: rows)
+    monkeypatch.setattr(registered, "_measured", lambda rows, **more: rows)
+    with pytest.raises(AttributeError, match="settings"):
+        registered.train_hashed_logistic(spark, SF)
+    assert fitted == [len(wide)]
+
+
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 

@@ -87,11 +87,19 @@ def features(spark, sf):
     return FT.features_22(adversarial(spark, sf), SR.core_registry(spark))
 
 
+def _marked(rows):
+    label = F.when(c("kind").isin(0, 1, 12, 14, 15, 16, 18, 19), 0).otherwise(1)
+    return rows.withColumn("label", label).withColumn("sample_weight", F.lit(1.0))
+
+
 def training_rows(spark, sf):
     """Labelled adversarial URLs with the 22 features."""
-    label = F.when(c("kind").isin(0, 1, 12, 14, 15, 16, 18, 19), 0).otherwise(1)
-    rows = features(spark, sf).withColumn("label", label).withColumn("sample_weight", F.lit(1.0))
-    return materialize(E.class_weights(rows), "training")
+    return materialize(E.class_weights(_marked(features(spark, sf))), "training")
+
+
+def training_urls(spark, sf):
+    """Labelled adversarial URLs alone, for models that read nothing but the URL."""
+    return materialize(_marked(prepared(spark, sf)).select("url_id", "url", "label", "sample_weight"), "training-urls")
 
 
 # --- sources and sinks ------------------------------------------------------
@@ -693,7 +701,7 @@ def train_random_forest(spark, sf):
 
 
 def train_hashed_logistic(spark, sf):
-    rows = FT.hashed_ngrams(training_rows(spark, sf).select("url_id", "url", "label", "sample_weight"))
+    rows = FT.hashed_ngrams(training_urls(spark, sf))
     model = TR.train_hashed_logistic(rows)
     return _measured(TR.batch_predict(model, rows), inputs=model.settings.size)
 
@@ -792,11 +800,10 @@ def stream_top_hosts(spark, sf):
 
 def stream_mini_batch_fit(spark, sf):
     """Two batches of a stream, one round of learning each, at the full number of buckets."""
-    urls = training_rows(spark, sf).select("url_id", "url", "label", "sample_weight")
-    path = shared_path(spark, "stream-rows")
-    for part in (0, 1):
-        urls.filter(c("url_id") % 2 == part).coalesce(1).write.mode("append").parquet(path)
-    model = ST.stream_mini_batch_fit(ST.read_stream(spark, path, urls.schema, 1), FT.hashed_ngrams, TR.hashed_settings())
+    urls = training_urls(spark, sf)
+    folder = shared_path(spark, "model")
+    for stream in _delivered(spark, *(urls.filter(c("url_id") % 2 == part) for part in (0, 1))):
+        model = ST.stream_mini_batch_fit(stream, FT.hashed_ngrams, TR.hashed_settings(), folder)
     return _measured(TR.batch_predict(model, FT.hashed_ngrams(urls)), inputs=model.settings.size, steps=model.steps)
 
 
