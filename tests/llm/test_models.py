@@ -233,3 +233,50 @@ def test_single_precision_changes_counts_little():
     for a, b in zip(*[(e.first, e.step, e.emit) for e in both], strict=True):
         assert np.abs(a - b).max() < 1e-4 * max(1.0, np.abs(a).max())
     assert both[0].emit.sum() == pytest.approx(sum(map(len, texts)))
+
+
+def test_scoring_scales_a_place_in_eight(monkeypatch):
+    """Chances far below one at each place, texts that end between two scaled places, and the plain recursion at each place."""
+    import numpy as np
+
+    pick = np.random.default_rng(4)
+    emit = pick.gamma(0.5, size=(50, lm.STATES)) * 1e-11 + 1e-14
+    step = pick.random((lm.STATES, lm.STATES))
+    model = lm.Hmm(np.full(lm.STATES, 1 / lm.STATES), step / step.sum(1, keepdims=True), emit)
+    texts = [pick.integers(0, 50, n) for n in (1, 7, 8, 9, 15, 16, 17, 40, 300)]
+
+    def plain(text):
+        state, log = model.first * model.emit[text[0]], 0.0
+        for word in [*text[1:], None]:
+            log, state = log + np.log10(state.sum()), state / state.sum()
+            if word is not None:
+                state = (state @ model.step) * model.emit[word]
+        return log
+
+    monkeypatch.setattr(lm, "_CELLS", 64)  # several stretches of places
+    got = lm.likelihoods(model, iter(texts))
+    assert np.allclose(got, [plain(t) for t in texts], rtol=1e-12)
+    monkeypatch.undo()
+    # The sums of states that scale them are taken at one place in eight, and where a text ends.
+    group = [(0, texts[-1])]
+    sums = lm._forward(model, group, 0, 300, None, np.zeros(1), False)[3]
+    assert (sums != 1).sum() == 300 // lm._SCALED + 1
+
+
+def test_words_are_numbered_once(spark, monkeypatch):
+    """Counts and classes of a reading pass that starts its numbers again, and adds counts up, in the middle of texts."""
+    import numpy as np
+
+    monkeypatch.setattr(lm, "_WAITING", 5)
+    rows = [("a b a c " * 5,), ("",), (None,), ("d a " * 9 + "B",)]
+    docs = spark.createDataFrame(rows, "text string").coalesce(1)
+    for flush in (lm._FLUSH, 2):
+        monkeypatch.setattr(lm, "_FLUSH", flush)
+        out = lm.read_once(docs).collect()
+        counts = {}
+        for r in out:
+            if r.word is not None:
+                counts[bytes(r.word)] = counts.get(bytes(r.word), 0) + r.n
+        assert counts == {b"a": 19, b"b": 6, b"c": 5, b"d": 9}
+        for r, (text,) in zip([r for r in out if r.classes is not None], rows, strict=True):
+            assert np.frombuffer(bytes(r.classes), "<u2").tolist() == lm.classes_of(text).tolist()

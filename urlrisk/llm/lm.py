@@ -14,6 +14,7 @@ A token is a word or the end of a text, one per text.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,10 +35,34 @@ END = 1 << CLASS_BITS
 #: Cells of (text, place) that are held at once.
 _CELLS = 400_000
 _FLUSH = 400_000
+#: Tokens whose numbers wait to be counted.
+_WAITING = 1 << 20
+#: Places after which the scoring recursion is scaled; no chance of a class is small enough to leave double precision before.
+_SCALED = 8
 
 _CLASS = Memo(lambda word: zlib.crc32(word) >> (32 - CLASS_BITS))
 
 
+class _Numbers(dict):
+    """Numbers of words in the order they are met, and the class of each."""
+
+    def __init__(self):
+        super().__init__()
+        self.classes = array("H")
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.classes)
+        self.classes.append(zlib.crc32(word) >> (32 - CLASS_BITS))
+        return number
+
+
+class _Places(dict):
+    """Places of the most frequent words in a table; any other word has that of its class behind them."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self) + _CLASS[word]
+
+
 def is_held_out(key: str = "doc_id"):
     """Whether crc32 of the key as text leaves no remainder by ten; a null key is held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 10 == 0, F.lit(True))
@@ -109,13 +134,21 @@ def _forward(model: Hmm, group, begin: int, end: int, state: np.ndarray, scales:
     norms = np.ones((end - begin, len(group)), model.emit.dtype)
     for t in range(end - begin):
         many = alive[t]
-        emitted = model.emit[grid[t, :many]]
-        state = (state[:many] @ model.step if begin + t else np.broadcast_to(model.first, emitted.shape)) * emitted
-        norm = state.sum(1)
-        state = state / norm[:, None]
-        norms[t, :many] = norm
-        if keep:
-            kept[t, :many] = state
+        emitted = model.emit.take(grid[t, :many], 0)
+        if begin + t:
+            emitted *= state[:many] @ model.step
+        else:
+            emitted *= model.first
+        state = emitted
+        # A place that is not scaled leaves it to the next one that is, or to the last one of a text.
+        if scales is None or (begin + t) % _SCALED == _SCALED - 1 or t == end - begin - 1:
+            norm = state.sum(1)
+            state /= norm[:, None]
+            norms[t, :many] = norm
+            if keep:
+                kept[t, :many] = state
+        elif alive[t + 1] < many:
+            norms[t, alive[t + 1]:many] = state[alive[t + 1]:].sum(1)
     if scales is not None:
         scales += np.log10(norms).sum(0)
     return grid, alive, kept, norms, state
@@ -226,25 +259,34 @@ def read_once(docs: DataFrame, text: str = "text") -> DataFrame:
     """
 
     def part(batches):
-        counts: Counter = Counter()
+        numbers, counts, waiting, tokens = _Numbers(), np.zeros(0, np.int64), [], 0
+
+        def counted():
+            sums = np.bincount(np.concatenate([np.empty(0, np.int32), *waiting]), minlength=len(numbers)).astype(np.int64)
+            sums[:len(counts)] += counts
+            return sums
 
         def flush():
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64()), pa.nulls(len(counts), pa.binary())],
+            return pa.RecordBatch.from_arrays(
+                [pa.array(numbers.keys(), pa.binary()), pa.array(counted(), pa.int64()), pa.nulls(len(numbers), pa.binary())],
                 ["word", "n", "classes"])
-            counts.clear()
-            return batch
 
         for batch in batches:
             encoded = []
             for value in batch.column(0):
-                parts = [np.array([END], "<u2")]
+                parts = []
                 for words in word_lists(value.as_py()):
-                    counts.update(words)
-                    parts.insert(-1, np.fromiter(map(_CLASS.__getitem__, words), "<u2", len(words)))
-                    if len(counts) > _FLUSH:
+                    own = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+                    if words:
+                        parts.append(np.frombuffer(numbers.classes, np.uint16)[own].astype("<u2", copy=False))
+                    waiting.append(own)
+                    tokens += len(own)
+                    if len(numbers) > _FLUSH:
                         yield flush()
-                encoded.append(np.concatenate(parts).tobytes())
+                        numbers, counts, waiting, tokens = _Numbers(), np.zeros(0, np.int64), [], 0
+                    elif tokens > _WAITING:
+                        counts, waiting, tokens = counted(), [], 0
+                encoded.append(np.concatenate([*parts, np.array([END], "<u2")]).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(len(encoded), pa.binary()), pa.nulls(len(encoded), pa.int64()), pa.array(encoded, pa.binary())],
                 ["word", "n", "classes"])
@@ -282,13 +324,16 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     model = train(encoded, class_counts, rounds)
 
     head = words.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD_WORDS).toArrow()
-    known = dict(zip(head.column("word").to_pylist(), head.column("n").to_pylist(), strict=True))
+    places = _Places(zip(head.column("word").to_pylist(), range(head.num_rows), strict=True))
     # log10 of what a class divides by; the share of an unknown word takes one more place, and the end is all of its class.
     divide = np.log10(class_counts + SMOOTHING * (class_words + 1))
-    shared = spark.sparkContext.broadcast((model, known, divide, texts))
+    # By place in the head, and behind it by class: the class, and what a word of the head adds to the score.
+    class_at = np.concatenate([np.array([zlib.crc32(w) >> (32 - CLASS_BITS) for w in places], np.int32), np.arange(END, dtype=np.int32)])
+    log_at = np.log10(head.column("n").to_numpy() + SMOOTHING)
+    shared = spark.sparkContext.broadcast((model, places, class_at, log_at, divide, texts))
 
     def part(batches):
-        model, known, divide, texts = shared.value
+        model, places, class_at, log_at, divide, texts = shared.value
         for batch in batches:
             tokens, sure, logs, of_class, tails = [], [], [], [], []
 
@@ -297,12 +342,12 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
                 parts = []
                 for words in word_lists(value):
                     many += len(words)
-                    parts.append(np.fromiter(map(_CLASS.__getitem__, words), np.int32, len(words)))
-                    counts = np.array([known.get(w, 0) for w in words], float)
-                    inside = counts > 0
+                    own = np.fromiter(map(places.__getitem__, words), np.int32, len(words))
+                    parts.append(class_at[own])
+                    inside = own < len(places)
                     found += int(inside.sum())
-                    log += float(np.log10(counts[inside] + SMOOTHING).sum())
-                    rest.update([w for w, i in zip(words, inside.tolist(), strict=True) if not i])
+                    log += float(log_at[own[inside]].sum())
+                    rest.update([words[i] for i in np.flatnonzero(~inside).tolist()])
                 classes = np.concatenate([*parts, [END]]).astype(np.int32)
                 tokens.append(many)
                 sure.append(found)
