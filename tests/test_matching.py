@@ -6,7 +6,7 @@ import pytest
 
 from tests.brute import distance, ratio, root, skeleton
 from urlrisk import constants as C
-from urlrisk.operators.matching import NEAR_RATIO, brand_similarity, brands_inside, host_profile, lure_matches
+from urlrisk.operators.matching import NEAR_RATIO, TASK_TEXTS, brand_similarity, brands_inside, dealt, host_profile, lure_matches
 from urlrisk.operators.nearest_terms import TermBlock, nearest_terms, term_index
 
 LETTERS = "abcdeilmnoprstuw01-"
@@ -251,3 +251,13 @@ def test_brands_inside_equal_all_brands(spark, registry):
            for r in brands_inside(spark.createDataFrame([(t,) for t in [*texts, None, "", "zz"]], "text string"), registry).collect()}
     for t in texts:
         assert got.get(t, (0, 0)) == (sum(b in t for b, _ in brands), sum(k in skeleton(t) for _, k in brands))
+
+
+def test_texts_are_dealt_to_tasks_by_their_number(spark, registry):
+    """Short texts of which many keys are made stay in several tasks, whatever few bytes they have."""
+    texts = spark.range(3 * TASK_TEXTS).selectExpr("concat('go/paypal-', id) AS lure_text")
+    assert dealt(texts, "lure_text").rdd.getNumPartitions() == 3
+    assert dealt(texts.limit(0), "lure_text").rdd.getNumPartitions() == 1
+    for found in (lure_matches(texts, registry), brands_inside(texts, registry, "lure_text")):
+        assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 3 * TASK_TEXTS

@@ -17,10 +17,13 @@ from urlrisk.functions import similarity as S
 from urlrisk.functions import url as U
 from urlrisk.functions.text import has_marker, skeleton
 from urlrisk.operators.nearest_terms import nearest_terms
+from urlrisk.session import materialize
 from urlrisk.sources.registry import Registry
 
 NEAR_RATIO = 0.90
 PATH_RATIO = 0.88
+#: Texts of a task that makes keys of them.
+TASK_TEXTS = 2048
 
 
 def is_shortener(domain: Column) -> Column:
@@ -184,9 +187,19 @@ def host_profile(hosts: DataFrame, registry: Registry, kinds: tuple[str, ...] =
     )
 
 
+def dealt(texts: DataFrame, column: str, most: int = TASK_TEXTS) -> DataFrame:
+    """The rows, written and dealt by hash to tasks of about ``most`` rows each.
+
+    By its bytes a table of short texts would be put into one task, however many keys are made of each text.
+    """
+    held = materialize(texts, "texts")
+    return held.repartition(max(1, -(-held.count() // most)), column)
+
+
 def lure_matches(texts: DataFrame, registry: Registry, column: str = "lure_text") -> DataFrame:
     """First brand-like token of each distinct text (path and query of a short link)."""
     c = F.col
+    texts = dealt(texts.select(column), column)
     tokens = F.filter(F.split(skeleton(c(column)), "[^a-z0-9]+"), lambda t: F.length(t) >= 4)
 
     def keys(kind, made):
@@ -249,7 +262,7 @@ def brands_inside(texts: DataFrame, registry: Registry, column: str = "text") ->
     c = F.col
     keys = registry.brand_keys
     sizes = [r[0] for r in keys.select(F.length("key")).distinct().collect()]    # 1 to BRAND_KEY
-    text = texts.select(c(column).alias("text")).where("text IS NOT NULL").distinct()
+    text = dealt(texts.select(c(column).alias("text")).where("text IS NOT NULL").distinct(), "text")
     both = text.select("text", F.inline(F.array(
         F.struct(F.lit("literal").alias("kind"), c("text").alias("inside")),
         F.struct(F.lit("skeleton").alias("kind"), skeleton(c("text")).alias("inside")))))

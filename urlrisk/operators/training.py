@@ -130,7 +130,9 @@ def train_tree_ensemble(rows: DataFrame, names: list[str], trees: int = 180, dep
 
 
 def train_random_forest(rows: DataFrame, names: list[str], trees: int = 300, depth: int = 20):
-    return _forest(numTrees=trees, maxDepth=depth).fit(assembled(rows, names))
+    """A forest over rows that are dealt to all tasks: each row works for every tree, and its bytes would fill few tasks."""
+    dealt = assembled(rows, names).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    return _forest(numTrees=trees, maxDepth=depth).fit(dealt)
 
 
 #: Buckets of the hashed n-grams and the lexical features behind them.
