@@ -181,6 +181,43 @@ def test_changed_passages(spark):
     assert all(s >= 0.95 for (size, changes, _), s in share.items() if 100 * changes <= 15 * size)
 
 
+def frequent_and_changed():
+    """Documents with frequent lines in varying surroundings; in some of them two lines follow each other, with changed words."""
+    pick = random.Random(21)
+    fresh = lambda n: [f"u{pick.randrange(10**9)}" for _ in range(n)]
+    lines, rows, joined = [fresh(30) for _ in range(6)], [], {}
+    for key in range(600):
+        if key % 20 == 10:
+            first = pick.randrange(6)
+            second = (first + 1 + key // 20 % 2) % 6
+            passage = lines[first] + lines[second]
+            for at in range(10, 60, 20):
+                passage[at + pick.randrange(-3, 4)] = fresh(1)[0]
+            rows.append((key, " ".join(fresh(20) + passage + fresh(20))))
+            joined.setdefault((first, second), []).append(key)
+        else:
+            parts = pick.sample(lines, 2)
+            rows.append((key, " ".join(sum((fresh(pick.randint(30, 50)) + p for p in parts), []) + fresh(5))))
+    return rows, {key for keys in joined.values() for key in keys[1:]}
+
+
+def test_changed_passages_of_frequent_lines(spark):
+    """The only earlier document with both lines is neither the first holder of a seed nor the one before."""
+    rows, again = frequent_and_changed()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.id for r in passages.repeated_passages(docs).collect() if r.n_words >= 50}
+    assert len(again) > 10 and again <= found
+
+
+def test_copies_are_listed_once(spark):
+    """A group of copies gives one row for each copy, not one for each pair."""
+    pick = random.Random(4)
+    text = " ".join(f"u{pick.randrange(10**9)}" for _ in range(120))
+    docs = spark.createDataFrame([(k, text) for k in range(60)], "doc_id bigint, text string")
+    got = sorted((r.id, r.start_word, r.n_words, r.source_id) for r in passages.repeated_passages(docs).collect())
+    assert got == [(k, 0, 120, 0) for k in range(1, 60)]
+
+
 def test_long_matches_overlap_nothing_in_their_chain():
     at = [(0, 0, 20), (4, 4, 4), (12, 12, 50)]
     assert [(12, 12, 50)] in passages.chains(at, 50)

@@ -59,12 +59,9 @@ class Memo(dict):
         return value
 
 
-_WORD_HASH = Memo(xxhash.xxh64_intdigest)
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash for every word of the text, in order."""
-    parts = [np.fromiter(map(_WORD_HASH.__getitem__, words), np.uint64, len(words)) for words in word_lists(text)]
+    parts = [np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) for words in word_lists(text)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
