@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,8 @@ ALL = 16
 NEAR = (24, 48)
 #: Matches that are sent on at a time.
 SENT = 200_000
-#: Words that are hashed at a time.
+#: Rows of which the hashes are dealt at a time, and words that are hashed at a time.
+ROWS = 1000
 CHUNK = 200_000
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -136,6 +137,17 @@ def _parts(words: np.ndarray, of: np.ndarray, min_words: int) -> tuple[np.ndarra
     return begin[kept], after[kept], parts[chosen[begin[kept]]]
 
 
+def _by_some(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``map_arrow`` in steps of ROWS rows, which bounds what a task holds of hashes made from texts."""
+
+    def run(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS):
+                yield rows(batch.slice(begin, ROWS))
+
+    return df.mapInArrow(run, schema)
+
+
 _DEALT = "bucket int, hash array<bigint>, id array<bigint>, pos array<int>"
 
 
@@ -221,7 +233,7 @@ def seed_matches(table: DataFrame, min_words: int) -> DataFrame:
         none = pa.nulls(len(pairs), pa.int64())
         return pa.concat_tables([pairs.append_column("hash", none), _alone(ids[left], places[left], hashes[left])])
 
-    return map_arrow(table, rows, _DEALT).groupBy("bucket").applyInArrow(met, f"{_MET}, hash bigint")
+    return _by_some(table, rows, _DEALT).groupBy("bucket").applyInArrow(met, f"{_MET}, hash bigint")
 
 
 def _buckets(table: DataFrame) -> int:
@@ -255,7 +267,7 @@ def exact(table: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
         later = np.flatnonzero(first < own)
         return _met(ids, places, later, first[later])
 
-    return map_arrow(maybe.join(wanted, "id"), rows, _DEALT).groupBy("bucket").applyInArrow(met, _MET)
+    return _by_some(maybe.join(wanted, "id"), rows, _DEALT).groupBy("bucket").applyInArrow(met, _MET)
 
 
 def left_out(frequent: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
@@ -301,7 +313,7 @@ def left_out(frequent: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
             row = np.searchsorted(total, at, "right") - 1
             yield from _met(ids, places, later[row], first[later[row]] + at - total[row]).to_batches()
 
-    return map_arrow(held, rows, _DEALT).groupBy("bucket").applyInArrow(met, _MET)
+    return _by_some(held, rows, _DEALT).groupBy("bucket").applyInArrow(met, _MET)
 
 
 def matches(seeds: DataFrame, runs: DataFrame | None, min_words: int) -> DataFrame:
@@ -442,7 +454,7 @@ def chained(found: DataFrame, min_words: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                                           ["id", "source", "pos", "source_pos", "size", "exact"])
 
-    return map_arrow(found.select("id", "source", "at"), rows,
+    return _by_some(found.select("id", "source", "at"), rows,
                      "id bigint, source bigint, pos array<int>, source_pos array<int>, size array<int>, exact boolean")
 
 
@@ -457,9 +469,10 @@ def _equal(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         return [(i, i) for i in range(len(a))]
     rows = [[0] * (len(b) + 1)]
     for x in a:
-        last, row = rows[-1], [0]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        last, row, left = rows[-1], [0], 0
+        for y, before, above in zip(b, last, last[1:], strict=False):
+            left = before + 1 if x == y else above if above > left else left
+            row.append(left)
         rows.append(row)
     out, i, j = [], len(a), len(b)
     while i and j:
@@ -603,7 +616,7 @@ def _slices(table: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([flat.field(0), *(pa.array(c, pa.binary()) for c in out)], ["chain", "x", "y"])
 
     less = maybe if width == 4 else map_arrow(maybe, narrow, "id bigint, words binary")
-    pieces = map_arrow(less.join(asked, "id").select("id", "words", "asked"), rows, "chain bigint, x binary, y binary")
+    pieces = _by_some(less.join(asked, "id").select("id", "words", "asked"), rows, "chain bigint, x binary, y binary")
     return pieces.groupBy("chain").agg(F.max("x").alias("x"), F.max("y").alias("y"))
 
 
@@ -652,13 +665,10 @@ def _aligned(table: DataFrame, met: DataFrame, min_words: int, percent: int) ->
     least = -(-percent * min_words // 100)
 
     def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
         low, source_low = (batch.column(i).to_numpy() for i in (6, 8))
         inner = np.stack([batch.column(i).to_numpy() for i in (10, 11, 12, 13)], 1) - np.stack([low, low, source_low, source_low], 1)
         x, y = ([v or b"" for v in batch.column(i).to_pylist()] for i in (14, 15))
-        for i in range(0, len(x), 1000):
-            keep.append(may_align(x[i:i + 1000], y[i:i + 1000], inner[i:i + 1000]) >= least)
-        return batch.select(_WANTED).filter(pa.array(np.concatenate(keep)))
+        return batch.select(_WANTED).filter(pa.array(may_align(x, y, inner) >= least))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -679,8 +689,8 @@ def _aligned(table: DataFrame, met: DataFrame, min_words: int, percent: int) ->
     ends = [F.element_at("pos", 1), F.element_at("pos", -1) + F.element_at("size", -1),
             F.element_at("source_pos", 1), F.element_at("source_pos", -1) + F.element_at("size", -1)]
     both = wanted.join(_slices(table, wanted, 1), "chain").select(*_WANTED, *(e.alias(f"end{i}") for i, e in enumerate(ends)), "x", "y")
-    some = materialize(map_arrow(both, likely, wanted.schema.simpleString()[7:-1]), "likely")
-    aligned = map_arrow(some.join(_slices(table, some, 4), "chain").select(*_WANTED, "x", "y"), rows,
+    some = materialize(_by_some(both, likely, wanted.schema.simpleString()[7:-1]), "likely")
+    aligned = _by_some(some.join(_slices(table, some, 4), "chain").select(*_WANTED, "x", "y"), rows,
                         "id bigint, start_word bigint, n_words bigint, source_id bigint, source_start bigint, "
                         "source_words bigint, similarity double")
     first = [F.element_at(c, 1).cast("bigint") for c in ("pos", "size", "source_pos")]
