@@ -77,6 +77,32 @@ def test_components_of_near_duplicates(spark, odd):
                 assert row.n_shingles == len(set(shingle_list(texts[row.doc_id], size)))
 
 
+def large_family():
+    """Copies of one text with so many changes that only some are alike, copies of some of them, and shortened ones."""
+    pick = random.Random(17)
+    fresh = lambda n: [f"u{pick.randrange(10**9)}" for _ in range(n)]
+    base = fresh(150)
+    texts = [base]
+    for _ in range(240):
+        copy = list(pick.choice(texts[:1] * (9 * len(texts)) + texts))
+        for at in pick.sample(range(len(copy)), pick.randint(2, 7)):
+            copy[at] = pick.choice((fresh(1)[0], "other"))
+        texts.append(copy[:pick.choice((len(copy), len(copy), len(copy) - 4))])
+    return list(enumerate(" ".join(t) for t in texts))
+
+
+def test_large_families_meet_few_pairs(spark, monkeypatch):
+    """Most members of a family are compared with its pivot only, and no link is lost."""
+    rows, compared, similar = large_family(), [], neardup._similar
+    monkeypatch.setattr(neardup, "_similar", lambda pairs, *rest: compared.append(pairs.count()) or similar(pairs, *rest))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 3, 85).collect()}
+    want = classes(rows, 3, 85)
+    assert 20 < len(set(want.values())) < len(rows)
+    assert got == want
+    assert sum(compared) <= 10 * len(rows)
+
+
 def test_one_of_each_group_stays(spark, odd):
     kept = neardup.without_copies(odd)
     assert kept.columns == odd.columns
