@@ -292,3 +292,77 @@ def test_items_in_documents(spark, odd):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(k) for k, t in docs if not held([(k, t)], items))
     assert decontam.contaminated(frame, bench.limit(0)).count() == 0
     assert decontam.contaminated(odd.limit(0), bench).count() == 0
+
+
+def common_places(a, b):
+    """The places of equal words of two lists in a longest order, from the ends, by the whole table of lengths."""
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(rows[-1][j] + 1 if x == y else max(rows[-1][j + 1], row[j]))
+        rows.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif rows[i - 1][j] >= rows[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1], rows
+
+
+def test_words_in_order_beside_a_plain_table():
+    pick = random.Random(3)
+    for kinds in (2, 6, 40):
+        pairs = [[[pick.randrange(kinds) for _ in range(pick.randrange(65))] for _ in range(2)] for _ in range(60)]
+        bounds = passages.in_order(*([bytes(pair[k]) for pair in pairs] for k in (0, 1)))
+        for (a, b), most in zip(pairs, bounds.tolist(), strict=True):
+            places, rows = common_places(a, b)
+            assert a == b or passages._equal(a, b) == places
+            assert most[:len(a) + 1] == [row[-1] for row in rows]
+
+
+def test_no_chain_with_a_passage_is_left_out():
+    """Copies of a passage with changes of all kinds around a line: chains are dropped only where judging finds nothing."""
+    pick = random.Random(6)
+    x, y, inner, want = [], [], [], []
+    for _ in range(600):
+        line = [pick.randrange(256) for _ in range(pick.choice((4, 20, 38, 45)))]
+        sides = [[pick.randrange(40) for _ in range(52)] for _ in range(2)]
+        share = pick.choice((0, 0.3, 0.6, 0.9))
+        other = [[v if pick.random() < share else pick.randrange(40) for v in side] for side in sides]
+        shift = pick.randrange(8)
+        other[0] = other[0][shift:] + [7] * shift
+        x.append(sides[0] + line + sides[1])
+        y.append(other[0] + line + other[1])
+        inner.append((52, 52 + len(line), 52, 52 + len(line)))
+        want.append(bool(passages.judged(passages.align(x[-1], y[-1], [(52, 52, len(line))]), 50, 80)))
+    kept = passages.may_pass([bytes(v) for v in x], [bytes(v) for v in y], inner, 50, 80).tolist()
+    assert 100 < sum(want) <= sum(kept) < 500
+    assert all(k for k, w in zip(kept, want, strict=True) if w)
+
+
+def test_holders_of_frequent_lines_are_told_by_the_order_of_words(spark, monkeypatch):
+    """All pairs of documents with two frequent lines meet; words around them that are the same in another order align none of them."""
+    pick = random.Random(12)
+    lines = [[f"{name}{i}" for i in range(14)] for name in "pq"]
+    common = [f"w{i}" for i in range(52)]
+    rows = []
+    for key in range(60):
+        around = [pick.sample(common, 52) for _ in range(3)]
+        rows.append((key, " ".join(around[0] + lines[0] + around[1][:10] + lines[1] + around[2])))
+    aligned, materialize = [], passages.materialize
+
+    def counted(df, name="table", *rest, **named):
+        out = materialize(df, name, *rest, **named)
+        if name == "likely":
+            aligned.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "materialize", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert uncovered(rows, passages.repeated_passages(docs).collect()) == []
+    assert len(aligned) == 2 and sum(aligned) < 60 * 59 // 8
